@@ -188,7 +188,9 @@ def _meet(percent: int):
         rank = np.arange(len(t)) - np.repeat(at, count)
         # the leader is the smallest handle; members it can't match by size are left to later rounds
         lead = np.repeat(np.minimum.reduceat(c, at), count)
-        keep = m > 1
+        # a member with no partner of its size band in the tile can't link there
+        fits = (t[1:] == t[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64)) if len(t) else np.zeros(0, bool)
+        keep = (m > 1) & (np.append(fits, False) | np.insert(fits, 0, False)) if len(t) else m > 1
         t, c, n, m, rank, lead = t[keep], c[keep], n[keep], m[keep], rank[keep], lead[keep]
         pairs = np.stack([c, lead])[:, c != lead]
         if pairs.shape[1]:
@@ -214,26 +216,19 @@ def _meet(percent: int):
     return run
 
 
-def _arrays(wanted, k: int, bits: int):
-    """Sorted shingle arrays of classes in a bitmap over handles (false positives go at the join)."""
+def _arrays(wanted, k: int):
+    """Sorted shingle arrays of rows whose id is in a bitmap (false positives go at the join); a null id counts as -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = wanted.value
-        classes: set[int] = set()
         for batch in batches:
-            for _, _, part in _texts(batch):
-                rows = []
-                for s in Words(part.column("text"), lower=True).shingle_sets(k):
-                    if len(s):
-                        c, _ = digests(s)
-                        b = c & ((1 << bits) - 1)
-                        if c not in classes and int(flags[b >> 6]) >> (b & 63) & 1:
-                            classes.add(c)
-                            rows.append((c, s.tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cls", "shingles"])
-                if len(classes) > 200_000:
-                    classes.clear()
+            ids = batch.column("id").fill_null(-1).to_numpy().view(np.uint64) & _U((1 << HOT_BITS) - 1)
+            hit = (flags[(ids >> _U(6)).astype(np.int64)] >> (ids & _U(63))) & _U(1) == 1
+            if not hit.any():
+                continue
+            for _, _, part in _texts(batch.filter(pa.array(hit))):
+                rows = [(digests(s)[0], s.tobytes()) for s in Words(part.column("text"), lower=True).shingle_sets(k) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cls", "shingles"])
 
     return run
 
@@ -270,12 +265,37 @@ def _decide(percent: int):
     return run
 
 
-def _verify(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """pairs (u, v), distinct -> (u, v, ok), materialised."""
+def _within_bounds(percent: int):
+    """Pairs that size band and signatures can't exclude."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("a").to_numpy().astype(np.int64), batch.column("b").to_numpy().astype(np.int64)
+            keep = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (need(a, b, percent) <= np.minimum(a, b))
+            x, y = batch.column("x"), batch.column("y")
+            for i in np.flatnonzero(keep):
+                s, t = np.frombuffer(x[i].as_buffer(), np.uint8), np.frombuffer(y[i].as_buffer(), np.uint8)
+                size = min(len(s), len(t))
+                apart = int(np.bitwise_count(fold(s, size).view(np.uint64) ^ fold(t, size).view(np.uint64)).sum())
+                keep[i] = (a[i] + b[i] - apart) // 2 >= need(a[i], b[i], percent)
+            yield batch.filter(pa.array(keep)).select(["u", "v"])
+
+    return run
+
+
+def _verify(pairs: DataFrame, src: DataFrame, owners: DataFrame, percent: int, k: int) -> DataFrame:
+    """pairs (u, v), distinct -> (u, v, ok), materialised. owners: (cls, id), the row whose text stands for a class."""
+    ends = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).distinct()
+    ends = materialize(owners.join(ends, "cls", "left_semi"))
+    wanted = src.sparkSession.sparkContext.broadcast(_bitmap_of(ends.select(F.coalesce("id", F.lit(-1)).alias("id")), "id"))
+    arrays = materialize(src.mapInArrow(_arrays(wanted, k), "cls long, shingles binary").join(broadcast_if_small(ends.select("cls"), SMALL_ROWS), "cls", "left_semi"))
     x = arrays.select(F.col("cls").alias("u"), F.col("shingles").alias("x"))
     y = arrays.select(F.col("cls").alias("v"), F.col("shingles").alias("y"))
     joined = x.join(broadcast_if_small(pairs, SMALL_ROWS), "u").join(y, "v").select("u", "v", "x", "y")
-    return materialize(joined.mapInArrow(_decide(percent), "u long, v long, ok boolean"))
+    out = materialize(joined.mapInArrow(_decide(percent), "u long, v long, ok boolean").distinct())
+    discard(arrays)
+    discard(ends)
+    return out
 
 
 class _Tile:
@@ -324,6 +344,44 @@ class _Tile:
             return np.zeros((2, 0), np.int64), np.zeros(0)
         return np.stack([np.concatenate(out_u), np.concatenate(out_v)]), np.concatenate(out_w)
 
+    def small(self, key, cls, n, comp, sig):
+        """The same for many small tiles (rows sorted by key), each pair once however many tiles share it."""
+        found, live, d = [], np.arange(len(key)), 1
+        while True:
+            live = live[live + d < len(key)]
+            live = live[key[live] == key[live + d]]
+            if not len(live):
+                break
+            i, j = live, live + d
+            good = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= self.percent * np.maximum(n[i], n[j]))
+            found.append(np.stack([i[good], j[good]]))
+            d += 1
+        if not found or not (pair := np.concatenate(found, axis=1)).shape[1]:
+            return np.zeros((2, 0), np.int64), np.zeros(0)
+        ends = np.sort(cls[pair], axis=0)
+        _, once = np.unique(ends.T.copy().view([("u", np.int64), ("v", np.int64)]).ravel(), return_index=True)
+        bits: dict[int, tuple[int, int]] = {}
+        keep, weight = [], []
+        for p in once.tolist():
+            i, j = int(pair[0, p]), int(pair[1, p])
+            for x in (i, j):
+                if x not in bits:
+                    raw = sig[x].as_py()
+                    bits[x] = int.from_bytes(raw, "little"), 8 * len(raw)
+            (s, w), (t, v) = bits[i], bits[j]
+            while w > v:
+                w //= 2
+                s = (s ^ (s >> w)) & ((1 << w) - 1)
+            while v > w:
+                v //= 2
+                t = (t ^ (t >> v)) & ((1 << v) - 1)
+            total = int(n[i] + n[j])
+            most = (total - (s ^ t).bit_count()) // 2
+            if most >= -(-self.percent * total // (100 + self.percent)):
+                keep.append(p)
+                weight.append(most / total)
+        return ends[:, keep], np.array(weight)
+
     def forest(self, pair, weight, comp_of):
         """A spanning forest of highest bounds over components."""
         parent: dict[int, int] = {}
@@ -343,39 +401,59 @@ class _Tile:
         return pair[:, keep]
 
 
+#: tiles up to this many members are expanded together
+SMALL_TILE = 64
+
+
 def _tiles(percent: int, forest: bool):
     """Rows (key, cls, n, comp, chunk, sig) sorted by key -> candidate pairs (u < v)."""
     tile = _Tile(percent)
 
-    def one(rows: pa.Table):
-        cls, n, comp, chunk = (rows.column(c).to_numpy() for c in ("cls", "n", "comp", "chunk"))
-        if comp.min() == comp.max():
-            return None
-        pair, weight = tile.pairs(cls, n.astype(np.int64), comp, rows.column("sig").to_pylist(), chunk)
+    def closed(rows: pa.Table):
+        """Pairs of whole tiles."""
+        rows = rows.combine_chunks()
+        key, cls, n, comp, chunk = (rows.column(c).to_numpy() for c in ("key", "cls", "n", "comp", "chunk"))
+        n, sig = n.astype(np.int64), rows.column("sig")
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(at, len(key)))
+        pairs, weights = [], []
+        little = np.flatnonzero(np.repeat(size <= SMALL_TILE, size))
+        if len(little):
+            p, w = tile.small(key[little], cls[little], n[little], comp[little], sig.take(pa.array(little)))
+            pairs.append(p)
+            weights.append(w)
+        for a, m in zip(at[size > SMALL_TILE].tolist(), size[size > SMALL_TILE].tolist(), strict=True):
+            z = slice(a, a + m)
+            if comp[z].min() != comp[z].max():
+                p, w = tile.pairs(cls[z], n[z], comp[z], sig.slice(a, m).to_pylist(), chunk[z])
+                if forest and p.shape[1]:
+                    p = tile.forest(p, w, dict(zip(cls[z].tolist(), comp[z].tolist(), strict=True)))
+                    w = np.ones(p.shape[1])
+                pairs.append(np.sort(p, axis=0))
+                weights.append(w)
+        pair, weight = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64), np.concatenate(weights) if weights else np.zeros(0)
         if forest and pair.shape[1]:
             pair = tile.forest(pair, weight, dict(zip(cls.tolist(), comp.tolist(), strict=True)))
-        return np.sort(pair, axis=0) if pair.shape[1] else None
+        pair = np.unique(pair, axis=1) if pair.shape[1] else pair
+        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found):
-            found = np.unique(np.concatenate(found, axis=1), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["u", "v"])
-
-        rest = None
+        rest, last = [], None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if rest is not None:
-                table = pa.concat_tables([rest, table])
-            key = table.column("key").to_numpy()
-            at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
-            if not len(at):
+            if not batch.num_rows:
                 continue
-            found = [p for a, b in zip(at[:-1], at[1:], strict=True) if (p := one(table.slice(a, b - a))) is not None]
-            rest = table.slice(at[-1])
-            if found:
-                yield out(found)
-        if rest is not None and (p := one(rest)) is not None:
-            yield out([p])
+            key = batch.column("key").to_numpy()
+            cut = int(np.searchsorted(key == key[-1], True)) if key[0] != key[-1] else 0
+            if key[0] != last and rest and not cut:
+                yield closed(pa.Table.from_batches(rest))
+                rest = []
+            if cut:
+                yield closed(pa.Table.from_batches([*rest, batch.slice(0, cut)]))
+                rest = []
+            rest.append(batch.slice(cut))
+            last = key[-1]
+        if rest:
+            yield closed(pa.Table.from_batches(rest))
 
     return run
 
@@ -394,7 +472,7 @@ def _candidates(shared: DataFrame, labels: DataFrame | None, sigs: DataFrame, pe
     # each chunk meets itself and every other one: key by the pair of chunks
     rows = rows.withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     rows = rows.withColumn("key", F.xxhash64("token", F.least("chunk", "other"), F.greatest("chunk", "other")))
-    rows = rows.join(sigs, "cls").select("key", "cls", "n", "comp", "chunk", "sig")
+    rows = rows.join(sigs.select("cls", "sig"), "cls").select("key", "cls", "n", "comp", "chunk", "sig")
     pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_tiles(percent, forest), "u long, v long")
     return materialize(pairs.distinct())
 
@@ -421,16 +499,16 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     shared = met.where("token is not null")
     best = met.where("leader is not null").groupBy("cls", "leader").agg(F.sum("votes").alias("votes"))
     best = best.groupBy("cls").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("leader"))
-    pairs = materialize(best.select(F.least("cls", "leader").alias("u"), F.greatest("cls", "leader").alias("v")).distinct())
-
-    wanted = spark.sparkContext.broadcast(_bitmap_of(shared, "cls"))
-    arrays = src.select("text").mapInArrow(_arrays(wanted, k, HOT_BITS), "cls long, shingles binary")
-    owners = broadcast_if_small(materialize(shared.select("cls").distinct()), SMALL_ROWS)
-    arrays = materialize(arrays.join(owners, "cls", "left_semi").dropDuplicates(["cls"]))
-    sigs = meta.where("n > 0").join(owners, "cls", "left_semi").groupBy("cls").agg(F.min("sig").alias("sig"))
+    best = best.select(F.least("cls", "leader").alias("u"), F.greatest("cls", "leader").alias("v")).distinct()
+    ends = broadcast_if_small(materialize(shared.select("cls").distinct()), SMALL_ROWS)
+    sigs = meta.where("n > 0").join(ends, "cls", "left_semi").groupBy("cls").agg(F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("id").alias("id"))
     sigs = materialize(sigs)
+    owners = sigs.select("cls", "id")
+    x = sigs.select(F.col("cls").alias("u"), F.col("n").alias("a"), F.col("sig").alias("x"))
+    y = sigs.select(F.col("cls").alias("v"), F.col("n").alias("b"), F.col("sig").alias("y"))
+    pairs = materialize(best.join(x, "u").join(y, "v").mapInArrow(_within_bounds(percent), "u long, v long"))
 
-    tested = _verify(pairs, arrays, percent)
+    tested = _verify(pairs, src, owners, percent, k)
     links = tested.where("ok").select("u", "v")
     labels = _labels(links)
     for forest in (True, False):
@@ -439,7 +517,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         discard(pairs)
         if fresh.isEmpty():
             continue
-        checked = _verify(fresh, arrays, percent)
+        checked = _verify(fresh, src, owners, percent, k)
         tested, links = tested.unionByName(checked), links.unionByName(checked.where("ok").select("u", "v"))
         if not checked.where("ok").isEmpty():
             labels = _labels(links)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexforge.llm.jaccard import near_duplicate_classes
+from lexforge.llm import chat, decontam, htmltext, jaccard, langid, linededup, mixing, quality, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +27,124 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@_query("op7_ngram_jaccard")
+RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+_OP1 = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+q AS (
+  SELECT page_id, html, url,
+         coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
+own AS (
+  SELECT page_id, host, path, html,
+         lower(regexp_extract(url, '^([^:/?#]*://[^/?#]*)', 1)) || regexp_extract(regexp_extract(url, '^([^#]*)', 1), '^[^:/?#]*://[^/?#]*(.*)$', 1) AS node,
+         CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+              WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+              WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+              WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM q),
+tags AS (
+  SELECT node, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM own),
+links AS (
+  SELECT node AS u, CASE WHEN regexp_matches(tag, '(?is)^<link') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+                         ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS v
+  FROM tags WHERE regexp_matches(tag, '(?is)^<link.*\brel\s*=\s*["'']?canonical\b') OR regexp_matches(tag, '(?is)^<meta.*http-equiv\s*=\s*["'']?refresh\b')),
+edges AS (SELECT u, v FROM links WHERE v LIKE '%://%' UNION SELECT v, u FROM links WHERE v LIKE '%://%'),
+reach AS (SELECT u AS a, v AS b FROM edges UNION SELECT r.a, e.v FROM reach r JOIN edges e ON r.b = e.u),
+said AS (SELECT r.a AS node, bool_or(o.rule IN ('example.net/en/', 'org/fr/')) AS allowed, bool_or(o.rule IN ('net/', 'example.com/de/')) AS blocked
+         FROM reach r JOIN own o ON r.b = o.node GROUP BY r.a)
+SELECT o.page_id, o.host, o.path, o.rule,
+       CASE WHEN o.rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN o.rule IN ('net/', 'example.com/de/') THEN 'block'
+            WHEN s.allowed THEN 'allow' WHEN s.blocked THEN 'block' ELSE 'allow' END AS verdict
+FROM own o LEFT JOIN said s ON o.node = s.node
+"""
+
+
+@_query("op1_url_filters", _OP1)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_verdicts(_table(spark, sf_dir, "pages"), RULES).drop("via")
+
+
+@_query("op2_source_mixing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
+
+
+@_query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_query("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), "word_bpe_49k.json")
+
+
+@_query("op5_line_dedup", linededup.ORACLE)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.drop_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+_OP6 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+r AS (
+  SELECT *, contains(role || text, '###') OR contains(role, '</turn>') OR contains(text, '</turn>') OR contains(role, ': ')
+            OR regexp_matches(role, ':$') OR regexp_matches(role, '\\[\\hecn]') OR regexp_matches(text, '\\[\\hecn]') AS odd,
+         replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\e') AS safe,
+         replace(replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\e'), ':', '\c'), chr(10), '\n') AS safe_role FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(14 + CASE WHEN odd THEN length(safe) + length(safe_role) ELSE length(text) + length(role) END) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id
+"""
+
+
+@_query("op6_chat_formatting", _OP6)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit(r"\### Assistant: </turn> ok")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return chat.digests(chat.format_chats(rows.unionByName(own)))
+
+
+_OP7 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT o.a, o.b FROM o JOIN n x ON o.a = x.doc_id JOIN n y ON o.b = y.doc_id WHERE 100 * o.c >= 75 * (x.n + y.n - o.c)),
+reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, min(reach.b)) AS component_id
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN reach ON w.doc_id = reach.a GROUP BY w.doc_id, n.n
+"""
+
+
+@_query("op7_ngram_jaccard", _OP7)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_classes(_table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
+@_query("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality_rules(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@_query("op9_decontamination")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op10_html_text")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(_table(spark, sf_dir, "pages"))

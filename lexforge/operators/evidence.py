@@ -8,34 +8,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
+from lexforge.functions.kernels import plain
 from lexforge.functions.lexicons import CONCERN_ENTITY, CONCERN_WEIGHTS, CONCERNS, ENTITIES, EVIDENCE_STOP, GOVERNANCE_TERMS, REASONS
 
 
-def _plain(alias: str) -> str:
-    """canonical() of a constant."""
-    x = alias.lower().strip()
-    for old, new in (("ml ops", "mlops"), ("ci cd", "ci/cd"), ("retrieval augmented generation", "rag"), ("retrieval-augmented generation", "rag")):
-        x = x.replace(old, new)
-    return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9+/#. -]+", " ", x)).strip()
-
-
 def pattern(aliases) -> str:
     """One pattern for all aliases, between edges that are no letter or digit."""
-    return "(^|[^a-z0-9])(" + "|".join(re.escape(a) for a in sorted({_plain(x) for x in aliases})) + ")($|[^a-z0-9])"
+    return "(^|[^a-z0-9])(" + "|".join(re.escape(a) for a in sorted({plain(x) for x in aliases})) + ")($|[^a-z0-9])"
+
+
+def bind(value: Column, then) -> Column:
+    """then(value) with value worked out once a row, however often then uses it."""
+    return F.transform(F.array(value), then)[0]
 
 
 def hits(canonical_text: Column, ontology: dict) -> Column:
     """Sorted names of the ontology whose aliases occur. The ontology is a constant, so this is one projection and no join."""
+    return bind(canonical_text, lambda t: _hits(t, ontology))
+
+
+def _hits(canonical_text: Column, ontology: dict) -> Column:
     found = F.array(*[F.when(canonical_text.rlike(pattern(aliases)), F.lit(name)) for name, aliases in sorted(ontology.items())])
     return F.array_compact(found)
 
 
 def ledger(text: Column) -> Column:
     """Struct (entities, concerns, reasons); some concerns bring an entity along."""
-    t = T.canonical(text)
-    concerns = hits(t, CONCERNS)
-    brought = F.array_compact(F.array(*[F.when(F.array_contains(concerns, c), F.lit(e)) for c, e in CONCERN_ENTITY.items()]))
-    return F.struct(F.array_sort(F.array_union(hits(t, ENTITIES), brought)).alias("entities"), concerns.alias("concerns"), hits(t, REASONS).alias("reasons"))
+    found = bind(T.canonical(text), lambda t: F.struct(_hits(t, ENTITIES).alias("e"), _hits(t, CONCERNS).alias("c"), _hits(t, REASONS).alias("r")))
+
+    def close(x: Column) -> Column:
+        brought = F.array_compact(F.array(*[F.when(F.array_contains(x.c, c), F.lit(e)) for c, e in CONCERN_ENTITY.items()]))
+        return F.struct(F.array_sort(F.array_union(x.e, brought)).alias("entities"), x.c.alias("concerns"), x.r.alias("reasons"))
+
+    return bind(found, close)
 
 
 def protected_terms(led: Column, limit: int = 80) -> Column:
@@ -48,26 +53,28 @@ def ledger_text(led: Column) -> Column:
     return F.concat(F.lit("EVIDENCE_LEDGER:\nentities: "), part(led.entities), F.lit("\nconcerns: "), part(led.concerns), F.lit("\nreasons: "), part(led.reasons))
 
 
-def evidence_tokens(c: Column) -> Column:
-    found = F.regexp_extract_all(T.canonical(c), F.lit("[a-z0-9+#/.-]+"), F.lit(0))
+def _evidence_tokens(canonical_text: Column) -> Column:
+    found = F.regexp_extract_all(canonical_text, F.lit("[a-z0-9+#/.-]+"), F.lit(0))
     return F.array_distinct(F.filter(found, lambda x: ~x.isin(*EVIDENCE_STOP) & (F.length(x) > 1)))
 
 
 def _tokens_of(name: str) -> list[str]:
-    return sorted({t for t in re.findall(r"[a-z0-9+#/.-]+", _plain(name)) if t not in EVIDENCE_STOP and len(t) > 1})
+    return sorted({t for t in re.findall(r"[a-z0-9+#/.-]+", plain(name)) if t not in EVIDENCE_STOP and len(t) > 1})
 
 
 def retained(base: Column, text: Column, ontology: dict, share: float = 0.67) -> Column:
     """The names in base that text keeps: by an alias, or by at least share of the name's own tokens."""
-    t, toks = T.canonical(text), evidence_tokens(text)
-    kept = []
-    for name, aliases in sorted(ontology.items()):
-        own = _tokens_of(name)
-        ok = t.rlike(pattern((*aliases, name)))
-        if own:
-            ok = ok | (F.size(F.array_intersect(F.array(*[F.lit(x) for x in own]), toks)) / len(own) >= share)
-        kept.append(F.when(F.array_contains(base, name) & ok, F.lit(name)))
-    return F.array_compact(F.array(*kept))
+
+    def names(x: Column) -> Column:
+        kept = []
+        for name, aliases in sorted(ontology.items()):
+            ok, own = x.t.rlike(pattern((*aliases, name))), _tokens_of(name)
+            if own:
+                ok = ok | (F.size(F.array_intersect(F.array(*[F.lit(y) for y in own]), x.toks)) / len(own) >= share)
+            kept.append(F.when(F.array_contains(base, name) & ok, F.lit(name)))
+        return F.array_compact(F.array(*kept))
+
+    return bind(bind(T.canonical(text), lambda t: F.struct(t.alias("t"), _evidence_tokens(t).alias("toks"))), names)
 
 
 def share_kept(base: Column, kept: Column) -> Column:

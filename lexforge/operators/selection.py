@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from lexforge.functions import kernels as K
 
@@ -26,7 +27,7 @@ def knapsack(chunks: DataFrame, request: str, idx: str, value: str, cost: str, b
     A request's rows go to one task (a request is a prompt's context, not a data set); memory is items x budget bits.
     Null values count as 0.
     """
-    schema = chunks.schema.add("chosen", "boolean")
+    schema = StructType([*chunks.schema.fields, StructField("chosen", BooleanType())])
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx, kind="stable").reset_index(drop=True)

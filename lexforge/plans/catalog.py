@@ -52,6 +52,9 @@ CANON = (
     "'retrieval augmented generation', 'rag'), 'retrieval-augmented generation', 'rag'), '[^a-z0-9+/#. -]+', ' ', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
 )
 
+#: letters beyond ASCII to underscores: RE2's word edges know ASCII only
+FOLD = r"regexp_replace({t}, '[\x{{00AA}}\x{{00B5}}\x{{00BA}}\x{{00C0}}-\x{{00D6}}\x{{00D8}}-\x{{00F6}}\x{{00F8}}-\x{{02FF}}]', '_', 'g')"
+
 
 def quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
@@ -135,12 +138,12 @@ def _cleanup_sql() -> str:
     for p in [*L.CLEANUP_PHRASES]:
         t = f"regexp_replace({t}, '(?i)\\b{p}\\b', '', 'g')"
     t = rf"regexp_replace(regexp_replace({t}, '\s+([,.;:])', '\1', 'g'), '(?i)\b(really|very|properly|clearly)\b', '', 'g')"
-    return f"SELECT conv_id, turn, md5({f(SQUEEZE, t)}) AS text_md5 FROM conversations WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')"
+    return f"SELECT conv_id, turn, md5({f(SQUEEZE, t)}) AS text_md5 FROM conversations"
 
 
 @query("light_cleanup", _cleanup_sql())
 def light_cleanup(spark, d):
-    c = table(spark, d, "conversations").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
+    c = table(spark, d, "conversations")
     return c.select("conv_id", "turn", F.md5(T.light_cleanup(F.concat(F.lit("Thanks, i think "), "text", F.lit(" , very properly done")))).alias("text_md5"))
 
 
@@ -277,10 +280,10 @@ def critical_flag(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.lower(evidence_text()).rlike(rf"\b({L.CRITICAL_WORDS})\b").alias("critical"))
 
 
-@query("dense_cosine_topk", "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id < 8) SELECT query_id, vec_id, round(s, 5) AS similarity, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS r FROM s) WHERE r <= 5")
+@query("dense_cosine_topk", "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) SELECT query_id, vec_id, round(s, 5) AS similarity, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS r FROM s) WHERE r <= 5")
 def dense_cosine_topk(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     s = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).withColumn("s", S.dense_cosine(F.col("q"), F.col("embedding")))
     top = relevance.top_k(s, "query_id", "s", "vec_id", 5)
     return top.select("query_id", "vec_id", F.round("s", 5).alias("similarity"), "rank")
@@ -288,10 +291,9 @@ def dense_cosine_topk(spark, d):
 
 # -- extractors ---------------------------------------------------------------------------------------------------------
 
-@query("extract_numbers", r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[$₹€£]?\b\d+(?:[,.]\d+)*(?:%|\b)'))), '|') AS numbers FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$') AND regexp_matches(text, '\d')")
+@query("extract_numbers", sql(r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all({{t}}, '[$₹€£]?\b\d+(?:[,.]\d+)*(?:%|\b)'))), '|') AS numbers FROM documents", t=f(FOLD)))
 def extract_numbers(spark, d):
-    t = docs(spark, d).where(F.col("text").rlike(r"\A[\x00-\x7F]*\z") & F.col("text").rlike("[0-9]"))
-    return t.select("doc_id", joined(T.numbers(F.col("text"))).alias("numbers"))
+    return docs(spark, d).select("doc_id", joined(T.numbers(F.col("text"))).alias("numbers"))
 
 
 @query("extract_codes", r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\b[A-Z]{1,6}[-_]?[0-9]{1,8}[A-Z0-9-]*\b'))), '|') AS codes FROM (SELECT doc_id, 'ref ' || upper(lang) || '-' || doc_id || ', X9 and ' || upper(lang) || doc_id || 'B' AS t FROM documents)")
@@ -300,9 +302,9 @@ def extract_codes(spark, d):
     return docs(spark, d).select("doc_id", joined(T.codes(t)).alias("codes"))
 
 
-@query("extract_entities", sql(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '\b[A-Z][a-zA-Z0-9&.-]+(?:\s+[A-Z][a-zA-Z0-9&.-]+){0,4}\b'), lambda x: lower(x) NOT IN ({{s}})))), '|') AS entities FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$')", s=STOP))
+@query("extract_entities", sql(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all({{t}}, '\b[A-Z][a-zA-Z0-9&.-]+(?:\s+[A-Z][a-zA-Z0-9&.-]+){0,4}\b'), lambda x: lower(x) NOT IN ({{s}})))), '|') AS entities FROM documents", s=STOP, t=f(FOLD)))
 def extract_entities(spark, d):
-    return docs(spark, d).where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("doc_id", joined(T.entities(F.col("text"))).alias("entities"))
+    return docs(spark, d).select("doc_id", joined(T.entities(F.col("text"))).alias("entities"))
 
 
 @query("constraint_windows", sql("WITH w AS (SELECT doc_id, {{w}} AS w FROM documents), i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w), h AS (SELECT DISTINCT doc_id, array_to_string(w[greatest(i - 3, 1) : i + 3], ' ') AS x FROM i WHERE w[i] IN ({{t}})) SELECT doc_id, count(*) AS n_windows, md5(string_agg(x, '|' ORDER BY x)) AS windows_md5 FROM h GROUP BY doc_id", w=f(WORDS), t=TRIGGER))
@@ -457,39 +459,41 @@ def usage_reconciliation(spark, d):
 
 # -- retention ------------------------------------------------------------------------------------------------------------------
 
+#: a shortened text to measure retention in
+_SHORT = "replace(replace({t}, 'th', ''), '1', '')"
+
+
+def short(c: str = "text") -> Column:
+    return F.replace(F.replace(F.col(c), F.lit("th"), F.lit("")), F.lit("1"), F.lit(""))
+
+
 _NUM = r"list_distinct(regexp_extract_all({t}, '[$₹€£]?\b\d+(?:[,.]\d+)*(?:%|\b)'))"
 
 
-@query("numeric_coverage", r"""WITH n AS (SELECT doc_id, text, substr(text, 1, CAST(length(text) // 2 AS BIGINT)) AS half, unnest(""" + f(_NUM) + r""") AS x FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$'))
-SELECT doc_id, round(avg(CASE WHEN contains(half, x) OR (regexp_replace(x, '[^0-9.]', '', 'g') <> '' AND contains(regexp_replace(half, '[^0-9.]', '', 'g'), regexp_replace(x, '[^0-9.]', '', 'g'))) THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM n GROUP BY doc_id""")
+@query("numeric_coverage", r"""WITH d AS (SELECT doc_id, """ + f(FOLD) + r""" AS text FROM documents), n AS (SELECT doc_id, """ + f(_SHORT) + r""" AS b, unnest(""" + f(_NUM) + r""") AS x FROM d),
+c AS (SELECT doc_id, avg(CASE WHEN contains(b, x) OR (regexp_replace(x, '[^0-9.]', '', 'g') <> '' AND contains(regexp_replace(b, '[^0-9.]', '', 'g'), regexp_replace(x, '[^0-9.]', '', 'g'))) THEN 1.0 ELSE 0.0 END) AS c FROM n GROUP BY doc_id)
+SELECT d.doc_id, round(coalesce(c.c, 1.0), 6) AS coverage FROM d LEFT JOIN c ON d.doc_id = c.doc_id""")
 def numeric_coverage(spark, d):
-    t = docs(spark, d).where(F.col("text").rlike(r"\A[\x00-\x7F]*\z") & (F.size(T.numbers(F.col("text"))) > 0))
-    half = F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))
-    return t.select("doc_id", F.round(retention.numeric(F.col("text"), half), 6).alias("coverage"))
+    return docs(spark, d).select("doc_id", F.round(retention.numeric(F.col("text"), short()), 6).alias("coverage"))
 
 
 @query("keyword_coverage", sql("""WITH w AS (SELECT DISTINCT item_id, unnest({{w}}) AS w FROM benchmark), k AS (SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY length(w) + CASE WHEN regexp_matches(w, '[0-9]') THEN 4 ELSE 0 END + CASE WHEN upper(w) = w THEN 3 ELSE 0 END DESC, w) AS r FROM w WHERE length(w) >= 3 AND w NOT IN ({{s}})),
 h AS (SELECT item_id, {{h}} AS h FROM benchmark)
-SELECT k.item_id, round(avg(CASE WHEN list_contains(h.h, k.w) THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM k JOIN h ON k.item_id = h.item_id WHERE r <= 30 GROUP BY k.item_id""", w=f(WORDS), s=STOP, h=f(WORDS, "substr(text, 1, CAST(length(text) // 2 AS BIGINT))")))
+SELECT k.item_id, round(avg(CASE WHEN list_contains(h.h, k.w) THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM k JOIN h ON k.item_id = h.item_id WHERE r <= 30 GROUP BY k.item_id""", w=f(WORDS), s=STOP, h=f(WORDS, f(_SHORT))))
 def keyword_coverage(spark, d):
-    half = F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))
-    return table(spark, d, "benchmark").select("item_id", F.round(retention.keyword(F.col("text"), half), 6).alias("coverage"))
-
-
-def _half(c: str = "text") -> Column:
-    return F.substring(F.col(c), F.lit(1), F.floor(F.length(c) / 2).cast("int"))
+    return table(spark, d, "benchmark").select("item_id", F.round(retention.keyword(F.col("text"), short()), 6).alias("coverage"))
 
 
 @query("entity_retention")
 def entity_retention(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.round(retention.entity(F.col("text"), _half()), 6).alias("retention"))
+    return table(spark, d, "benchmark").select("item_id", F.round(retention.entity(F.col("text"), short()), 6).alias("retention"))
 
 
 @query("semantic_retention", sql("""WITH a AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest({{w}}) AS w FROM benchmark) WHERE w NOT IN ({{s}}) GROUP BY ALL), b AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest({{h}}) AS w FROM benchmark) WHERE w NOT IN ({{s}}) GROUP BY ALL)
 SELECT x.item_id, round(coalesce(d / sqrt(CAST(x.x * y.x AS DOUBLE)), 0.0), 6) AS retention FROM (SELECT item_id, sum(n * n) AS x FROM a GROUP BY item_id) x LEFT JOIN (SELECT item_id, sum(n * n) AS x FROM b GROUP BY item_id) y ON x.item_id = y.item_id
-LEFT JOIN (SELECT a.item_id, sum(a.n * b.n) AS d FROM a JOIN b ON a.item_id = b.item_id AND a.w = b.w GROUP BY a.item_id) z ON x.item_id = z.item_id""", w=f(WORDS), s=STOP, h=f(WORDS, "substr(text, 1, CAST(length(text) // 2 AS BIGINT))")))
+LEFT JOIN (SELECT a.item_id, sum(a.n * b.n) AS d FROM a JOIN b ON a.item_id = b.item_id AND a.w = b.w GROUP BY a.item_id) z ON x.item_id = z.item_id""", w=f(WORDS), s=STOP, h=f(WORDS, f(_SHORT))))
 def semantic_retention(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.round(retention.semantic(F.col("text"), _half()), 6).alias("retention"))
+    return table(spark, d, "benchmark").select("item_id", F.round(retention.semantic(F.col("text"), short()), 6).alias("retention"))
 
 
 @query("retention_score")

@@ -10,10 +10,11 @@ shingle arrays.
 
 The order puts frequent shingles last. Frequencies of shingles that meet within a scan block are counted over
 all documents, and those with many go into a bitmap of fixed size: any bitmap gives one order for all, so it
-only affects speed. Links are verified in three rounds. The first proposes one leader per class, the second a
-spanning forest of each tile that still joins several components, the last every pair of a tile across
-components that signatures can't exclude; after it no link between different components is left unseen.
-Pairs inside one component are never expanded. Tiles beyond TILE members are dealt into pairs of chunks.
+only affects speed. Links are verified in three rounds. The first proposes one leader per class. Of tiles that
+then still join several components, the second proposes every pair across them in small tiles and a spanning
+forest in large ones, the last every pair across components in large ones - each as far as size band and
+signatures don't exclude it - so that no link between different components is left unseen.
+Pairs inside one component are never expanded. Large tiles are dealt into chunks of TILE members at most.
 
 Class handles are 64 bits of a 128-bit digest of the shingle set.
 """
@@ -32,18 +33,18 @@ from lexforge.llm.common import Words, broadcast_if_small, connected_components,
 _U = np.uint64
 HOT_BITS = 26
 HOT_AT = 64
-TILE = 1024
+TILE = 2048
 #: narrow rows (two to four longs) that may be broadcast after a count
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 250_000
 #: shingles gathered before a block is counted or packed
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 META = "cls long, check long, n int, sig binary, token long, seen int"
 
 
 def parity_signature(s: np.ndarray) -> bytes:
-    """Parity bitmap of a power-of-two number of bits, at least twice the set's size (64 to 65,536)."""
-    bits = 1 << min(16, max(6, int(2 * len(s) - 1).bit_length()))
+    """Parity bitmap of a power-of-two number of bits, at least the set's size (64 to 65,536)."""
+    bits = 1 << min(16, max(6, int(len(s) - 1).bit_length()))
     counts = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -173,7 +174,7 @@ def _entries(bits, percent: int, parts: int, k: int):
 
 
 def _meet(percent: int):
-    """One part's tokens: those of two classes or more, members ranked by size; votes of each class for its tile's smallest handle."""
+    """One part's tokens: those of two classes or more; votes of each class for its tile's smallest handle."""
 
     def run(table: pa.Table) -> pa.Table:
         join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
@@ -185,13 +186,12 @@ def _meet(percent: int):
         at = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
         count = np.diff(np.append(at, len(t)))
         m = np.repeat(count, count)
-        rank = np.arange(len(t)) - np.repeat(at, count)
         # the leader is the smallest handle; members it can't match by size are left to later rounds
         lead = np.repeat(np.minimum.reduceat(c, at), count)
         # a member with no partner of its size band in the tile can't link there
         fits = (t[1:] == t[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64)) if len(t) else np.zeros(0, bool)
         keep = (m > 1) & (np.append(fits, False) | np.insert(fits, 0, False)) if len(t) else m > 1
-        t, c, n, m, rank, lead = t[keep], c[keep], n[keep], m[keep], rank[keep], lead[keep]
+        t, c, n, m, lead = t[keep], c[keep], n[keep], m[keep], lead[keep]
         pairs = np.stack([c, lead])[:, c != lead]
         if pairs.shape[1]:
             order = np.lexsort(pairs)
@@ -207,7 +207,6 @@ def _meet(percent: int):
                 "cls": pa.concat_arrays([pa.array(c), pa.array(pairs[0])]),
                 "n": pa.concat_arrays([pa.array(n), pa.nulls(b, pa.int32())]),
                 "m": pa.concat_arrays([pa.array(m.astype(np.int32)), pa.nulls(b, pa.int32())]),
-                "rank": pa.concat_arrays([pa.array(rank.astype(np.int32)), pa.nulls(b, pa.int32())]),
                 "leader": pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(pairs[1])]),
                 "votes": pa.concat_arrays([pa.nulls(a, pa.int32()), pa.array(votes.astype(np.int32))]),
             }
@@ -344,8 +343,8 @@ class _Tile:
             return np.zeros((2, 0), np.int64), np.zeros(0)
         return np.stack([np.concatenate(out_u), np.concatenate(out_v)]), np.concatenate(out_w)
 
-    def small(self, key, cls, n, comp, sig):
-        """The same for many small tiles (rows sorted by key), each pair once however many tiles share it."""
+    def small(self, key, cls, n, comp):
+        """Pairs (u < v) of many small tiles (rows sorted by key) that the size band leaves, each once however many tiles share it."""
         found, live, d = [], np.arange(len(key)), 1
         while True:
             live = live[live + d < len(key)]
@@ -354,33 +353,14 @@ class _Tile:
                 break
             i, j = live, live + d
             good = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= self.percent * np.maximum(n[i], n[j]))
-            found.append(np.stack([i[good], j[good]]))
+            found.append(np.stack([cls[i[good]], cls[j[good]]]))
             d += 1
         if not found or not (pair := np.concatenate(found, axis=1)).shape[1]:
-            return np.zeros((2, 0), np.int64), np.zeros(0)
-        ends = np.sort(cls[pair], axis=0)
-        _, once = np.unique(ends.T.copy().view([("u", np.int64), ("v", np.int64)]).ravel(), return_index=True)
-        bits: dict[int, tuple[int, int]] = {}
-        keep, weight = [], []
-        for p in once.tolist():
-            i, j = int(pair[0, p]), int(pair[1, p])
-            for x in (i, j):
-                if x not in bits:
-                    raw = sig[x].as_py()
-                    bits[x] = int.from_bytes(raw, "little"), 8 * len(raw)
-            (s, w), (t, v) = bits[i], bits[j]
-            while w > v:
-                w //= 2
-                s = (s ^ (s >> w)) & ((1 << w) - 1)
-            while v > w:
-                v //= 2
-                t = (t ^ (t >> v)) & ((1 << v) - 1)
-            total = int(n[i] + n[j])
-            most = (total - (s ^ t).bit_count()) // 2
-            if most >= -(-self.percent * total // (100 + self.percent)):
-                keep.append(p)
-                weight.append(most / total)
-        return ends[:, keep], np.array(weight)
+            return np.zeros((2, 0), np.int64)
+        pair = np.sort(pair, axis=0)
+        order = np.lexsort(pair)
+        pair = pair[:, order]
+        return pair[:, np.concatenate(([True], (pair[:, 1:] != pair[:, :-1]).any(axis=0)))]
 
     def forest(self, pair, weight, comp_of):
         """A spanning forest of highest bounds over components."""
@@ -401,79 +381,112 @@ class _Tile:
         return pair[:, keep]
 
 
-#: tiles up to this many members are expanded together
+#: tiles up to this many members are expanded into pairs before signatures are fetched
 SMALL_TILE = 64
 
 
-def _tiles(percent: int, forest: bool):
-    """Rows (key, cls, n, comp, chunk, sig) sorted by key -> candidate pairs (u < v)."""
-    tile = _Tile(percent)
+def _by_tile(one, large: bool):
+    """Stream rows sorted by key and hand one() whole tiles: each tile alone, or (large=False) all that a batch completes."""
 
-    def closed(rows: pa.Table):
-        """Pairs of whole tiles."""
-        rows = rows.combine_chunks()
-        key, cls, n, comp, chunk = (rows.column(c).to_numpy() for c in ("key", "cls", "n", "comp", "chunk"))
-        n, sig = n.astype(np.int64), rows.column("sig")
-        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.append(at, len(key)))
-        pairs, weights = [], []
-        little = np.flatnonzero(np.repeat(size <= SMALL_TILE, size))
-        if len(little):
-            p, w = tile.small(key[little], cls[little], n[little], comp[little], sig.take(pa.array(little)))
-            pairs.append(p)
-            weights.append(w)
-        for a, m in zip(at[size > SMALL_TILE].tolist(), size[size > SMALL_TILE].tolist(), strict=True):
-            z = slice(a, a + m)
-            if comp[z].min() != comp[z].max():
-                p, w = tile.pairs(cls[z], n[z], comp[z], sig.slice(a, m).to_pylist(), chunk[z])
-                if forest and p.shape[1]:
-                    p = tile.forest(p, w, dict(zip(cls[z].tolist(), comp[z].tolist(), strict=True)))
-                    w = np.ones(p.shape[1])
-                pairs.append(np.sort(p, axis=0))
-                weights.append(w)
-        pair, weight = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64), np.concatenate(weights) if weights else np.zeros(0)
-        if forest and pair.shape[1]:
-            pair = tile.forest(pair, weight, dict(zip(cls.tolist(), comp.tolist(), strict=True)))
-        pair = np.unique(pair, axis=1) if pair.shape[1] else pair
+    def emit(rows: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(rows).combine_chunks()
+        if not large:
+            found = [one(table)]
+        else:
+            key = table.column("key").to_numpy()
+            at = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key))
+            found = [one(table.slice(a, b - a)) for a, b in zip(at[:-1], at[1:], strict=True)]
+        pair = np.concatenate(found, axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, last = [], None
+        rest: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = batch.column("key").to_numpy()
-            cut = int(np.searchsorted(key == key[-1], True)) if key[0] != key[-1] else 0
-            if key[0] != last and rest and not cut:
-                yield closed(pa.Table.from_batches(rest))
+            if rest and key[0] != rest[-1].column("key")[-1].as_py():
+                yield emit(rest)
                 rest = []
+            cut = int(np.searchsorted(key == key[-1], True)) if key[0] != key[-1] else 0
             if cut:
-                yield closed(pa.Table.from_batches([*rest, batch.slice(0, cut)]))
+                yield emit([*rest, batch.slice(0, cut)])
                 rest = []
             rest.append(batch.slice(cut))
-            last = key[-1]
         if rest:
-            yield closed(pa.Table.from_batches(rest))
+            yield emit(rest)
 
     return run
 
 
-def _candidates(shared: DataFrame, labels: DataFrame | None, sigs: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs from tiles that still join several components."""
-    rows = shared.select("token", "cls", "n", "m", "rank")
-    if labels is None:
-        rows = rows.withColumn("comp", F.col("cls"))
-    else:
-        rows = rows.join(broadcast_if_small(labels, SMALL_ROWS), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+def _small_tiles(percent: int):
+    tile = _Tile(percent)
+
+    def one(rows: pa.Table):
+        key, cls, n, comp = (rows.column(c).to_numpy() for c in ("key", "cls", "n", "comp"))
+        return tile.small(key, cls, n.astype(np.int64), comp)
+
+    return _by_tile(one, large=False)
+
+
+def _large_tiles(percent: int, forest: bool):
+    tile = _Tile(percent)
+
+    def one(rows: pa.Table):
+        cls, n, comp, chunk = (rows.column(c).to_numpy() for c in ("cls", "n", "comp", "chunk"))
+        if comp.min() == comp.max():
+            return np.zeros((2, 0), np.int64)
+        pair, weight = tile.pairs(cls, n.astype(np.int64), comp, rows.column("sig").to_pylist(), chunk)
+        if forest and pair.shape[1]:
+            pair = tile.forest(pair, weight, dict(zip(cls.tolist(), comp.tolist(), strict=True)))
+        return np.sort(pair, axis=0)
+
+    return _by_tile(one, large=True)
+
+
+def _bounded(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) that size band and signatures leave."""
+    x = sigs.select(F.col("cls").alias("u"), F.col("n").alias("a"), F.col("sig").alias("x"))
+    y = sigs.select(F.col("cls").alias("v"), F.col("n").alias("b"), F.col("sig").alias("y"))
+    return pairs.join(x, "u").join(y, "v").mapInArrow(_within_bounds(percent), "u long, v long")
+
+
+def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of tiles that still join several components, with the component of each."""
+    rows = rows.join(broadcast_if_small(labels, SMALL_ROWS), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     mixed = materialize(rows.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token"))
-    rows = rows.join(broadcast_if_small(mixed, SMALL_ROWS), "token", "left_semi")
-    last = F.floor((F.col("m") - 1) / TILE).cast("int")
-    own = F.floor(F.col("rank") / TILE).cast("int")
-    # each chunk meets itself and every other one: key by the pair of chunks
-    rows = rows.withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    rows = rows.withColumn("key", F.xxhash64("token", F.least("chunk", "other"), F.greatest("chunk", "other")))
+    return rows.join(broadcast_if_small(mixed, SMALL_ROWS), "token", "left_semi")
+
+
+def _small_pairs(shared: DataFrame, labels: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    rows = _mixed(shared.where(F.col("m") <= SMALL_TILE), labels).select(F.col("token").alias("key"), "cls", "n", "comp")
+    pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_small_tiles(percent), "u long, v long").distinct()
+    return materialize(_bounded(pairs, sigs, percent))
+
+
+def _large_pairs(shared: DataFrame, labels: DataFrame, sigs: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Large tiles: members of a tile's largest component meet only the others, which also meet each other.
+
+    Both sides are dealt into chunks of TILE at most. While one component holds most of a tile, its members are not
+    repeated, so rows grow with the tile and not with its square.
+    """
+    rows = _mixed(shared.where(F.col("m") > SMALL_TILE), labels).select("token", "cls", "n", "comp")
+    sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"))
+    chunks = lambda c: F.greatest(F.lit(1), F.ceil(c / TILE)).cast("int")
+    main = main.select("token", "main", chunks(F.col("most")).alias("km"), chunks(F.col("all") - F.col("most")).alias("kr"))
+    rows = rows.join(main, "token")
+    inside = F.col("comp") == F.col("main")
+    own = F.pmod(F.xxhash64("cls"), F.when(inside, F.col("km")).otherwise(F.col("kr"))).cast("int")
+    up_to = lambda k: F.sequence(F.lit(0), k - 1)
+    key = lambda kind, i, j: F.xxhash64("token", F.lit(kind), i, j)
+    member = F.transform(up_to(F.col("kr")), lambda j: F.struct(key("main", F.col("own"), j).alias("key"), F.lit(-1).alias("chunk")))
+    other = F.transform(up_to(F.col("km")), lambda i: F.struct(key("main", i, F.col("own")).alias("key"), F.col("own").alias("chunk")))
+    among = F.transform(up_to(F.col("kr")), lambda j: F.struct(key("rest", F.least(j, F.col("own")), F.greatest(j, F.col("own"))).alias("key"), F.col("own").alias("chunk")))
+    rows = rows.withColumn("own", own).withColumn("place", F.explode(F.when(inside, member).otherwise(F.concat(other, among))))
+    rows = rows.select("cls", "n", "comp", "place.key", "place.chunk")
     rows = rows.join(sigs.select("cls", "sig"), "cls").select("key", "cls", "n", "comp", "chunk", "sig")
-    pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_tiles(percent, forest), "u long, v long")
+    pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_large_tiles(percent, forest), "u long, v long")
     return materialize(pairs.distinct())
 
 
@@ -494,7 +507,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     parts = max(12, int(stats * (100 - percent) // 100 // 400_000))
     hot = spark.sparkContext.broadcast(_hot_bits(scan, hot_at))
     packed = src.select("text").mapInArrow(_entries(hot, percent, parts, k), "part int, tokens binary, classes binary, sizes binary")
-    met = packed.groupBy("part").applyInArrow(_meet(percent), "token long, cls long, n int, m int, rank int, leader long, votes int")
+    met = packed.groupBy("part").applyInArrow(_meet(percent), "token long, cls long, n int, m int, leader long, votes int")
     met = materialize(met)
     shared = met.where("token is not null")
     best = met.where("leader is not null").groupBy("cls", "leader").agg(F.sum("votes").alias("votes"))
@@ -504,24 +517,22 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     sigs = meta.where("n > 0").join(ends, "cls", "left_semi").groupBy("cls").agg(F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("id").alias("id"))
     sigs = materialize(sigs)
     owners = sigs.select("cls", "id")
-    x = sigs.select(F.col("cls").alias("u"), F.col("n").alias("a"), F.col("sig").alias("x"))
-    y = sigs.select(F.col("cls").alias("v"), F.col("n").alias("b"), F.col("sig").alias("y"))
-    pairs = materialize(best.join(x, "u").join(y, "v").mapInArrow(_within_bounds(percent), "u long, v long"))
-
+    pairs = materialize(_bounded(best, sigs, percent))
     tested = _verify(pairs, src, owners, percent, k)
     links = tested.where("ok").select("u", "v")
     labels = _labels(links)
-    for forest in (True, False):
-        pairs = _candidates(shared, labels, sigs, percent, forest)
-        fresh = materialize(pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti"))
-        discard(pairs)
+    for propose in (
+        lambda: _small_pairs(shared, labels, sigs, percent).unionByName(_large_pairs(shared, labels, sigs, percent, True)),
+        lambda: _large_pairs(shared, labels, sigs, percent, False),
+    ):
+        fresh = materialize(propose().distinct().join(tested.select("u", "v"), ["u", "v"], "left_anti"))
         if fresh.isEmpty():
             continue
         checked = _verify(fresh, src, owners, percent, k)
         tested, links = tested.unionByName(checked), links.unionByName(checked.where("ok").select("u", "v"))
         if not checked.where("ok").isEmpty():
             labels = _labels(links)
-    classes = meta.join(labels.select("cls", "comp"), "cls", "left") if labels is not None else meta.withColumn("comp", F.lit(None).cast("long"))
+    classes = meta.join(labels, "cls", "left")
     # documents without shingles stay alone; the others group by component or class
     classes = classes.withColumn("comp", F.coalesce("comp", "cls"))
     least = classes.where("n > 0").groupBy("comp").agg(F.min("id").alias("low"))

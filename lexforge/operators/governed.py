@@ -32,3 +32,16 @@ def govern(outputs: DataFrame, id_col: str = "output_id", agent_col: str = "agen
             yield pd.DataFrame(rows, columns=["id", "agent", "normalized", "valid", "repaired", "errors", "warnings", "actions", "quality", "consistent", "consistency", "contradictions"])
 
     return src.mapInPandas(run, SCHEMA.format(src.schema["id"].dataType.simpleString())).withColumnRenamed("id", id_col)
+
+
+def repair(outputs: DataFrame, id_col: str = "output_id", raw_col: str = "raw_output") -> DataFrame:
+    """Final-decision responses brought to their fields: (id_col, normalized JSON, severity none, minor, major or fallback)."""
+    src = outputs.select(F.col(id_col).alias("id"), F.coalesce(raw_col, F.lit("")).alias("raw"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [G.repair_response(x) for x in pdf.raw]
+            yield pd.DataFrame({"id": pdf.id, "normalized": [json.dumps(o, ensure_ascii=False, separators=(",", ":")) for o, _ in got], "severity": [s for _, s in got]})
+
+    kind = src.schema["id"].dataType.simpleString()
+    return src.mapInPandas(run, f"id {kind}, normalized string, severity string").withColumnRenamed("id", id_col)

@@ -299,6 +299,12 @@ def http_error_class(spark, d):
     return table(spark, d, "events").select("event_id", reports.http_error(code).alias("kind"))
 
 
+@query("response_repair", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'fallback' ELSE 'major' END AS severity, CASE WHEN event_id % 5 = 0 THEN 'Hold' ELSE (['Shortlist', 'Reject', 'Hold'])[CAST(event_id % 3 AS INT) + 1] END AS decision FROM events""")
+def response_repair(spark, d):
+    r = governed.repair(_output(spark, d), "event_id", "raw")
+    return r.select("event_id", "severity", F.get_json_object("normalized", "$.shortlist_decision").alias("decision"))
+
+
 # -- memory and chain ---------------------------------------------------------------------------------------------------
 
 

@@ -91,3 +91,12 @@ def test_compression_keeps_terms():
     r = compress.compress(text, "find risks")
     assert r["guard_passed"] and r["tokens_after"] < r["tokens_before"]
     assert compress.compress("")["tokens_before"] == 0
+
+
+def test_response_repair():
+    full = {"final_score": 7.0, "shortlist_decision": "Hold", "evidence_terms": [], "reasons": ["a"], "concerns": [], "interview_plan": []}
+    assert G.repair_response(json.dumps(full))[1] == "none"
+    assert G.repair_response(json.dumps(full | {"shortlist_decision": "hold", "reasons": [" a "]})) == (full | {"schema_valid": True}, "minor")
+    assert G.repair_response('x {"score": "7/10", "risks": null} y') == ({**full, "shortlist_decision": "N/A", "reasons": [], "schema_valid": True}, "major")
+    got, how = G.repair_response("Score: 8 / 10, decision: 'Reject'.")
+    assert how == "fallback" and got["final_score"] == 8.0 and got["shortlist_decision"] == "Reject"

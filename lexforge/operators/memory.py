@@ -65,7 +65,7 @@ _LINES = (("core_skills", ", ", 35), ("role_requirements", ", ", 35), ("numeric_
 
 
 def memory_text(m: Column) -> Column:
-    parts = [F.lit("[PRODSYNC_COMPACT_MEMORY]\ncandidate_summary: "), m.candidate_summary, F.lit("\njd_summary: "), m.jd_summary, F.lit("\n")]
+    parts = [F.lit("[COMPACT_MEMORY]\ncandidate_summary: "), m.candidate_summary, F.lit("\njd_summary: "), m.jd_summary, F.lit("\n")]
     for name, sep, most in _LINES:
         parts += [F.lit(f"{name}: "), F.array_join(F.slice(m[name], 1, most), sep), F.lit("\n")]
     return F.concat(*parts)

@@ -255,11 +255,11 @@ def lexical_jaccard_turns(spark, d):
     return c.select("conv_id", "turn", F.round(S.lexical(F.col("text"), F.col("p")), 6).alias("similarity"))
 
 
-@query("shannon_entropy", sql("WITH w AS (SELECT doc_id, unnest({{w}}) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL), p AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM c) SELECT doc_id, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY doc_id", w=f(WORDS)))
+@query("shannon_entropy", sql("WITH w AS (SELECT doc_id, unnest({{w}}) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL), p AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM c) SELECT doc_id, abs(round(sum(p * log2(p)), 6)) AS entropy FROM p GROUP BY doc_id", w=f(WORDS)))
 def shannon_entropy(spark, d):
     c = docs(spark, d).select("doc_id", F.explode(T.all_words(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
     p = c.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("doc_id")))
-    return p.groupBy("doc_id").agg(F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("entropy"))
+    return p.groupBy("doc_id").agg(F.abs(F.round(F.sum(F.col("p") * F.log2("p")), 6)).alias("entropy"))
 
 
 @query("top_terms", sql(r"WITH w AS (SELECT source, doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_+#.-]{2,}'), lambda x: lower(x))) AS w FROM documents), c AS (SELECT source, w AS term, count(*) AS n, min(doc_id) AS first_doc FROM w WHERE w NOT IN ({{s}}) GROUP BY source, w) SELECT source, term, n, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, first_doc, term) AS r FROM c) WHERE r <= 40", s=quoted(L.TOP_TERM_STOP)))

@@ -55,18 +55,22 @@ _FURNITURE = frozenset(
     "cookie cookies consent gdpr notice notification alert disclaimer popup modal overlay "
     "comment comments commentlist discussion disqus replies respond reply "
     "share sharing social follow subscribe subscription newsletter signup login search searchbox searchform "
-    "masthead colophon copyright legal skip complementary contentinfo".split()
+    "reviews responses feedback announcement toc topbar "
+    "masthead footer colophon copyright legal skip complementary contentinfo".split()
 )
 _CONTENT = frozenset("article content main post entry story body text page wrapper container layout".split())
+#: names that only say what else a page has
+_WITH = frozenset("has with no without".split())
+_SITE_HEADER = frozenset((("header",), ("site", "header"), ("top", "header"), ("global", "header"), ("main", "header")))
 _PART = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
+    __slots__ = ("tag", "attrs", "kids", "parent", "holds_article", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
 
     def __init__(self, tag: str, attrs: str, parent):
-        self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
+        self.tag, self.attrs, self.parent, self.kids, self.holds_article = tag, attrs, parent, [], False
 
 
 def parse(page: str) -> Node:
@@ -130,23 +134,44 @@ def _names(attrs: str) -> dict[str, str]:
     return {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
 
 
+def _named_so(names: dict[str, str], in_article: bool) -> bool:
+    """Whether class, id or role mark page furniture."""
+    for key in ("class", "id", "role"):
+        for name in (names.get(key) or "").split():
+            parts = tuple(p for p in _PART.split(_CAMEL.sub("-", name).lower()) if p)
+            if not parts or _WITH.intersection(parts):
+                continue
+            if parts in _SITE_HEADER and not in_article:
+                return True
+            content = len(parts) > 1 and parts[-1] in _CONTENT and parts[0] not in _FURNITURE
+            if not content and _FURNITURE.intersection(parts):
+                return True
+    return False
+
+
 def is_furniture(node: Node, in_article: bool) -> bool:
     tag = node.tag
     if tag in DROPPED:
         return True
     if tag == "footer" or tag == "header" and not in_article:
         return True
-    if not node.attrs or tag in ("article", "main", "body"):
+    if not node.attrs or tag in ("main", "body"):
         return False
     names = _names(node.attrs)
     if "hidden" in names or names.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", names.get("style", ""), re.I):
         return True
-    for key in ("class", "id", "role"):
-        for name in (names.get(key) or "").split():
-            parts = [p for p in _PART.split(_CAMEL.sub("-", name).lower()) if p]
-            if parts and any(p in _FURNITURE for p in parts) and not (len(parts) > 1 and parts[-1] in _CONTENT and parts[0] not in _FURNITURE):
-                return True
-    return False
+    return not node.holds_article and _named_so(names, in_article)
+
+
+def mark_article(root: Node) -> None:
+    """Mark the first article or main that isn't named like furniture, and all around it: no name drops those."""
+    for node in _order(root):
+        if node.tag in ("article", "main") and not _named_so(_names(node.attrs), True):
+            up = node
+            while up is not None:
+                up.holds_article = True
+                up = up.parent
+            return
 
 
 def prune(node: Node, in_article: bool = False) -> None:
@@ -238,6 +263,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    mark_article(root)
     prune(root)
     body = next((k for k in root.kids if isinstance(k, Node) and k.tag == "body"), root)
     nodes = weigh(body)
@@ -249,12 +275,10 @@ def extract(page: str | None) -> str:
             break
         up = up.parent
     # a marked article around the best node is its whole; without one, climb while all that joins is not links
-    marked = [x for x in path if x.tag in ("article", "main")]
-    if marked:
-        best = next((x for x in marked if x.tag == "article"), marked[0])
-        outer = [x for x in nodes if x.tag == "article" and x.density >= 0 and x.parent is best.parent and x.chars > 0]
-        if len(outer) > 1 and best.tag == "article" and best.parent is not None and best.parent.tag == "main":
-            best = best.parent
+    articles = [x for x in path if x.tag == "article"]
+    mains = [x for x in path if x.tag == "main"]
+    if articles or mains:
+        best = (articles or mains)[-1]
     else:
         i = path.index(best)
         while best is not body and i + 1 < len(path):

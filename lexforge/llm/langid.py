@@ -254,13 +254,13 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
 
 def annotate(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """docs with _lang_pred, _score and _bits_per_byte added; all columns pass through the Arrow function, so nothing is joined."""
+    """docs with _lexforge_lang_pred, _lexforge_score and _lexforge_bits_per_byte added; all columns pass through the Arrow function, so nothing is joined."""
     names = docs.columns
     short = {c: "text" if c == text_col else f"c{i}" for i, c in enumerate(names)}
     src = docs.select(*[F.col(f"`{c}`").alias(short[c]) for c in names])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema)
     out = src.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), f"{schema}, lang_pred string, score double, bits_per_byte double")
-    return out.select(*[F.col(short[c]).alias(c) for c in names], *[F.col(c).alias(f"_{c}") for c in ("lang_pred", "score", "bits_per_byte")])
+    return out.select(*[F.col(short[c]).alias(c) for c in names], *[F.col(c).alias(f"_lexforge_{c}") for c in ("lang_pred", "score", "bits_per_byte")])
 
 
 #: a text is no known language if its shortest code needs more bits a byte (noise needs about 8), given enough bytes to tell
@@ -270,7 +270,7 @@ REJECT_BYTES = 64
 
 def keep_known_languages(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """docs without those of no language: und, or REJECT_BYTES or more that cost over REJECT_BITS a byte in every one."""
-    odd = (F.col("_lang_pred") == "und") | ((F.octet_length(F.col(text_col)) >= REJECT_BYTES) & (F.col("_bits_per_byte") > REJECT_BITS))
+    odd = (F.col("_lexforge_lang_pred") == "und") | ((F.octet_length(F.col(text_col)) >= REJECT_BYTES) & (F.col("_lexforge_bits_per_byte") > REJECT_BITS))
     return annotate(docs, model, text_col).where(~odd).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -40,20 +40,20 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     repeated rows count and stay each; docs may not already have n_lines or n_dropped (they are replaced).
     Hosts with fewer than min_pages pages lose nothing.
     """
-    found = boilerplate(docs, host, text, max_ratio, min_pages).groupBy("host").agg(F.collect_list("key").alias("_keys"))
+    found = boilerplate(docs, host, text, max_ratio, min_pages).groupBy("host").agg(F.collect_list("key").alias("_lexforge_keys"))
     # bounded per host by (lines per page) / max_ratio; the table is broadcast only if few hosts have any
     found = materialize(found)
     d = docs.drop("n_lines", "n_dropped").alias("d").join(broadcast_if_small(found, 20_000).alias("f"), F.col(f"d.{host}").eqNullSafe(F.col("f.host")), "left")
     lines = _lines(F.col(f"d.{text}"))
-    kept = F.when(F.col("f._keys").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("f._keys"), F.unhex(F.md5(x))), F.lit(False))))
+    kept = F.when(F.col("f._lexforge_keys").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("f._lexforge_keys"), F.unhex(F.md5(x))), F.lit(False))))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    d = d.select(*[F.col(f"d.`{c}`") for c in names], lines.alias("_all"), kept.alias("_kept"))
-    new = F.when(F.size("_kept") == F.size("_all"), F.col(text)).otherwise(F.array_join("_kept", "\n"))
-    changed = {text: new, "n_chars": F.when(F.size("_kept") == F.size("_all"), F.col("n_chars")).otherwise(F.length(new).cast("long"))} if "n_chars" in names else {text: new}
+    d = d.select(*[F.col(f"d.`{c}`") for c in names], lines.alias("_lexforge_all"), kept.alias("_lexforge_kept"))
+    new = F.when(F.size("_lexforge_kept") == F.size("_lexforge_all"), F.col(text)).otherwise(F.array_join("_lexforge_kept", "\n"))
+    changed = {text: new, "n_chars": F.when(F.size("_lexforge_kept") == F.size("_lexforge_all"), F.col("n_chars")).otherwise(F.length(new).cast("long"))} if "n_chars" in names else {text: new}
     return d.select(
         *[changed.get(c, F.col(f"`{c}`")).alias(c) for c in names],
-        F.coalesce(F.when(F.col("_all").isNotNull(), F.size("_all")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col("_all").isNotNull(), F.size("_all") - F.size("_kept")), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.when(F.col("_lexforge_all").isNotNull(), F.size("_lexforge_all")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.when(F.col("_lexforge_all").isNotNull(), F.size("_lexforge_all") - F.size("_lexforge_kept")), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

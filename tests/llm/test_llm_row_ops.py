@@ -74,6 +74,17 @@ def test_token_counts_equal_whole_encoding(spark):
     assert got == want
 
 
+def test_empty_tables(spark):
+    none = odd_docs(spark).limit(0)
+    assert tokens.token_counts(none, "word_bpe_49k.json").count() == quality.quality_rules(none).count() == 0
+    assert htmltext.main_text(none.selectExpr("doc_id page_id", "source url", "text html")).count() == 0
+
+
+def test_other_vocabulary(spark):
+    docs = spark.createDataFrame([(1, "Hello world"), (2, None)], "doc_id long, text string")
+    assert [r.n_tokens > 0 for r in tokens.token_counts(docs, "piece_bpe_32k.model").orderBy("doc_id").collect()] == [True, False]
+
+
 def test_pieces_lose_nothing():
     text = "ab  cd\n" * 1000
     parts = tokens.pieces(text, 50)
@@ -224,6 +235,21 @@ def test_main_text(fill):
     assert htmltext.extract(PAGE.format(fill)) == want.strip() + "\none\ntwo"
 
 
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        ('<div class="layout-with-sidebar"><article class="post"><header><h1>H</h1></header><p>Body text of it.</p><footer>f</footer></article><aside>s</aside></div>', "H\nBody text of it."),
+        ('<div id="header"><h1>Site name</h1></div><div id="content"><h2>H</h2><p>Body text of it, long enough.</p></div><div class="footer">x</div>', "H\nBody text of it, long enough."),
+        ('<main><h1>H</h1><p>Body text.</p><section class="comments"><article class="comment"><p>First! A long comment, longer than the body.</p></article></section></main>', "H\nBody text."),
+        ('<article><h1>H</h1><div class="ad-slot">Buy now</div><p>One<br>two</p><ul class="share-buttons"><li>Tweet</ul><p>Three</article><article class="related"><p>Other</p></article>', "H\nOne two\nThree"),
+        ("<div><ul><li><a href=1>Menu entry one</a><li><a href=2>Menu entry two</a></ul><div><p>Only text that counts, of some length.</p><p>More of it here.</p></div></div>", "Only text that counts, of some length.\nMore of it here."),
+        ('<div class="notice">Notice!</div><form><p>Sign up</p></form>', ""),
+    ],
+)
+def test_main_text_layouts(body, want):
+    assert htmltext.extract(f"<html><head><title>T</title></head><body>{body}</body></html>") == want
+
+
 def test_main_text_cases(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "plain words"), (3, "u", "plain words"), (None, None, "<p>a<p>b"), (5, "u", "<div><<<>></div><p"), (6, "u", "<p>x</p>" * 20_000), (7, "u", "<div>" * 5_000 + "deep")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("id", F.lit(1))

@@ -43,8 +43,11 @@ META = "cls long, check long, n int, sig binary, token long, seen int"
 
 
 def parity_signature(s: np.ndarray) -> bytes:
-    """Parity bitmap of a power-of-two number of bits, at least the set's size (64 to 65,536)."""
-    bits = 1 << min(16, max(6, int(len(s) - 1).bit_length()))
+    """Parity bitmap of a power-of-two number of bits, at least four times the set's size (64 to 65,536).
+
+    Fewer bits would lose much of a small difference to collisions, and let pairs just below the threshold pass.
+    """
+    bits = 1 << min(16, max(6, int(4 * len(s) - 1).bit_length()))
     counts = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 

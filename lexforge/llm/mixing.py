@@ -45,15 +45,20 @@ def targets(sizes: Sequence[int], weights: Sequence[int], total: Fraction, cap:
     return out
 
 
-def permuted(index: Column, n: Column, seed: Column, rounds: int = ROUNDS) -> Column:
-    """Image of index under a pseudorandom permutation of 0..n-1 (swap-or-not; every round is an involution)."""
+def round_keys(n: Column, seed: Column, rounds: int = ROUNDS) -> Column:
+    """Keys of a pseudorandom permutation of 0..n-1: a hash and an offset for each round."""
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda r: F.xxhash64(seed, r))
+    return F.transform(hashes, lambda h: F.struct(h.alias("h"), F.pmod(h, n).alias("k")))
+
+
+def permuted(index: Column, n: Column, keys: Column) -> Column:
+    """Image of index under the permutation of 0..n-1 that keys give (swap-or-not; every round is an involution)."""
 
     def step(x: Column, r: Column) -> Column:
-        other = F.pmod(F.pmod(F.xxhash64(seed, r, F.lit("k")), n) - x, n)
-        swap = F.xxhash64(seed, r, F.greatest(x, other)).bitwiseAND(F.lit(1)) == 1
-        return F.when(swap, other).otherwise(x)
+        other = F.pmod(r.k - x, n)
+        return F.when(F.xxhash64(r.h, F.greatest(x, other)).bitwiseAND(F.lit(1)) == 1, other).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), index, step)
+    return F.aggregate(keys, index, step)
 
 
 def _values(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -118,11 +123,13 @@ def slots(spark: SparkSession, plan: Plan, seed: int, shard_slots: int = SHARD_S
     counts = certain.unionByName(drawn).groupBy("shard", "u").agg(F.sum("count").alias("count"))
     # number the slots of a source through all shards
     starts = prefix_sum(counts, ["u"], ["shard"], "count", "start", shards * len(used), leaf=4096)
-    rows = starts.select("u", "shard", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("count") - 1)).alias("ordinal"))
     number = F.array(*[F.lit(i) for i in used])[F.col("u")]
     blocks = F.array(*[F.lit(plan.blocks[i]).cast("long") for i in used])[F.col("u")]
-    rows = rows.select(number.alias("s"), "shard", "ordinal", blocks.alias("n")).where(F.col("ordinal") < plan.cap * F.col("n"))
-    return rows.select("s", "shard", "ordinal", permuted(F.pmod("ordinal", "n"), F.col("n"), F.concat_ws(":", F.lit(seed), F.col("s"))).alias("block"))
+    starts = starts.select(number.alias("s"), "shard", "start", "count", blocks.alias("n"))
+    # a row here becomes up to shard_slots slots: dealt out first, or one task would make them all
+    starts = starts.repartition(max(1, n // 100_000), "s", "shard").withColumn("keys", round_keys(F.col("n"), F.concat_ws(":", F.lit(seed), F.col("s"))))
+    rows = starts.select("s", "shard", "n", "keys", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("count") - 1)).alias("ordinal")).where(F.col("ordinal") < plan.cap * F.col("n"))
+    return rows.select("s", "shard", "ordinal", permuted(F.pmod("ordinal", "n"), F.col("n"), F.col("keys")).alias("block"))
 
 
 class Mixture:

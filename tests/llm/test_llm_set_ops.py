@@ -258,7 +258,7 @@ def test_targets():
 
 @pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
 def test_permutation(spark, n):
-    p = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("s")).alias("p")).collect()
+    p = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), mixing.round_keys(F.lit(n).cast("long"), F.lit("s"))).alias("p")).collect()
     assert sorted(r.p for r in p) == list(range(n)) and (n < 64 or [r.p for r in p] != list(range(n)))
 
 

@@ -136,7 +136,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pows[0], _pows[1]
 
 
-def slices(column: pa.Array, max_bytes: int = 2_000_000):
+def slices(column: pa.Array, max_bytes: int = 500_000):
     """Yield (first row, last row + 1) runs of a string column of at most max_bytes; a longer text is a run of its own."""
     column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)

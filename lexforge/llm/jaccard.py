@@ -37,7 +37,7 @@ TILE = 2048
 #: narrow rows (two to four longs) that may be broadcast after a count
 SMALL_ROWS = 250_000
 #: shingles gathered before a block is counted or packed
-BLOCK = 1_000_000
+BLOCK = 500_000
 
 META = "cls long, check long, n int, sig binary, token long, seen int"
 

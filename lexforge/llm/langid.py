@@ -212,7 +212,7 @@ def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for batch in batches:
-            for a, b in slices(batch.column("text"), 1_000_000):
+            for a, b in slices(batch.column("text"), 250_000):
                 part = batch.slice(a, b - a)
                 column = part.column("text").cast(pa.large_string())
                 texts = column.to_pylist()

@@ -82,23 +82,26 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, n_rows: int, leaf: int = 512) -> DataFrame:
+def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, n_rows: int, leaf: int = 512, inner_leaf: int = 2048, depth: int = 0) -> DataFrame:
     """Exclusive running sum of value within keys, without ever sorting one whole key in a task.
 
     Rows are dealt into hash buckets of about leaf rows by the order columns; sums within a bucket, over
     buckets of a group and over groups nest, so a key with a third of all rows costs many small windows.
+    Bucket totals are dealt again while there are more than inner_leaf (at least leaf) of them; depth counts
+    these levels and names their bucket columns, as a level's buckets are the next one's order.
     The running order is (bucket, order): deterministic, though not the plain sort order.
     """
     if n_rows <= leaf:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(out, F.sum(value).over(w) - F.col(value))
     n = -(-n_rows // leaf)
-    d = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(n)))
-    w = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bucket = f"_bucket{depth}"
+    d = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(n)))
+    w = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = d.withColumn("_in", F.sum(value).over(w) - F.col(value))
-    totals = d.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_total"))
-    starts = prefix_sum(totals, keys, ["_bucket"], "_total", "_start", n, max(leaf, 2048)).drop("_total")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_bucket"]]
+    totals = d.groupBy(*keys, bucket).agg(F.sum(value).alias("_total"))
+    starts = prefix_sum(totals, keys, [bucket], "_total", "_start", n, max(leaf, inner_leaf), inner_leaf, depth + 1).drop("_total")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, bucket]]
     joined = inner.alias("a").join(starts.alias("b"), same)
     return joined.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a._in") + F.col("b._start")).alias(out))
 

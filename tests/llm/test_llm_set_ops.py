@@ -90,6 +90,31 @@ def test_prefix_sum(spark):
         assert ends == sum(v for k, _, v in rows if k == key)
 
 
+def test_prefix_sum_nests(spark):
+    rows = [(k, i, (i * 7) % 5 + 1) for k, n in (("a", 3000), (None, 300), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i long, v long")
+    # 207 buckets, dealt into 13, dealt into 1: three levels
+    got = prefix_sum(df, ["k"], ["i"], "v", "start", len(rows), leaf=16, inner_leaf=4).collect()
+    assert sorted((r.k or "", r.i, r.v) for r in got) == sorted((k or "", i, v) for k, i, v in rows)
+    for key in ("a", None, "c"):
+        ends = 0
+        for a, b in sorted((r.start, r.start + r.v) for r in got if r.k == key):
+            assert a == ends
+            ends = b
+        assert ends == sum(v for k, _, v in rows if k == key)
+    # the running order: by each level's bucket, outermost last dealt first
+    for levels in ([207, 13], [207]):
+        leaf, inner = (16, 4) if len(levels) == 2 else (16, 4096)
+        order = df.withColumn("b0", F.pmod(F.xxhash64("i"), F.lit(levels[0])))
+        order = order.withColumn("b1", F.pmod(F.xxhash64("b0"), F.lit(levels[1])) if len(levels) == 2 else F.lit(0))
+        want, ends = {}, Counter()
+        for r in sorted(order.collect(), key=lambda r: (r.b1, r.b0, r.i)):
+            want[(r.k, r.i)] = ends[r.k]
+            ends[r.k] += r.v
+        out = prefix_sum(df, ["k"], ["i"], "v", "start", len(rows), leaf=leaf, inner_leaf=inner).collect()
+        assert {(r.k, r.i): r.start for r in out} == want and len(out) == len(rows)
+
+
 # -- near duplicates ------------------------------------------------------------------------------------------------
 
 

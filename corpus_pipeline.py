@@ -7,9 +7,10 @@ Parquet and read again as the next one's docs. All but the last return the colum
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexforge.llm import decontam, jaccard, langid, linededup, mixing
-from lexforge.llm.common import broadcast_if_small, materialize
+from lexforge.llm.common import WORD, broadcast_if_small, materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,15 +24,32 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; of rows with equal id and text, one."""
-    classes = materialize(jaccard.near_duplicate_classes(docs))
+    """Of each group of linked rows one stays: that of the smallest doc_id, null last, then of the smallest text key.
+
+    Rows are told apart by doc_id and text, so a repeated or null doc_id neither drops a row of another group nor
+    keeps a second one of its own. Rows without a word link with nothing and all stay.
+    """
+    classes = materialize(jaccard.near_duplicate_classes(docs, row_key=True))
     gone = materialize(classes.where("component_id <> doc_id").select("doc_id").distinct())
-    out = docs.join(broadcast_if_small(gone, jaccard.SMALL_ROWS), "doc_id", "left_anti").select(*docs.columns)
-    twice = materialize(classes.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if twice.isEmpty():
-        return out
+    twice = materialize(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    nulls = not classes.where("doc_id is null").isEmpty()
     again = broadcast_if_small(twice, jaccard.SMALL_ROWS)
-    return out.join(again, "doc_id", "left_anti").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+    repeats = not twice.isEmpty()
+    once = docs.where("doc_id is not null") if nulls else docs
+    once = once.join(again, "doc_id", "left_anti") if repeats else once
+    out = once.join(broadcast_if_small(gone, jaccard.SMALL_ROWS), "doc_id", "left_anti").select(*docs.columns)
+    if not (repeats or nulls):
+        return out
+    # rows whose id alone doesn't name them: the group's row is chosen among those of its smallest id
+    first = classes.where("n_shingles > 0 and doc_id <=> component_id")
+    first = first.where("doc_id is null").unionByName(first.join(again, "doc_id", "left_semi").select(*first.columns))
+    stay = first.groupBy("group").agg(F.min("doc_id").alias("id"), F.min("text_key").alias("key"))
+    stay = broadcast_if_small(materialize(stay.select("id", "key")), jaccard.SMALL_ROWS).alias("k")
+    rows = docs.where("doc_id is null").unionByName(docs.join(again, "doc_id", "left_semi").select(*docs.columns))
+    has_word = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    same = F.col("r.doc_id").eqNullSafe(F.col("k.id")) & (jaccard.text_key(F.col("r.text")) == F.col("k.key"))
+    kept = rows.where(has_word).alias("r").join(stay, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.unionByName(rows.where(~has_word)).unionByName(kept.select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

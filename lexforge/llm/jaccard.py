@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm.common import Words, broadcast_if_small, connected_components, discard, materialize, mix64, slices
@@ -493,7 +493,12 @@ def _large_pairs(shared: DataFrame, labels: DataFrame, sigs: DataFrame, percent:
     return materialize(pairs.distinct())
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = 5, hot_at: int = HOT_AT) -> DataFrame:
+def text_key(text: Column) -> Column:
+    """64-bit digest of a text, by which rows of one id are told apart."""
+    return F.xxhash64(text)
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = 5, hot_at: int = HOT_AT, row_key: bool = False) -> DataFrame:
     """Size of each document's shingle set and the smallest id that links reach.
 
     Returns one row per input row: id_col, n_shingles long, component_id long. Words are runs of anything but
@@ -501,10 +506,15 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     null or empty text has none, links with nothing and keeps its own id. Documents link when 100 *
     intersection >= percent * union. Repeated rows and repeated ids give a row each; a null id stays null
     and is passed over when the smallest is taken. Other columns are ignored, an empty table gives none.
+
+    row_key adds text_key (text_key() of the text), which tells rows of one id apart, and group, a handle of the
+    component itself: repeated and null ids can give several components one component_id. Both are longs.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    scan = materialize(src.mapInArrow(_scan(["id"], k), f"id long, {META}"))
+    keys = ["id", "text_key"] if row_key else ["id"]
+    keyed = src.withColumn("text_key", text_key(F.col("text"))) if row_key else src
+    scan = materialize(keyed.mapInArrow(_scan(keys, k), f"{', '.join(f'{x} long' for x in keys)}, {META}"))
     meta = scan.where("seen is null")
     stats = meta.where("n > 0").agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
     parts = max(12, int(stats * (100 - percent) // 100 // 400_000))
@@ -544,6 +554,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         F.col("id").alias(id_col),
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")).alias("component_id"),
+        *([F.col("text_key"), F.col("comp").alias("group")] if row_key else []),
     )
 
 

@@ -358,6 +358,19 @@ def test_near_duplicates_stage_keeps_one_of_equal_rows(spark):
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(1, "a b c d e f"), (3, ""), (3, ""), (4, None)])
 
 
+def test_near_duplicates_stage_tells_rows_of_one_id_apart(spark):
+    near = [" ".join([*(f"p{i}" for i in range(60)), x]) for x in "xyz"]
+    only = [" ".join(f"{x}{i}" for i in range(30)) for x in "abcd"]
+    rows = [(1, near[0], "s"), (5, near[1], "s"), (5, only[0], "s"), (5, "", "s")]  # 5: one row goes, the others are unique
+    rows += [(7, only[1] + " v", "s"), (7, only[1] + " w", "s")]  # near rows of one id
+    rows += [(None, near[2], "s"), (None, only[2], "s"), (None, only[2] + " u", "s"), (None, only[2], "s"), (None, only[3], "s"), (None, None, "s")]
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), SF).collect())
+    assert [got.pop((7, f"{only[1]} {x}"), 0) for x in "vw"].count(1) == 1
+    assert [got.pop((None, only[2] + x), 0) for x in ("", " u")].count(1) == 1
+    assert got == Counter([(1, near[0]), (5, only[0]), (5, ""), (None, only[3]), (None, None)])
+    assert [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, frame(spark, [(2, only[0], "s"), (9, only[0], "s")]), SF).collect()] == [(2, only[0])]
+
+
 def test_training_is_bounded(spark):
     docs = frame(spark, [(i, f"text number {i} " * 20, "s") for i in range(500)])
     m = langid.train(docs, max_bytes=3_000, max_texts=100)

@@ -30,25 +30,36 @@ _SYMBOLS[list(b"#*$%&|<>")] = True
 
 
 def compression_verdict(raw: bytes, compress, bands=BANDS, chunk: int = CHUNK, chunk_band=CHUNK_BAND, share: float = CHUNK_SHARE) -> tuple[float, int, int, str]:
-    """(whole ratio, chunks, chunks out of band, reason) with reason null for text that stays, repetitive or incompressible else."""
+    """(whole ratio, chunks, chunks out of band, reason) with reason null for text that stays, repetitive or incompressible else.
+
+    Chunks cover the whole text: what follows the last full one is a chunk too, judged by the band of its length (below
+    the first there is no verdict, as for whole texts), and a chunk's bytes are its part in the share.
+    """
     n = len(raw)
     if not n:
         return 1.0, 0, 0, None
     ratio = len(compress(raw)) / n
-    low = high = 0
-    chunks = [raw[a : a + chunk] for a in range(0, n - chunk + 1, chunk)]
-    for c in chunks:
-        r = len(compress(c)) / chunk
-        low += r < chunk_band[0]
-        high += r > chunk_band[1]
+    judged = low = high = count = odd = 0
+    for a in range(0, n, chunk):
+        c = raw[a : a + chunk]
+        size = len(c)
+        limits = chunk_band if size == chunk else next((b[1:] for b in reversed(bands) if size >= b[0]), None)
+        if limits is None:
+            continue
+        r = ratio if size == n else len(compress(c)) / size
+        judged += size
+        low += size * (r < limits[0])
+        high += size * (r > limits[1])
+        count += 1
+        odd += r < limits[0] or r > limits[1]
     band = next((b for b in reversed(bands) if n >= b[0]), None)
     reason = None
     if band:
-        if ratio < band[1] or chunks and low > share * len(chunks):
+        if ratio < band[1] or low > share * judged:
             reason = "repetitive"
-        elif ratio > band[2] or chunks and high > share * len(chunks):
+        elif ratio > band[2] or high > share * judged:
             reason = "incompressible"
-    return ratio, len(chunks), low + high, reason
+    return ratio, count, odd, reason
 
 
 def _lines(raw: bytes) -> int:

@@ -57,6 +57,29 @@ def test_compression_bands(spark):
     assert out.where("kept").count() >= 0.98 * out.count()
 
 
+def test_last_chunk_is_judged():
+    import random
+
+    import zstandard
+
+    rnd = random.Random(5)
+    compress = zstandard.ZstdCompressor(level=quality.LEVEL).compress
+    vocabulary = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(300)]
+    prose = " ".join(rnd.choice(vocabulary) for _ in range(2000)).encode()
+    noise = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(2000)).encode()
+    loop = b"one two three four five six seven eight nine ten " * 40
+    short = lambda raw: quality.compression_verdict(raw, compress)[1:3]
+    assert short(prose[:2048]) == (1, 0) and short(prose[:4096]) == (2, 0) and short(prose[:2048] + b"x" * 99) == (1, 0)
+    assert short(prose[:2048] + loop[:1900]) == (2, 1) and short(prose[:2048] + b"a" * 150) == (2, 1)
+    assert short(loop[:700]) == (1, 1) and short(prose[:700]) == (1, 0) and short(b"") == (0, 0)
+    # two full chunks, one of them odd, stay at half of the bytes; an odd last chunk tips the scale
+    half = prose[:2048] + (loop + loop)[:2048]
+    wide = tuple((b[0], b[1], b[2]) if b[0] < 4_000 else (b[0], 0.0, 9.0) for b in quality.BANDS)
+    assert quality.compression_verdict(half, compress, wide)[3] is None
+    assert quality.compression_verdict(half + loop[:1900], compress, wide)[1:] == (3, 2, "repetitive")
+    assert quality.compression_verdict(half + noise[:1900], compress, wide)[3] is None
+
+
 # -- tokens -------------------------------------------------------------------------------------------------
 
 

@@ -67,8 +67,8 @@ def resolve(base: Column, href: Column) -> Column:
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges (u, v) between url nodes that pages declare: canonical links and refresh redirects."""
-    found = F.array(F.regexp_extract(html_col, _LINK, 1), F.regexp_extract(html_col, _REFRESH, 1))
+    """Edges (u, v) between url nodes that pages declare: every canonical link and refresh redirect of a page."""
+    found = F.concat(*[F.regexp_extract_all(html_col, F.lit(x), 1) for x in (_LINK, _REFRESH)])
     # most pages declare neither; a plain search spares them the patterns
     lower = F.lower(F.col(html_col))
     some = pages.where(lower.contains("canonical") | lower.contains("refresh"))

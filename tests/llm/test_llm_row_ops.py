@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import duckdb
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -222,6 +223,31 @@ def test_url_parts_and_rules(spark):
         assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.url_verdicts(df, given).collect()} == want
 
 
+def test_every_link_of_a_page_counts(spark, tmp_path):
+    link, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    pages = [
+        (1, "http://a.com/1", link.format("http://a.com/none") + "<p>x</p>" + link.format("http://bad.net/x")),
+        (2, "http://b.com/2", refresh.format("http://b.com/none") + refresh.format("http://c.net/y")),
+        (3, "http://d.com/3", link.format("http://bad.net/x") + refresh.format("http://b.com/none") + link.format("http://example.net/en/ok")),
+        (4, "http://e.com/4", link.format("http://e.com/none") * 3),
+        (5, "http://bad.net/x", None),
+        (6, "http://c.net/y", ""),
+        (7, "http://example.net/en/ok", "canonical refresh"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert Counter(tuple(r) for r in urls.page_links(df).distinct().collect()) == Counter(
+        [("http://a.com/1", "http://a.com/none"), ("http://a.com/1", "http://bad.net/x"), ("http://b.com/2", "http://b.com/none"), ("http://b.com/2", "http://c.net/y")]
+        + [("http://d.com/3", "http://bad.net/x"), ("http://d.com/3", "http://b.com/none"), ("http://d.com/3", "http://example.net/en/ok"), ("http://e.com/4", "http://e.com/none")]
+    )
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.QUERIES["op1_url_filters"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(queries.ORACLES["op1_url_filters"]).df()
+    rows = lambda d: sorted(map(repr, d[sorted(d.columns)].astype(object).where(d[sorted(d.columns)].notna(), None).values.tolist()))
+    assert rows(got) == rows(want) and set(got.verdict[got.page_id <= 3]) == {"allow"}
+
+
 def test_redirect_components(spark):
     link = '<link href="{}" rel="canonical">'
     pages = [

@@ -3,6 +3,7 @@ sums and vectorised word hashing over Arrow text columns."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -14,6 +15,11 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space (space and 0x09-0x0D).
 WORD = r"[^\x20\x09-\x0D]+"
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: its freed memory stays with the worker
+    _LIBC = None
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where that is unset (tests)."""
@@ -129,14 +135,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+#: powers are kept up to here (16 bytes each); a longer text has its own worked out and dropped
+_KEPT_POWERS = 1 << 20
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pows[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for i, base in enumerate((_R, _RINV)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _pows[i] = np.cumprod(steps, dtype=np.uint64)
-    return _pows[0], _pows[1]
+    if len(_pows[0]) >= n:
+        return _pows[0], _pows[1]
+    new = []
+    for base in (_R, _RINV):
+        steps = np.full(1 << max(16, (n - 1).bit_length()) if n <= _KEPT_POWERS else n, base, np.uint64)
+        steps[0] = 1
+        new.append(np.cumprod(steps, dtype=np.uint64))
+    if n <= _KEPT_POWERS:
+        _pows[:] = new
+    return new[0], new[1]
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers are kept for later tasks, and so is all that they hold."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def slices(column: pa.Array, max_bytes: int = 500_000):

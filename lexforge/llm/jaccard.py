@@ -9,14 +9,17 @@ popcount(xor)) / 2 bounds the overlap from above. What passes is decided by exac
 shingle arrays.
 
 The order puts frequent shingles last. Frequencies of shingles that meet within a scan block are counted over
-all documents, and those with many go into a bitmap of fixed size: any bitmap gives one order for all, so it
-only affects speed. Links are verified in three rounds. The first proposes one leader per class. Of tiles that
+all documents, and the most frequent, as many as a bitmap of fixed size can tell apart, go into it: any bitmap
+gives one order for all, so it only affects speed. Signatures come in two widths: a thin one of about the set's
+size in bits meets every candidate pair, the wide one only what the thin one leaves. Links are verified in three rounds. The first proposes one leader per class. Of tiles that
 then still join several components, the second proposes every pair across them in small tiles and a spanning
 forest in large ones, the last every pair across components in large ones - each as far as size band and
 signatures don't exclude it - so that no link between different components is left unseen.
 Pairs inside one component are never expanded. Large tiles are dealt into chunks of TILE members at most.
 
-Class handles are 64 bits of a 128-bit digest of the shingle set.
+Class handles are 64 bits of a 128-bit digest of the shingle set; the other half is compared, and where two sets
+share a handle everything is worked out again with other digests. Shingles themselves are 64-bit hashes of
+their words.
 """
 
 from __future__ import annotations
@@ -28,18 +31,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import Words, broadcast_if_small, connected_components, discard, materialize, mix64, slices
+from lexforge.llm.common import Words, broadcast_if_small, connected_components, discard, materialize, mix64, release, slices
 
 _U = np.uint64
 HOT_BITS = 26
-HOT_AT = 64
+#: a shingle is frequent from this count on; doubled until no more than 2**HOT_BITS / HOT_FILL shingles are
+HOT_AT = 2
+HOT_FILL = 8
 TILE = 2048
 #: narrow rows (two to four longs) that may be broadcast after a count
 SMALL_ROWS = 250_000
 #: shingles gathered before a block is counted or packed
 BLOCK = 500_000
 
-META = "cls long, check long, n int, sig binary, token long, seen int"
+META = "cls long, check long, n int, thin binary, sig binary, token long, seen int"
 
 
 def parity_signature(s: np.ndarray) -> bytes:
@@ -60,14 +65,21 @@ def fold(sig: np.ndarray, size: int) -> np.ndarray:
     return sig
 
 
+def thin(sig: bytes) -> bytes:
+    """A signature folded to a quarter (64 bits at least): one to two bits a shingle."""
+    x = np.frombuffer(sig, np.uint8)
+    return fold(x, max(8, len(x) // 4)).tobytes()
+
+
 def need(a, b, percent: int):
     """Smallest overlap with 100 * overlap >= percent * union."""
     return -(-percent * (a + b) // (100 + percent))
 
 
-def digests(s: np.ndarray) -> tuple[int, int]:
-    a = int(mix64(s + _U(0x51ED270B)).sum(dtype=np.uint64))
-    b = int(mix64(s ^ _U(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64))
+def digests(s: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """128-bit digest of a set as two longs, another one for each salt."""
+    a = int(mix64(s + _U(0x51ED270B + salt)).sum(dtype=np.uint64))
+    b = int(mix64(s ^ _U(0xA5A5A5A55A5A5A5A + salt)).sum(dtype=np.uint64))
     return a - (1 << 64) if a >= 1 << 63 else a, b - (1 << 64) if b >= 1 << 63 else b
 
 
@@ -76,8 +88,9 @@ def _texts(batch: pa.RecordBatch, name: str = "text"):
         yield a, b, batch.slice(a, b - a)
 
 
-def _scan(id_columns: list[str], k: int):
-    """Rows of documents: id columns, class, size and signature; and (token, seen) for shingles met twice or more in a block."""
+def _scan(id_columns: list[str], k: int, salt: int):
+    """Rows of documents: id columns, class, size and signatures; and (token, seen) for shingles met twice or more in a block."""
+    names = [*id_columns, "cls", "check", "n", "thin", "sig", "token", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, classes, size = [], set(), 0
@@ -86,45 +99,47 @@ def _scan(id_columns: list[str], k: int):
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             tokens, counts = tokens[counts > 1], counts[counts > 1]
             m = len(tokens)
-            none = pa.nulls(m, pa.int64())
-            cols = [none] * (len(id_columns) + 2) + [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int32))]
-            return pa.RecordBatch.from_arrays(cols, names=[*id_columns, "cls", "check", "n", "sig", "token", "seen"])
+            none = [pa.nulls(m, pa.int64())] * (len(id_columns) + 2) + [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())]
+            return pa.RecordBatch.from_arrays([*none, pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int32))], names=names)
 
         for batch in batches:
             for _, _, part in _texts(batch):
-                sets = Words(part.column("text"), lower=True).shingle_sets(k)
-                cls, check, n, sig = [], [], [], []
-                for s in sets:
-                    c, d = digests(s)
-                    cls.append(c)
-                    check.append(d)
-                    n.append(len(s))
-                    sig.append(parity_signature(s))
+                rows = []
+                for s in Words(part.column("text"), lower=True).shingle_sets(k):
+                    c, d = digests(s, salt)
+                    wide = parity_signature(s)
+                    rows.append((c, d, len(s), thin(wide), wide))
                     if len(s) and c not in classes:
                         classes.add(c)
-                        held.append(s[: np.searchsorted(s, _U(1 << 63))])
-                        size += len(held[-1])
-                m = len(n)
-                cols = [part.column(c).cast(pa.int64()) for c in id_columns] + [pa.array(cls, pa.int64()), pa.array(check, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*id_columns, "cls", "check", "n", "sig", "token", "seen"])
+                        held.append(s)
+                        size += len(s)
+                m = len(rows)
+                cols = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c).cast(pa.int64()) for c in id_columns), *cols, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())], names=names)
                 if size >= BLOCK:
                     yield flush()
                     held, classes, size = [], set(), 0
         if held:
             yield flush()
+        release()
 
     return run
 
 
 def _hot_bits(scan: DataFrame, hot_at: int) -> np.ndarray:
-    """Fixed-size bitmap of shingles seen hot_at times or more (2**HOT_BITS bits; at most 2**(HOT_BITS - 6) rows reach the driver)."""
+    """Fixed-size bitmap of the shingles seen most often (2**HOT_BITS bits; at most 2**(HOT_BITS - 6) rows reach the driver).
+
+    hot_at is doubled until at most 2**HOT_BITS / HOT_FILL shingles reach it, so that the bitmap tells them from others.
+    """
     counted = scan.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= hot_at)
+    counted = materialize(counted)
+    steps = [(r.e, r.n) for r in counted.groupBy(F.floor(F.log2(F.col("seen") / hot_at)).alias("e")).agg(F.count("*").alias("n")).collect()]
+    up = 0
+    while sum(n for e, n in steps if e >= up) > (1 << HOT_BITS) // HOT_FILL:
+        up += 1
     bit = F.shiftrightunsigned("token", 20).bitwiseAND(F.lit((1 << HOT_BITS) - 1))
-    words = counted.select(F.shiftrightunsigned(bit, 6).alias("w"), bit.alias("b"))
-    rows = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).collect()
-    out = np.zeros(1 << (HOT_BITS - 6), np.uint64)
-    for r in rows:
-        out[r.w] = _U(r.v & 0xFFFFFFFFFFFFFFFF)
+    out = _bitmap_of(counted.where(F.col("seen") >= hot_at << up).select(bit.alias("bit")), "bit")
+    discard(counted)
     return out
 
 
@@ -133,28 +148,42 @@ def _is_hot(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
     return (bits[(b >> _U(6)).astype(np.int64)] >> (b & _U(63))) & _U(1) == 1
 
 
-def _entries(bits, percent: int, parts: int, k: int):
-    """Prefix entries packed by part: tokens, class handles and set sizes as little-endian arrays."""
+TOKEN_BYTES = 5
+
+
+def _entries(bits, percent: int, parts: int, k: int, salt: int):
+    """Prefix entries packed by part: each class once with its size and number of tokens, and TOKEN_BYTES of each token.
+
+    A token's part is a hash of all its bits, so part and TOKEN_BYTES tell tokens apart nearly always; where they don't, a
+    tile holds the classes of both.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = bits.value
         tokens, owners, sizes, classes, held = [], [], [], set(), 0
 
         def flush():
-            t, c, n = np.concatenate(tokens), np.repeat(np.array(owners, np.int64), [len(x) for x in tokens]), np.repeat(np.array(sizes, np.int32), [len(x) for x in tokens])
-            p = ((t >> _U(4)) % _U(parts)).astype(np.int32)
-            order = np.argsort(p, kind="stable")
-            t, c, n, p = t[order], c[order], n[order], p[order]
+            t = np.concatenate(tokens)
+            owner = np.repeat(np.arange(len(owners)), [len(x) for x in tokens])
+            p = (mix64(t) % _U(parts)).astype(np.int64)
+            order = np.lexsort((owner, p))
+            t, owner, p = t[order], owner[order], p[order]
+            raw = np.ascontiguousarray(t.view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES])
+            c, n = np.array(owners, np.int64), np.array(sizes, np.int32)
             at = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1], [True])))
-            rows = [(int(p[a]), t[a:b].tobytes(), c[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "tokens", "classes", "sizes"])
+            rows = []
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                own, count = np.unique(owner[a:b], return_counts=True)
+                rows.append((int(p[a]), raw[a:b].tobytes(), c[own].tobytes(), n[own].tobytes(), count.astype(np.int32).tobytes()))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["part", "tokens", "classes", "sizes", "counts"])
 
         for batch in batches:
             for _, _, part in _texts(batch):
                 for s in Words(part.column("text"), lower=True).shingle_sets(k):
                     if not len(s):
                         continue
-                    c, _ = digests(s)
+                    c, _ = digests(s, salt)
                     if c in classes:
                         continue
                     classes.add(c)
@@ -172,6 +201,7 @@ def _entries(bits, percent: int, parts: int, k: int):
                     tokens, owners, sizes, classes, held = [], [], [], set(), 0
         if held:
             yield flush()
+        release()
 
     return run
 
@@ -181,7 +211,12 @@ def _meet(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        t, c, n = join("tokens", np.uint64), join("classes", np.int64), join("sizes", np.int32)
+        raw = join("tokens", np.uint8).reshape(-1, TOKEN_BYTES)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :TOKEN_BYTES] = raw
+        t = wide.view(np.uint64).ravel() | _U(table.column("part")[0].as_py() << 8 * TOKEN_BYTES)
+        count = join("counts", np.int32)
+        c, n = np.repeat(join("classes", np.int64), count), np.repeat(join("sizes", np.int32), count)
         order = np.lexsort((c, n, t))
         t, c, n = t[order], c[order], n[order]
         new = np.concatenate(([True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])))
@@ -218,7 +253,7 @@ def _meet(percent: int):
     return run
 
 
-def _arrays(wanted, k: int):
+def _arrays(wanted, k: int, salt: int):
     """Sorted shingle arrays of rows whose id is in a bitmap (false positives go at the join); a null id counts as -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +264,9 @@ def _arrays(wanted, k: int):
             if not hit.any():
                 continue
             for _, _, part in _texts(batch.filter(pa.array(hit))):
-                rows = [(digests(s)[0], s.tobytes()) for s in Words(part.column("text"), lower=True).shingle_sets(k) if len(s)]
+                rows = [(digests(s, salt)[0], s.tobytes()) for s in Words(part.column("text"), lower=True).shingle_sets(k) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cls", "shingles"])
+        release()
 
     return run
 
@@ -263,6 +299,7 @@ def _decide(percent: int):
                 common = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * common >= percent * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(ok, pa.bool_())], names=["u", "v", "ok"])
+        release()
 
     return run
 
@@ -281,22 +318,24 @@ def _within_bounds(percent: int):
                 apart = int(np.bitwise_count(fold(s, size).view(np.uint64) ^ fold(t, size).view(np.uint64)).sum())
                 keep[i] = (a[i] + b[i] - apart) // 2 >= need(a[i], b[i], percent)
             yield batch.filter(pa.array(keep)).select(["u", "v"])
+        release()
 
     return run
 
 
-def _verify(pairs: DataFrame, src: DataFrame, owners: DataFrame, percent: int, k: int) -> DataFrame:
+def _verify(pairs: DataFrame, src: DataFrame, owners: DataFrame, percent: int, k: int, salt: int) -> DataFrame:
     """pairs (u, v), distinct -> (u, v, ok), materialised. owners: (cls, id), the row whose text stands for a class."""
     ends = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).distinct()
-    ends = materialize(owners.join(ends, "cls", "left_semi"))
+    ends = materialize(owners.join(broadcast_if_small(materialize(ends), SMALL_ROWS), "cls", "left_semi"))
     wanted = src.sparkSession.sparkContext.broadcast(_bitmap_of(ends.select(F.coalesce("id", F.lit(-1)).alias("id")), "id"))
-    arrays = materialize(src.mapInArrow(_arrays(wanted, k), "cls long, shingles binary").join(broadcast_if_small(ends.select("cls"), SMALL_ROWS), "cls", "left_semi"))
+    arrays = materialize(src.mapInArrow(_arrays(wanted, k, salt), "cls long, shingles binary").join(broadcast_if_small(ends.select("cls"), SMALL_ROWS), "cls", "left_semi"))
     x = arrays.select(F.col("cls").alias("u"), F.col("shingles").alias("x"))
     y = arrays.select(F.col("cls").alias("v"), F.col("shingles").alias("y"))
     joined = x.join(broadcast_if_small(pairs, SMALL_ROWS), "u").join(y, "v").select("u", "v", "x", "y")
     out = materialize(joined.mapInArrow(_decide(percent), "u long, v long, ok boolean").distinct())
     discard(arrays)
     discard(ends)
+    wanted.unpersist()
     return out
 
 
@@ -448,10 +487,15 @@ def _large_tiles(percent: int, forest: bool):
 
 
 def _bounded(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) that size band and signatures leave."""
-    x = sigs.select(F.col("cls").alias("u"), F.col("n").alias("a"), F.col("sig").alias("x"))
-    y = sigs.select(F.col("cls").alias("v"), F.col("n").alias("b"), F.col("sig").alias("y"))
-    return pairs.join(x, "u").join(y, "v").mapInArrow(_within_bounds(percent), "u long, v long")
+    """Pairs (u, v) that size band, thin and then wide signatures leave, materialised."""
+    for column in ("thin", "sig"):
+        x = sigs.select(F.col("cls").alias("u"), F.col("n").alias("a"), F.col(column).alias("x"))
+        y = sigs.select(F.col("cls").alias("v"), F.col("n").alias("b"), F.col(column).alias("y"))
+        small = broadcast_if_small(pairs, SMALL_ROWS)
+        left = materialize(small.join(x, "u").join(y, "v").mapInArrow(_within_bounds(percent), "u long, v long"))
+        discard(pairs)
+        pairs = left
+    return pairs
 
 
 def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -462,9 +506,11 @@ def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _small_pairs(shared: DataFrame, labels: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    rows = _mixed(shared.where(F.col("m") <= SMALL_TILE), labels).select(F.col("token").alias("key"), "cls", "n", "comp")
+    """Pairs across components of small tiles; a tile of one component alone has none, so tiles needn't be told apart before."""
+    rows = shared.where(F.col("m") <= SMALL_TILE).join(broadcast_if_small(labels, SMALL_ROWS), "cls", "left")
+    rows = rows.select(F.col("token").alias("key"), "cls", "n", F.coalesce("comp", "cls").alias("comp"))
     pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_small_tiles(percent), "u long, v long").distinct()
-    return materialize(_bounded(pairs, sigs, percent))
+    return _bounded(materialize(pairs), sigs, percent)
 
 
 def _large_pairs(shared: DataFrame, labels: DataFrame, sigs: DataFrame, percent: int, forest: bool) -> DataFrame:
@@ -514,37 +560,53 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     keys = ["id", "text_key"] if row_key else ["id"]
     keyed = src.withColumn("text_key", text_key(F.col("text"))) if row_key else src
-    scan = materialize(keyed.mapInArrow(_scan(keys, k), f"{', '.join(f'{x} long' for x in keys)}, {META}"))
-    meta = scan.where("seen is null")
+    for salt in range(8):
+        scan = materialize(keyed.mapInArrow(_scan(keys, k, salt), f"{', '.join(f'{x} long' for x in keys)}, {META}"))
+        meta = scan.where("seen is null")
+        handles = meta.where("n > 0").groupBy("cls").agg(F.min("check").alias("a"), F.max("check").alias("b"))
+        if handles.where("a <> b").isEmpty():
+            break
+        discard(scan)
+    else:
+        raise RuntimeError("sets clash under every digest")
     stats = meta.where("n > 0").agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
     parts = max(12, int(stats * (100 - percent) // 100 // 400_000))
     hot = spark.sparkContext.broadcast(_hot_bits(scan, hot_at))
-    packed = src.select("text").mapInArrow(_entries(hot, percent, parts, k), "part int, tokens binary, classes binary, sizes binary")
-    met = packed.groupBy("part").applyInArrow(_meet(percent), "token long, cls long, n int, m int, leader long, votes int")
-    met = materialize(met)
+    packed = src.select("text").mapInArrow(_entries(hot, percent, parts, k, salt), "part int, tokens binary, classes binary, sizes binary, counts binary")
+    met = materialize(packed.groupBy("part").applyInArrow(_meet(percent), "token long, cls long, n int, m int, leader long, votes int"))
+    hot.unpersist()
     shared = met.where("token is not null")
     best = met.where("leader is not null").groupBy("cls", "leader").agg(F.sum("votes").alias("votes"))
     best = best.groupBy("cls").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("leader"))
-    best = best.select(F.least("cls", "leader").alias("u"), F.greatest("cls", "leader").alias("v")).distinct()
-    ends = broadcast_if_small(materialize(shared.select("cls").distinct()), SMALL_ROWS)
-    sigs = meta.where("n > 0").join(ends, "cls", "left_semi").groupBy("cls").agg(F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("id").alias("id"))
-    sigs = materialize(sigs)
+    best = materialize(best.select(F.least("cls", "leader").alias("u"), F.greatest("cls", "leader").alias("v")).distinct())
+    ends = materialize(shared.select("cls").distinct())
+    sigs = meta.where("n > 0").join(broadcast_if_small(ends, SMALL_ROWS), "cls", "left_semi").groupBy("cls")
+    sigs = materialize(sigs.agg(F.min("n").alias("n"), F.min("thin").alias("thin"), F.min("sig").alias("sig"), F.min("id").alias("id")))
+    discard(ends)
     owners = sigs.select("cls", "id")
-    pairs = materialize(_bounded(best, sigs, percent))
-    tested = _verify(pairs, src, owners, percent, k)
+    pairs = _bounded(best, sigs, percent)
+    tested = _verify(pairs, src, owners, percent, k, salt)
+    discard(pairs)
     links = tested.where("ok").select("u", "v")
     labels = _labels(links)
     for propose in (
-        lambda: _small_pairs(shared, labels, sigs, percent).unionByName(_large_pairs(shared, labels, sigs, percent, True)),
-        lambda: _large_pairs(shared, labels, sigs, percent, False),
+        lambda: (_small_pairs(shared, labels, sigs, percent), _large_pairs(shared, labels, sigs, percent, True)),
+        lambda: (_large_pairs(shared, labels, sigs, percent, False),),
     ):
-        fresh = materialize(propose().distinct().join(tested.select("u", "v"), ["u", "v"], "left_anti"))
+        found = propose()
+        union = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        fresh = materialize(union.distinct().join(broadcast_if_small(tested.select("u", "v"), SMALL_ROWS), ["u", "v"], "left_anti"))
+        for x in found:
+            discard(x)
         if fresh.isEmpty():
             continue
-        checked = _verify(fresh, src, owners, percent, k)
+        checked = _verify(fresh, src, owners, percent, k, salt)
+        discard(fresh)
         tested, links = tested.unionByName(checked), links.unionByName(checked.where("ok").select("u", "v"))
         if not checked.where("ok").isEmpty():
             labels = _labels(links)
+    discard(met)
+    discard(sigs)
     classes = meta.join(labels, "cls", "left")
     # documents without shingles stay alone; the others group by component or class
     classes = classes.withColumn("comp", F.coalesce("comp", "cls"))

@@ -171,6 +171,10 @@ def slices(column: pa.Array, max_bytes: int = 500_000):
         a = b
 
 
+#: bytes of text whose words are hashed at a time
+SPAN_BYTES = 1 << 20
+
+
 class Words:
     """Words of every text in a string column: byte spans, 64-bit hashes and the row that each belongs to."""
 
@@ -195,11 +199,18 @@ class Words:
         self.start = np.flatnonzero(~space & brk[:n])
         self.end = np.flatnonzero(~space & after) + 1
         self.row = np.searchsorted(self.offsets, self.start, "right") - 1
-        power, inverse = _powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((_LOWER if lower else _SAME)[data] * power[:n], out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * inverse[self.start]
-        self.hash = mix64(h + (self.end - self.start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        self.hash = np.zeros(len(self.start), np.uint64)
+        # a very long text takes its words in spans, so that only what is kept grows with it
+        at = 0
+        while at < len(self.start):
+            to = max(at + 1, int(np.searchsorted(self.end, self.start[at] + SPAN_BYTES, "right")))
+            low, high = int(self.start[at]), int(self.end[to - 1])
+            power, inverse = _powers(high - low + 1)
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum((_LOWER if lower else _SAME)[data[low:high]] * power[: high - low], out=sums[1:])
+            x, y = self.start[at:to] - low, self.end[at:to] - low
+            self.hash[at:to] = mix64((sums[y] - sums[x]) * inverse[x] + (y - x).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+            at = to
         #: first word of each row, and one more
         self.first = np.searchsorted(self.row, np.arange(self.rows + 1))
 

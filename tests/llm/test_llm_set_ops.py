@@ -7,12 +7,13 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexforge.llm import decontam, jaccard, langid, linededup, mixing, queries
-from lexforge.llm.common import connected_components, prefix_sum
+from lexforge.llm.common import Words, connected_components, prefix_sum
 
 SF = "/root/testdata/sf0.001"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -265,11 +266,77 @@ def test_hamming_blocks_miss_none():
     entries = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     queried = entries[rng.integers(0, 300, 2000)].copy()
     for i in range(len(queried)):
-        for b in rng.choice(64, rng.integers(0, 6), replace=False):
+        for b in rng.choice(64, rng.integers(0, 12), replace=False):
             queried[i] ^= np.uint64(1) << np.uint64(b)
-    q, e = decontam.HammingIndex(entries, 3).search(queried)
-    near = np.bitwise_count(queried[:, None] ^ entries[None, :]) <= 3
-    assert set(zip(q.tolist(), e.tolist(), strict=True)) == set(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True))
+    for blocks, near, radius in ((3, 2, 8), (4, 0, 3), (2, 1, 3)):
+        q, e = decontam.HammingIndex(entries, blocks, near).search(queried)
+        close = np.bitwise_count(queried[:, None] ^ entries[None, :]) <= radius
+        assert set(zip(q.tolist(), e.tolist(), strict=True)) == set(zip(*map(np.ndarray.tolist, np.nonzero(close)), strict=True))
+
+
+def edited(rnd, item, kind):
+    """A passage that may still reach the threshold against item, by one kind of edit or several."""
+    w, x = list(item), decontam.lost(len(item))
+    new = lambda: f"new{rnd.randrange(10**6)}"
+    if kind == "ends":
+        a = rnd.randint(0, x)
+        w = w[a : len(w) - (x - a)]
+    elif kind == "block":
+        c = max(1, x - 4)
+        a = rnd.randrange(len(w) - c + 1)
+        w[a : a + c] = [new() for _ in range(c)]
+    elif kind == "words":
+        for _ in range(max(1, x // 5)):
+            w[rnd.randrange(len(w))] = new()
+    elif kind == "more":
+        for _ in range(max(1, x // 4)):
+            w.insert(rnd.randrange(len(w)), new())
+    elif kind == "less":
+        for _ in range(max(1, x // 5)):
+            del w[rnd.randrange(len(w))]
+    return w
+
+
+def test_decontamination_recall():
+    """Fingerprints of item-sized windows find at least 0.97 of the passages that brute force finds, and nothing else."""
+    rnd = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(3000)] + ["the", "of", "and", "to"] * 150
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(n))) for i, n in enumerate([15, 17, 22, 27, 33, 38, 43, 48, 52, 56, 59, 75, 90, 120, 180, 260, 400, 700])]
+    index = decontam.ItemIndex(items)
+    texts, owner = [], []
+    for i, it in items:
+        for kind in ("whole", "ends", "block", "words", "more", "less"):
+            for _ in range(12):
+                body = [rnd.choice(vocabulary) for _ in range(rnd.randint(5, 80))]
+                at = rnd.randint(0, len(body))
+                texts.append(" ".join(body[:at] + edited(rnd, it.split(), kind) + body[at:]))
+                owner.append(i)
+    texts += [" ".join(rnd.choice(vocabulary) for _ in range(300)) for _ in range(50)]
+    got = {(row, item) for row, item, _, _ in index.hits(Words(pa.array(texts), lower=True))}
+    want = {(r, i) for r, i in enumerate(owner) if brute_hits([(r, texts[r])], [items[i]])}
+    assert got <= want and len(want) > 700 and len(got) >= 0.97 * len(want)
+    # the radius does work: many are found only through fingerprints that differ
+    for _, _, hamming, _, _ in index.groups:
+        hamming.radius = 0
+    same = {(row, item) for row, item, _, _ in index.hits(Words(pa.array(texts), lower=True))}
+    assert same < got and len(same) < 0.9 * len(got)
+
+
+def test_decontamination_passes_and_spans(spark, monkeypatch):
+    rnd = random.Random(2)
+    items = [(i, " ".join(f"w{rnd.randrange(400)}" for _ in range(30 + i))) for i in range(12)]
+    docs = [(i, " ".join([f"w{rnd.randrange(400)}" for _ in range(rnd.randint(0, 900))] + items[i % 12][1].split() + ["end"] * (i % 5)), "s") for i in range(36)]
+    df, bench = frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: sorted((r.doc_id, r.item_id, r.similarity, r.first_word) for r in decontam.contaminated(df, bench).collect())
+    whole = rows()
+    assert {(d, i) for d, i, *_ in whole} >= {(i, i % 12) for i in range(36)}
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 150_000)
+    assert len(decontam._passes(bench, "item_id", "text", 5, 75)) > 3
+    assert rows() == whole and decontam.drop_contaminated(df, bench).count() == 0
+    words = Words(pa.array([t for _, t, _ in docs]), lower=True)
+    found = sorted(decontam.ItemIndex(items).hits(words))
+    monkeypatch.setattr(decontam, "SPAN", 97)
+    assert sorted(decontam.ItemIndex(items).hits(words)) == found
 
 
 # -- mixing --------------------------------------------------------------------------------------------------------------------

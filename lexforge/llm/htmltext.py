@@ -1,13 +1,16 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree. Each node has C characters and T tags below it, LC and LT of them inside links. Its
-composite density is C / T times the logarithm of (C / LC) (T / LT) to a base that grows where a node's link
-characters are few and where the body's are many; link-heavy nodes fall to almost nothing. The densities
-of a node's children add up to its density sum. From the body the walk follows the child that holds the
-maximum-sum node; the least density on that path is the threshold, and blocks of the page's largest-sum
-subtree are kept, but for block children below it that are mostly links. A marked article around that
-subtree is taken whole; without one the subtree widens while what joins isn't mostly links. Page furniture (menus, sidebars, forms, notices, adverts, comments) is cut
-by element and by class, id or role before any density is taken.
+A page becomes a tree. What the contract names as no part of an article (menus, site headers, footers, sidebars, notices,
+adverts, forms, scripts, styles, reader comments) is cut by element and by class, id or role. Each node left has C
+characters and T tags below it, LC and LT of them inside links. Its composite density is C / T times the logarithm of
+(C / LC) (T / LT) to a base that grows where a node's link characters are few and where the body's are many; link-heavy
+nodes fall to almost nothing. The densities of a node's children add up to its density sum, and the node of the
+largest sum is the core of the main text. The least density on its path to the body is the threshold: what stands beside
+the path and falls below it is left out if most of it is links; headings and other short text without links stay. If
+the core lies in a marked article, the article holds exactly its own parts: all of them, and nothing beside it. No text
+of the selected subtree is dropped.
+
+Parsing takes time in proportion to the page: no tag is looked for twice, and open elements are found by tag.
 """
 
 from __future__ import annotations
@@ -21,19 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import slices
+from lexforge.llm.common import release, slices
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>")
+_PLAIN_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ATTR = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 _WHITE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "textarea", "title", "head", "noembed", "noframes", "xmp")
+#: elements without markup inside, which only their own end tag ends
 _RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp")}
-DROPPED = frozenset((*RAW, *"nav aside form button select option datalist dialog menu audio video map".split()))
+DROPPED = frozenset((*_RAW_END, *"noscript template head nav aside form button select option datalist dialog menu".split()))
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
-#: opening one of these closes open ones of the second list, up to the scope's edge
+#: opening one of these closes open ones of the second list, up to the scope's edge or another block
 _IMPLIED = {
     **{x: (frozenset(("p",)), frozenset("button table td th caption".split())) for x in BLOCKS - frozenset("td th tr tbody thead tfoot caption li dd dt html body".split())},
     "li": (frozenset(("li", "p")), frozenset("ul ol menu dir table td th".split())),
@@ -45,8 +49,9 @@ _IMPLIED = {
     "tbody": (frozenset("thead tbody tfoot tr td th p caption".split()), frozenset(("table",))),
     "thead": (frozenset("thead tbody tfoot tr td th p caption".split()), frozenset(("table",))),
     "tfoot": (frozenset("thead tbody tfoot tr td th p caption".split()), frozenset(("table",))),
-    "option": (frozenset(("option",)), frozenset(("select", "datalist"))),
 }
+#: a stray inline end tag closes nothing beyond the nearest of these
+_SCOPES = BLOCKS - frozenset(("p", "li"))
 #: words of class, id or role that mark page furniture; compared with whole parts of names
 _FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot adsense banner sponsor sponsored promo promotion "
@@ -56,8 +61,10 @@ _FURNITURE = frozenset(
     "comment comments commentlist discussion disqus replies respond reply "
     "share sharing social follow subscribe subscription newsletter signup login search searchbox searchform "
     "reviews responses feedback announcement toc topbar "
-    "masthead footer colophon copyright legal skip complementary contentinfo".split()
+    "masthead footer colophon complementary contentinfo".split()
 )
+#: these mark it only where no article is around
+_FURNITURE_OUTSIDE = frozenset("copyright legal skip".split())
 _CONTENT = frozenset("article content main post entry story body text page wrapper container layout".split())
 #: names that only say what else a page has
 _WITH = frozenset("has with no without".split())
@@ -73,60 +80,114 @@ class Node:
         self.tag, self.attrs, self.parent, self.kids, self.holds_article = tag, attrs, parent, [], False
 
 
+class _Open:
+    """Open elements: a stack, and where in it each tag, each block and each scope stands."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.blocks, self.scopes = [root], {}, [], [0]
+
+    def push(self, node: Node) -> None:
+        i = len(self.stack)
+        self.stack.append(node)
+        self.at.setdefault(node.tag, []).append(i)
+        if node.tag in BLOCKS or node.tag == "button":
+            self.blocks.append(i)
+        if node.tag in _SCOPES:
+            self.scopes.append(i)
+
+    def close(self, i: int) -> None:
+        """Close the element at place i and all inside it."""
+        for node in self.stack[i:]:
+            self.at[node.tag].pop()
+        del self.stack[i:]
+        for places in (self.blocks, self.scopes):
+            while places and places[-1] >= i:
+                places.pop()
+
+    def end(self, tag: str) -> None:
+        places = self.at.get(tag)
+        if places and (tag in BLOCKS or places[-1] > self.scopes[-1]):
+            self.close(places[-1])
+
+    def imply(self, tag: str) -> None:
+        ends, edge = _IMPLIED[tag]
+        last = None
+        for i in reversed(self.blocks):
+            other = self.stack[i].tag
+            if other in edge or other not in ends:
+                break
+            last = i
+        if last is not None:
+            self.close(last)
+
+
 def parse(page: str) -> Node:
-    """Tree of a page: nodes and strings. Unclosed and stray tags are mended by the usual implied ends."""
+    """Tree of a page: nodes and strings, character references decoded. Unclosed and stray tags are mended by the usual
+    implied ends; a < that starts no tag is text."""
     root = Node("html", "", None)
-    here, at, n = root, 0, len(page)
+    open_ = _Open(root)
+    body = False
+    at, n, last, tag_at = 0, len(page), page.rfind(">"), _TAG
+
+    def text(part: str) -> None:
+        if part:
+            open_.stack[-1].kids.append(htmllib.unescape(part) if "&" in part else part)
+
+    began = 0  # start of text not yet added
     while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            here.kids.append(page[at:])
+        at = page.find("<", at)
+        if at < 0:
             break
-        if m.start() > at:
-            here.kids.append(page[at : m.start()])
-        at = m.end()
-        tag = m.group(3)
-        if tag is None:
-            if m.group(1):
-                here.kids.append(m.group(1))
+        here = page[at + 1 : at + 2]
+        if here in "!?" and here:
+            text(page[began:at])
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = began = n if end < 0 else end + 3
+            elif page.startswith("<![CDATA[", at):
+                end = page.find("]]>", at + 9)
+                text(page[at + 9 : n if end < 0 else end].replace("&", "&amp;"))
+                at = began = n if end < 0 else end + 3
+            else:
+                end = page.find(">", at)
+                at = began = n if end < 0 else end + 1
             continue
-        tag = tag.lower()
-        if m.group(2):
-            up = here
-            while up is not None and up.tag != tag:
-                if tag not in BLOCKS and up.tag in BLOCKS and up.tag not in ("p", "li"):
-                    up = None  # a stray inline end closes no block
-                    break
-                up = up.parent
-            if up is not None and up is not root:
-                here = up.parent
+        if at > last:
+            break
+        if not (here.isascii() and here.isalpha() or here == "/" and page[at + 2 : at + 3].isascii() and page[at + 2 : at + 3].isalpha()):
+            at += 1
+            continue
+        m = tag_at.match(page, at)
+        if not m:  # a quote that nothing closes: from here on quotes hide no tag's end
+            tag_at = _PLAIN_TAG
+            m = tag_at.match(page, at)
+        text(page[began:at])
+        at = began = m.end()
+        tag, attrs = m.group(1).lower(), m.group(2)
+        if here == "/":
+            open_.end(tag)
             continue
         if tag in ("html", "body"):
-            if tag == "body" and not any(isinstance(k, Node) and k.tag == "body" for k in root.kids):
-                here = Node("body", m.group(4), root)
-                root.kids.append(here)
+            if tag == "body" and not body:
+                body = True
+                open_.close(1)
+                node = Node("body", attrs, root)
+                root.kids.append(node)
+                open_.push(node)
             continue
         if tag in _IMPLIED:
-            ends, edge = _IMPLIED[tag]
-            up, last = here, None
-            while up is not None and up.tag not in edge:
-                if up.tag in ends:
-                    last = up
-                elif up.tag in BLOCKS and up.tag not in ends:
-                    break
-                up = up.parent
-            if last is not None:
-                here = last.parent
-        node = Node(tag, m.group(4), here)
-        here.kids.append(node)
-        if tag in VOID or m.group(4).endswith("/") and tag not in BLOCKS:
+            open_.imply(tag)
+        node = Node(tag, attrs, open_.stack[-1])
+        node.parent.kids.append(node)
+        if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
             continue
         if tag in _RAW_END:
             e = _RAW_END[tag].search(page, at)
             node.kids.append(page[at : e.start() if e else n])
-            at = e.end() if e else n
+            at = began = e.end() if e else n
             continue
-        here = node
+        open_.push(node)
+    text(page[began:])
     return root
 
 
@@ -144,7 +205,7 @@ def _named_so(names: dict[str, str], in_article: bool) -> bool:
             if parts in _SITE_HEADER and not in_article:
                 return True
             content = len(parts) > 1 and parts[-1] in _CONTENT and parts[0] not in _FURNITURE
-            if not content and _FURNITURE.intersection(parts):
+            if not content and (_FURNITURE.intersection(parts) or not in_article and _FURNITURE_OUTSIDE.intersection(parts)):
                 return True
     return False
 
@@ -158,20 +219,26 @@ def is_furniture(node: Node, in_article: bool) -> bool:
     if not node.attrs or tag in ("main", "body"):
         return False
     names = _names(node.attrs)
-    if "hidden" in names or names.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", names.get("style", ""), re.I):
+    if "hidden" in names or re.search(r"display\s*:\s*none", names.get("style", ""), re.I):
         return True
     return not node.holds_article and _named_so(names, in_article)
 
 
-def mark_article(root: Node) -> None:
-    """Mark the first article or main that isn't named like furniture, and all around it: no name drops those."""
-    for node in _order(root):
-        if node.tag in ("article", "main") and not _named_so(_names(node.attrs), True):
+def mark_articles(root: Node) -> None:
+    """Mark every article or main that isn't named like furniture nor inside such, and all around it: no name drops those."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.tag in ("article", "main"):
+            if _named_so(_names(node.attrs), True):
+                continue
             up = node
-            while up is not None:
+            while up is not None and not up.holds_article:
                 up.holds_article = True
                 up = up.parent
-            return
+        elif node.tag in DROPPED or node.tag in ("header", "footer") or node.tag == "section" and node.attrs and _named_so(_names(node.attrs), True):
+            continue
+        stack.extend(k for k in node.kids if not isinstance(k, str))
 
 
 def prune(node: Node, in_article: bool = False) -> None:
@@ -223,35 +290,49 @@ def weigh(body: Node) -> list[Node]:
     return nodes
 
 
-def blocks(node: Node, threshold: float) -> list[str]:
-    """Text blocks of a subtree in page order; block children below the threshold that are mostly links are left out."""
+def select(body: Node) -> list[Node]:
+    """Roots of the main text, in page order: the core of the largest density sum and what stands beside its path at the threshold."""
+    core = body.best
+    path = [core]
+    while path[-1] is not body:
+        path.append(path[-1].parent)
+    articles = [x for x in path if x.tag == "article"] or [x for x in path if x.tag == "main"]
+    if articles:
+        return [articles[-1]]
+    threshold = min(x.density for x in path)
+    chosen: list = [core]
+    for below, up in zip(path, path[1:], strict=False):
+        at = next(i for i, k in enumerate(up.kids) if k is below)
+        joins = lambda k: isinstance(k, str) or k.density >= threshold or 2 * k.link_chars <= k.chars
+        before, after = [k for k in up.kids[:at] if joins(k)], [k for k in up.kids[at + 1 :] if joins(k)]
+        chosen = [*before, *chosen, *after]
+    return chosen
+
+
+def blocks(chosen: list) -> list[str]:
+    """Text blocks of nodes and strings in page order."""
     out: list[str] = []
     part: list[str] = []
 
     def flush():
-        text = _WHITE.sub(" ", htmllib.unescape("".join(part))).strip()
+        text = _WHITE.sub(" ", "".join(part)).strip()
         if text:
             out.append(text)
         part.clear()
 
-    stack: list = [(node, False)]
+    stack: list = [(k, False) for k in reversed(chosen)]
     while stack:
         item, leave = stack.pop()
         if isinstance(item, str):
             part.append(item)
             continue
-        block = item.tag in BLOCKS
+        if item.tag in BLOCKS:
+            flush()
         if leave:
-            if block:
-                flush()
             continue
-        if block:
-            flush()
         if item.tag == "br":
             part.append(" ")
             continue
-        if block and item is not node and item.density < threshold and 2 * item.link_chars > item.chars:
-            continue
         stack.append((item, True))
         stack.extend((k, False) for k in reversed(item.kids))
     flush()
@@ -263,31 +344,11 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    mark_article(root)
+    mark_articles(root)
     prune(root)
     body = next((k for k in root.kids if isinstance(k, Node) and k.tag == "body"), root)
-    nodes = weigh(body)
-    best = body.best
-    path, up = [], best
-    while up is not None:
-        path.append(up)
-        if up is body:
-            break
-        up = up.parent
-    # a marked article around the best node is its whole; without one, climb while all that joins is not links
-    articles = [x for x in path if x.tag == "article"]
-    mains = [x for x in path if x.tag == "main"]
-    if articles or mains:
-        best = (articles or mains)[-1]
-    else:
-        i = path.index(best)
-        while best is not body and i + 1 < len(path):
-            up = path[i + 1]
-            if 2 * (up.link_chars - best.link_chars) > up.chars - best.chars:
-                break
-            best, i = up, i + 1
-    threshold = min((x.density for x in path), default=0.0)
-    return "\n".join(blocks(best, threshold))
+    weigh(body)
+    return "\n".join(blocks(select(body)))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,13 +357,15 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(a, b - a)
             texts = [extract(h) for h in part.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
+    release()
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of every page: (id_col, url, text string, n_chars long).
 
     A null or empty page has empty text. Null or repeated ids keep a row each; an empty table gives none; other
-    columns are ignored. Nothing is cut: very long pages are parsed whole.
+    columns are ignored. Nothing is cut: very long pages are parsed whole, in time that grows with their length. Of nodes
+    with equal density sums the outermost and first is taken.
     """
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     kind = src.schema["id"].dataType.simpleString()

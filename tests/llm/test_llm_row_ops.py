@@ -299,6 +299,87 @@ def test_main_text_layouts(body, want):
     assert htmltext.extract(f"<html><head><title>T</title></head><body>{body}</body></html>") == want
 
 
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        # nothing is named: densities choose the third card, whose sum is largest, not the first
+        ("<article><p>Short teaser.</p></article><article><p>Other teaser.</p></article><article><h1>H</h1><p>A long paragraph of real text that goes on.</p><p>And another one of them.</p></article>", "H\nA long paragraph of real text that goes on.\nAnd another one of them."),
+        # unnamed menu and link list beside the path fall below its threshold; a heading without links doesn't go
+        ('<div><a href=1>Home</a> <a href=2>News</a></div><h1>Title</h1><div><p>Text of the page that is long enough to count.</p><p>More text <a href=3>with a link</a> in it.</p></div><div><p><a href=4>Read this too</a></p><p><a href=5>And this</a></p></div>', "Title\nText of the page that is long enough to count.\nMore text with a link in it."),
+        # nothing inside an article goes but what the contract names
+        ('<article><p>Let <math><mi>x</mi></math> be real.</p><div class="legal">A clause.</div><p><a href=1>A paragraph that is all link</a></p><object>o</object><p aria-hidden="true">seen</p></article>', "Let x be real.\nA clause.\nA paragraph that is all link\no\nseen"),
+        ("<article><p>a < b and b > c, 1<2, x &lt;y&gt; &am<b>p;</b></p><![CDATA[raw &amp; data]]></article>", "a < b and b > c, 1<2, x <y> &amp;\nraw &amp; data"),
+        ('<article><p title="a>b">one</p><p title="open>two</p></article>', "one\ntwo"),
+    ],
+)
+def test_main_text_by_density(body, want):
+    assert htmltext.extract(f"<html><body>{body}</body></html>") == want
+
+
+def test_densities_brute_force():
+    import math
+    import random
+
+    rnd = random.Random(8)
+
+    def make(depth):
+        out = []
+        for _ in range(rnd.randint(0, 4)):
+            kind = rnd.choice(["text", "p", "div", "a", "b", "br"])
+            if kind == "text" or depth == 0 and kind != "br":
+                out.append(rnd.choice(["word ", "some  more words ", "x"]) * rnd.randint(1, 9))
+            elif kind == "br":
+                out.append("<br>")
+            else:
+                inner = make(depth - 1) if kind in ("div", "b") else rnd.choice(["link text", "a &amp; b", "plain <i>text</i> of it"])
+                out.append(f"<{kind}>{inner}</{kind}>")
+        return "".join(out)
+
+    def count(node, in_link=False):
+        """chars, tags, link chars, link tags by plain recursion; a link counts itself as a link tag."""
+        c = t = lc = lt = 0
+        link = in_link or node.tag == "a"
+        for k in node.kids:
+            if isinstance(k, str):
+                n = len(" ".join(k.split()))
+                c, lc = c + n, lc + n * link
+            else:
+                x = count(k, link)
+                c, t, lc, lt = c + x[0], t + x[1] + 1, lc + x[2], lt + x[3] + (link and k.tag != "a")
+        return c, t, lc, lt + (node.tag == "a")
+
+    def density(node, body):
+        c, t, lc, lt = count(node)
+        if not c:
+            return 0.0
+        t, lc1, lt = max(1, t), max(1, lc), max(1, lt)
+        base = math.log(c / max(1, c - lc) * lc1 + count(body)[2] / max(1, count(body)[0]) * c + math.e)
+        return c / t * math.log(max(1.0, c / lc1 * t / lt) + 1e-9) / math.log(base)
+
+    seen = 0
+    for _ in range(150):
+        body = htmltext.parse(f"<body>{make(4)}</body>").kids[0]
+        nodes = htmltext.weigh(body)
+        sums = []
+        for node in nodes:
+            kids = [k for k in node.kids if not isinstance(k, str)]
+            assert math.isclose(node.density, density(node, body), rel_tol=1e-9, abs_tol=1e-9)
+            sums.append(sum(density(k, body) for k in kids) if kids else density(node, body) * (node.tag in htmltext.BLOCKS))
+            assert math.isclose(node.total, sums[-1], rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(body.best.total, max(sums), rel_tol=1e-9, abs_tol=1e-9)
+        seen += body.best is not body
+    assert seen > 40
+
+
+@pytest.mark.parametrize("page", ["<" * 1_000_000, "<a " * 60_000, "<span>" * 20_000 + "</b>" * 20_000, '<a "b>' * 60_001, "<div>" + "<span>" * 20_000 + "<p>x" * 20_000, "<b><div>" + "<span>" * 20_000 + "</b>" * 20_000, "<table><tr><td>" * 20_000, "<script>" * 100_000, "<!--" * 100_000])
+def test_parsing_is_linear(page):
+    import time
+
+    began = time.process_time()
+    htmltext.extract(page)
+    assert time.process_time() - began < 5
+
+
 def test_main_text_cases(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "plain words"), (3, "u", "plain words"), (None, None, "<p>a<p>b"), (5, "u", "<div><<<>></div><p"), (6, "u", "<p>x</p>" * 20_000), (7, "u", "<div>" * 5_000 + "deep")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("id", F.lit(1))

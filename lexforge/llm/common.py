@@ -4,6 +4,7 @@ sums and vectorised word hashing over Arrow text columns."""
 from __future__ import annotations
 
 import ctypes
+import math
 import tempfile
 import uuid
 
@@ -88,27 +89,40 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, n_rows: int, leaf: int = 512, inner_leaf: int = 2048, depth: int = 0) -> DataFrame:
+def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, n_rows: int, leaf: int = 512) -> DataFrame:
     """Exclusive running sum of value within keys, without ever sorting one whole key in a task.
 
-    Rows are dealt into hash buckets of about leaf rows by the order columns; sums within a bucket, over
-    buckets of a group and over groups nest, so a key with a third of all rows costs many small windows.
-    Bucket totals are dealt again while there are more than inner_leaf (at least leaf) of them; depth counts
-    these levels and names their bucket columns, as a level's buckets are the next one's order.
-    The running order is (bucket, order): deterministic, though not the plain sort order.
+    The running order is that of the order columns' 64-bit hash, then of the columns: the same for any n_rows and
+    leaf. Rows are dealt into buckets of about leaf rows by the hash's leading bits; sums within a bucket and over the
+    buckets before it nest, so a key with a third of all rows costs many small windows. Bucket totals are dealt
+    again by fewer leading bits while there are more than leaf of them.
     """
-    if n_rows <= leaf:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(out, F.sum(value).over(w) - F.col(value))
-    n = -(-n_rows // leaf)
-    bucket = f"_bucket{depth}"
-    d = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(n)))
-    w = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = df.withColumn("_order", F.xxhash64(*order))
+    bits = max(0, math.ceil(math.log2(max(1, n_rows) / leaf)))
+    same = lambda names: [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in names]
+    if not bits:
+        w = Window.partitionBy(*keys).orderBy("_order", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return d.withColumn(out, F.sum(value).over(w) - F.col(value)).select(*df.columns, out)
+
+    def starts(totals: DataFrame, bits: int) -> DataFrame:
+        """(keys, _bucket, _start) of totals (keys, _bucket, _total), _bucket being the hash's first bits."""
+        up = min(bits, max(1, int(math.log2(leaf))))
+        rest = bits - up
+        t = totals.withColumn("_up", F.shiftright("_bucket", up))
+        w = Window.partitionBy(*keys, "_up").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        t = t.withColumn("_start", F.sum("_total").over(w) - F.col("_total"))
+        if not rest:
+            return t.select(*keys, "_bucket", "_start")
+        above = starts(totals.groupBy(*keys, F.shiftright("_bucket", up).alias("_bucket")).agg(F.sum("_total").alias("_total")), rest)
+        both = t.select(*keys, F.col("_up"), "_bucket", "_start").alias("a").join(above.select(*keys, F.col("_bucket").alias("_up"), F.col("_start").alias("_above")).alias("b"), same([*keys, "_up"]))
+        return both.select(*[F.col(f"a.{k}") for k in keys], F.col("a._bucket"), (F.col("a._start") + F.col("b._above")).alias("_start"))
+
+    # the leading bits of the hash with its sign flipped, so that buckets rise with the (signed) hash
+    d = d.withColumn("_bucket", F.shiftrightunsigned(F.col("_order").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits))
+    w = Window.partitionBy(*keys, "_bucket").orderBy("_order", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = d.withColumn("_in", F.sum(value).over(w) - F.col(value))
-    totals = d.groupBy(*keys, bucket).agg(F.sum(value).alias("_total"))
-    starts = prefix_sum(totals, keys, [bucket], "_total", "_start", n, max(leaf, inner_leaf), inner_leaf, depth + 1).drop("_total")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, bucket]]
-    joined = inner.alias("a").join(starts.alias("b"), same)
+    begin = starts(d.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_total")), bits)
+    joined = inner.alias("a").join(begin.alias("b"), same([*keys, "_bucket"]))
     return joined.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a._in") + F.col("b._start")).alias(out))
 
 

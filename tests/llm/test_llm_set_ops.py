@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -91,29 +92,18 @@ def test_prefix_sum(spark):
         assert ends == sum(v for k, _, v in rows if k == key)
 
 
-def test_prefix_sum_nests(spark):
-    rows = [(k, i, (i * 7) % 5 + 1) for k, n in (("a", 3000), (None, 300), ("c", 1)) for i in range(n)]
+@pytest.mark.parametrize("leaf", [4, 16, 600, 4096])
+def test_prefix_sum_order(spark, leaf):
+    """One running order, by hash and then by the columns, whatever the number of levels (leaf 4: five of them)."""
+    rows = [(k, i % 2500, (i * 7) % 5 + 1) for k, n in (("a", 3000), (None, 300), ("c", 1)) for i in range(n)]
     df = spark.createDataFrame(rows, "k string, i long, v long")
-    # 207 buckets, dealt into 13, dealt into 1: three levels
-    got = prefix_sum(df, ["k"], ["i"], "v", "start", len(rows), leaf=16, inner_leaf=4).collect()
-    assert sorted((r.k or "", r.i, r.v) for r in got) == sorted((k or "", i, v) for k, i, v in rows)
-    for key in ("a", None, "c"):
-        ends = 0
-        for a, b in sorted((r.start, r.start + r.v) for r in got if r.k == key):
-            assert a == ends
-            ends = b
-        assert ends == sum(v for k, _, v in rows if k == key)
-    # the running order: by each level's bucket, outermost last dealt first
-    for levels in ([207, 13], [207]):
-        leaf, inner = (16, 4) if len(levels) == 2 else (16, 4096)
-        order = df.withColumn("b0", F.pmod(F.xxhash64("i"), F.lit(levels[0])))
-        order = order.withColumn("b1", F.pmod(F.xxhash64("b0"), F.lit(levels[1])) if len(levels) == 2 else F.lit(0))
-        want, ends = {}, Counter()
-        for r in sorted(order.collect(), key=lambda r: (r.b1, r.b0, r.i)):
-            want[(r.k, r.i)] = ends[r.k]
-            ends[r.k] += r.v
-        out = prefix_sum(df, ["k"], ["i"], "v", "start", len(rows), leaf=leaf, inner_leaf=inner).collect()
-        assert {(r.k, r.i): r.start for r in out} == want and len(out) == len(rows)
+    want, ends = [], Counter()
+    for r in sorted(df.withColumn("h", F.xxhash64("i", "v")).collect(), key=lambda r: (r.h, r.i, r.v)):
+        want.append((r.k or "", r.i, r.v, ends[r.k]))
+        ends[r.k] += r.v
+    out = prefix_sum(df, ["k"], ["i", "v"], "v", "start", len(rows), leaf=leaf)
+    assert out.columns == ["k", "i", "v", "start"]
+    assert sorted((r.k or "", r.i, r.v, r.start) for r in out.collect()) == sorted(want)
 
 
 # -- near duplicates ------------------------------------------------------------------------------------------------
@@ -342,10 +332,54 @@ def test_decontamination_passes_and_spans(spark, monkeypatch):
 # -- mixing --------------------------------------------------------------------------------------------------------------------
 
 
-def test_targets():
-    assert [float(t) for t in mixing.targets([100, 100, 100], [3, 1, 2], mixing.Fraction(450))] == [200.0, 250 / 3, 500 / 3]
-    assert sum(mixing.targets([5, 50, 500, 0], [3, 1, 2, 3], mixing.Fraction(3 * 555, 2))) == mixing.Fraction(3 * 555, 2)
-    assert mixing.targets([0, 0], [1, 1], mixing.Fraction(0)) == [0, 0] and mixing.targets([], [], mixing.Fraction(0)) == []
+def brute_targets(sizes, weights, total, cap=2):
+    """Shares of total by weight; those above cap times their size stop there, and the rest is dealt again."""
+    out, free, left = [Fraction(0)] * len(sizes), list(range(len(sizes))), total
+    while free:
+        weight = sum(weights[i] for i in free)
+        over = [i for i in free if left * weights[i] > cap * sizes[i] * weight]
+        for i in over or free:
+            out[i] = Fraction(cap * sizes[i]) if over else left * weights[i] / weight
+        if not over:
+            break
+        left -= sum(out[i] for i in over)
+        free = [i for i in free if i not in over]
+    return out
+
+
+def test_targets(spark):
+    assert [float(t) for t in brute_targets([100, 100, 100], [3, 1, 2], Fraction(450))] == [200.0, 250 / 3, 500 / 3]
+    rnd = random.Random(6)
+    for sizes in ([100, 100, 100], [5, 50, 500, 0], [0, 0], [], [7], [rnd.choice([0, 1, 3, 900, rnd.randrange(10**6)]) for _ in range(60)], [10**6] + [1] * 30):
+        names = [f"s{i:03d}" for i in range(len(sizes))]
+        if len(names) > 2:
+            names[-1] = None
+        df = spark.createDataFrame(list(zip(names, sizes, strict=True))[::-1], "source string, size long")
+        got = mixing.planned(df, (3, 1, 2), 1.5, 2, 64).orderBy("s").collect()
+        want = brute_targets(sizes, [(3, 1, 2)[i % 3] for i in range(len(sizes))], Fraction(3 * sum(sizes), 2))
+        assert [r.source for r in got] == names and [r.source_size for r in got] == sizes
+        assert [r.target for r in got] == pytest.approx([float(t) for t in want], rel=1e-12, abs=1e-9)
+        assert all(r.blocks == -(-r.source_size // 64) and r.quota <= 2 * r.blocks and (r.source_size == 0 or abs(r.quota - r.target * r.blocks / r.source_size) <= 0.5 + 1e-9) for r in got)
+
+
+def test_shard_counts_are_multinomial(spark):
+    """Counts vary from shard to shard as draws do, each source gets its quota whole, and no slot is lost."""
+    quota = [4000, 2500, 1200, 299, 1, 0]
+    sources = spark.createDataFrame([(i, q, max(1, q // 2)) for i, q in enumerate(quota)], "s long, quota long, blocks long")
+    n = sum(quota)
+    rows = mixing.slots(sources, n, len(quota), 5, shard_slots=50).toPandas()
+    assert len(rows) == n and rows.groupby("shard").size().eq(50).all() and rows.shard.nunique() == n // 50
+    assert {s: len(g) for s, g in rows.groupby("s")} == {i: q for i, q in enumerate(quota) if q}
+    for s, g in rows.groupby("s"):
+        assert sorted(g.ordinal) == list(range(quota[s]))
+        times = g.block.value_counts()
+        assert times.max() - times.reindex(range(max(1, quota[s] // 2)), fill_value=0).min() <= 1  # pass after pass
+    table = rows.pivot_table(index="shard", columns="s", values="block", aggfunc="count", fill_value=0)
+    for s in (0, 1, 2):
+        p = quota[s] / n
+        assert 0.7 < table[s].var() / (50 * p * (1 - p)) < 1.4
+    again = mixing.slots(sources.repartition(3), n, len(quota), 5, shard_slots=50).toPandas()
+    assert sorted(map(tuple, again[["s", "shard", "ordinal", "block"]].values)) == sorted(map(tuple, rows[["s", "shard", "ordinal", "block"]].values))
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
@@ -376,7 +410,7 @@ def test_blocks_are_whole(spark):
     m = mixing.Mixture(docs)
     b = m.blocks().toPandas()
     whole = b.groupby(["shard", "s", "ordinal"]).words.sum()
-    assert (whole <= m.block_len).all() and (whole < m.block_len).sum() <= 2 * 2 * len(m.plan.sources)
+    assert (whole <= m.block_len).all() and (whole < m.block_len).sum() <= 2 * 2 * m.sources.count()
     assert m.slots.groupBy("shard").count().agg(F.max("count")).first()[0] <= mixing.SHARD_SLOTS
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import slices
+from lexforge.llm.common import release, slices
 
 _U = np.uint64
 ORDER = 4
@@ -27,6 +27,8 @@ ORDER = 4
 TRAIN_BYTES = 300_000
 TRAIN_TEXTS = 2_000
 MAX_LANGS = 200
+#: bytes scored at a time
+SPAN = 250_000
 
 
 class Ppm:
@@ -102,7 +104,7 @@ class Ppm:
 
     def freeze(self) -> dict:
         """What scoring needs, as plain arrays, with a hash index over the longest keys."""
-        return {"order": self.order, "langs": self.langs, "keys": self.keys, "costs": self.costs, "trees": self.trees, "index": _index(self.keys[self.order])}
+        return {"order": self.order, "langs": self.langs, "keys": self.keys[self.order], "costs": self.costs[self.order], "trees": self.trees, "index": _index(self.keys[self.order])}
 
 
 def _slot(keys: np.ndarray, shift: int) -> np.ndarray:
@@ -134,7 +136,7 @@ class Scorer:
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         table, bits = self.m["index"]
-        own = self.m["keys"][self.order]
+        own = self.m["keys"]
         slot = _slot(keys, 64 - bits)
         at = table[slot]
         out = np.full(len(keys), -1, np.int32)
@@ -152,31 +154,37 @@ class Scorer:
         """Code length of each row (bytes data[offsets[i]:offsets[i+1]]) in each language."""
         k, n = self.order, len(data)
         out = np.zeros((len(offsets) - 1, len(self.langs)))
-        if not n or not self.langs:
+        if not self.langs:
             return out
-        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        at = np.arange(n) - offsets[:-1][row]
-        key = data.astype(np.uint64)
-        wide = key.copy()
-        for j in range(1, k + 1):
-            wide[j:] |= key[:-j] << _U(8 * j)
-        full = at >= k
-        pos = np.full(n, -1, np.int32)
-        pos[full] = self._find(wide[full])
-        costs = np.zeros((n, len(self.langs)), np.float32)
-        hit = pos >= 0
-        costs[hit] = self.m["costs"][k][pos[hit]]
-        # a text's first bytes have shorter contexts; bytes unseen there in any language take the long way, once per distinct gram
-        miss = np.flatnonzero(~hit)
-        depth = np.minimum(at[miss], k)
-        for j in range(k + 1):
-            some = miss[depth == j]
-            if len(some):
-                grams, back = np.unique(wide[some] & _U((1 << 8 * (j + 1)) - 1), return_inverse=True)
-                cost = np.stack([self.ppm._cost(t, j, grams) for t in self.ppm.trees], axis=1)
-                costs[some] = cost[back]
-        full_rows = np.flatnonzero(np.diff(offsets) > 0)
-        out[full_rows] = np.add.reduceat(costs.astype(np.float64), offsets[:-1][full_rows], axis=0)
+        # spans of the texts laid end to end: what a very long text needs doesn't grow with it
+        for a in range(0, n, SPAN):
+            b, low = min(n, a + SPAN), max(0, a - k)
+            key = data[low:b].astype(np.uint64)
+            wide = key.copy()
+            for j in range(1, k + 1):
+                wide[j:] |= key[:-j] << _U(8 * j)
+            wide = wide[a - low :]
+            first, last = int(np.searchsorted(offsets, a, "right")) - 1, int(np.searchsorted(offsets, b, "left"))
+            edges = np.clip(offsets[first : last + 1], a, b)
+            rows, sizes = np.arange(first, last), np.diff(edges)
+            at = np.arange(a, b) - np.repeat(offsets[first:last], sizes)
+            full = at >= k
+            pos = np.full(b - a, -1, np.int32)
+            pos[full] = self._find(wide[full])
+            costs = np.zeros((b - a, len(self.langs)), np.float32)
+            hit = pos >= 0
+            costs[hit] = self.m["costs"][pos[hit]]
+            # a text's first bytes have shorter contexts; bytes unseen there in any language take the long way, once per distinct gram
+            miss = np.flatnonzero(~hit)
+            depth = np.minimum(at[miss], k)
+            for j in range(k + 1):
+                some = miss[depth == j]
+                if len(some):
+                    grams, back = np.unique(wide[some] & _U((1 << 8 * (j + 1)) - 1), return_inverse=True)
+                    cost = np.stack([self.ppm._cost(t, j, grams) for t in self.ppm.trees], axis=1)
+                    costs[some] = cost[back]
+            some = sizes > 0
+            out[rows[some]] += np.add.reduceat(costs, edges[:-1][some] - a, axis=0, dtype=np.float64)
         return out
 
 
@@ -234,6 +242,7 @@ def _predict(model):
                     score.append(float(p[best] / p.sum()))
                     rate.append(float(bits[i].min() / (offsets[i + 1] - offsets[i])))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in part.schema.names] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=[*part.schema.names, "lang_pred", "score", "bits_per_byte"])
+        release()
 
     return run
 
@@ -244,7 +253,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     lang_pred is the learned language of the shortest code (ties: the first by name), or und for a text that is
     null or has no letter, or if nothing was learned; score is that language's posterior under equal priors,
     0 for und. Null and repeated ids keep a row each; an empty table gives none; other columns are ignored.
-    With keep_text the text stays, as column text.
+    With keep_text the text stays, as column text. Whole texts count, in spans of SPAN bytes with the contexts carried over.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import Words, slices
+from lexforge.llm.common import Words, release, slices
 
 #: (bytes from, floor, ceiling) for whole texts; below the first there is no verdict
 BANDS = ((100, 0.35, 1.20), (300, 0.33, 0.90), (1_000, 0.30, 0.74), (4_000, 0.27, 0.66), (20_000, 0.22, 0.62))
@@ -78,9 +78,10 @@ def _measure(bands, chunk, chunk_band, share):
                 part = batch.slice(a, b - a)
                 w = Words(part.column("text"), lower=False)
                 data = w.data.tobytes()
-                points = np.concatenate(([0], np.cumsum((w.data & 0xC0) != 0x80)))
-                symbols = np.concatenate(([0], np.cumsum(_SYMBOLS[w.data])))
-                in_words = np.concatenate(([0], np.cumsum(points[w.end] - points[w.start])))
+                points, symbols = (w.data & 0xC0) != 0x80, _SYMBOLS[w.data]
+                # code points of each word, and of the words before each
+                letters = np.add.reduceat(points, np.stack([w.start, w.end], 1).ravel()[: -1 if len(w.end) and w.end[-1] == len(points) else None], dtype=np.int64)[::2] if len(w.start) else np.zeros(0, np.int64)
+                in_words = np.concatenate(([0], np.cumsum(letters)))
                 s, valid = w.shingles(5)
                 rows = []
                 for r, (x, y) in enumerate(pairwise(w.offsets.tolist())):
@@ -96,10 +97,11 @@ def _measure(bands, chunk, chunk_band, share):
                             np.add.at(cover, hit + 5, -1)
                             repeat = int((np.cumsum(cover)[:-1] > 0).sum())
                     raw = data[x:y]
-                    rows.append((g - f, int(in_words[g] - in_words[f]), int(symbols[y] - symbols[x]), _lines(raw), repeat, *compression_verdict(raw, compress, bands, chunk, chunk_band, share)))
+                    rows.append((g - f, int(in_words[g] - in_words[f]), int(np.count_nonzero(symbols[x:y])), _lines(raw), repeat, *compression_verdict(raw, compress, bands, chunk, chunk_band, share)))
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64()] * 5 + [pa.float64(), pa.int32(), pa.int32(), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["id", *NAMES])
+        release()
 
     return run
 

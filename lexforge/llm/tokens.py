@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import slices
+from lexforge.llm.common import release, slices
 
 #: bytes of text given to the encoder at a time, and of a piece of a long text
 BATCH_BYTES = 1_000_000
@@ -92,6 +92,7 @@ def _count(name: str):
                 else:
                     counts = lengths(texts)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+        release()
 
     return run
 

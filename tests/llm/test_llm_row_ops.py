@@ -156,6 +156,19 @@ def test_code_lengths_are_exact():
         assert [round(float(x), 3) for x in got] == [round(brute_bits(model, text, i, 3), 3) for i in (0, 1)]
 
 
+def test_spans_carry_contexts(monkeypatch):
+    import numpy as np
+
+    s = langid.Scorer(langid.Ppm({"x": [b"the cat sat on the mat. the end", b"a cat"], "y": [b"der hund und die katze"]}, 3).freeze())
+    texts = [b"the cat sat", b"", b"q", b"der hund und the end of it \xff\xfe", b"", b"", b"katze"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    whole = s.bits(data, offsets)
+    assert (whole[[1, 4, 5]] == 0).all()
+    for span in (1, 2, 5, 11, 12, 1000):
+        monkeypatch.setattr(langid, "SPAN", span)
+        assert np.allclose(s.bits(data, offsets), whole)
+
+
 def test_language_accuracy_and_cases(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(docs.where(~langid.held_out()))

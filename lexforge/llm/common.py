@@ -173,6 +173,21 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
+#: Spark's own bound of an Arrow batch, and ours: a task holds a batch several times over, in the JVM and in Python
+_DEFAULT_BATCH, ARROW_BYTES = "67108864b", 8 << 20
+
+
+def map_arrow(df: DataFrame, f, schema) -> DataFrame:
+    """df.mapInArrow(f, schema) with batches of ARROW_BYTES at most (one longer row excepted).
+
+    The bound is a session setting that counts when the plan runs; it is set unless someone has chosen one.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) == _DEFAULT_BATCH:
+        conf.set(key, str(ARROW_BYTES))
+    return df.mapInArrow(f, schema)
+
+
 def slices(column: pa.Array, max_bytes: int = 500_000):
     """Yield (first row, last row + 1) runs of a string column of at most max_bytes; a longer text is a run of its own."""
     column = column.cast(pa.large_string())

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import Words, release, slices
+from lexforge.llm.common import Words, map_arrow, release, slices
 
 _U = np.uint64
 #: window lengths: each up to 10, then about a seventh apart; counters of the fingerprints hold windows below 256
@@ -275,7 +275,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     short = {c: "text" if c == text_col else f"c{i}" for i, c in enumerate(names)}
     out = src = docs.select(*[F.col(f"`{c}`").alias(short[c]) for c in names])
     for index in _passes(items, item_col, item_text, k, percent):
-        out = out.mapInArrow(_clean(index), src.schema)
+        out = map_arrow(out, _clean(index), src.schema)
     return out.select(*[F.col(short[c]).alias(c) for c in names])
 
 
@@ -291,6 +291,6 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     kind = src.schema["id"].dataType.simpleString()
-    found = [src.mapInArrow(_match(x), f"id {kind}, item_id long, similarity double, first_word long") for x in _passes(items, item_col, item_text, k, percent)]
+    found = [map_arrow(src, _match(x), f"id {kind}, item_id long, similarity double, first_word long") for x in _passes(items, item_col, item_text, k, percent)]
     out = reduce(DataFrame.unionByName, found)
     return out.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "similarity", "first_word")

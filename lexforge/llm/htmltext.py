@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import release, slices
+from lexforge.llm.common import map_arrow, release, slices
 
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>")
 _PLAIN_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -369,5 +369,5 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     kind = src.schema["id"].dataType.simpleString()
-    out = src.mapInArrow(_extract, f"id {kind}, url string, text string, n_chars long")
+    out = map_arrow(src, _extract, f"id {kind}, url string, text string, n_chars long")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

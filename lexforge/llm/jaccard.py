@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import Words, broadcast_if_small, connected_components, discard, materialize, mix64, release, slices
+from lexforge.llm.common import Words, broadcast_if_small, connected_components, discard, map_arrow, materialize, mix64, release, slices
 
 _U = np.uint64
 HOT_BITS = 26
@@ -328,11 +328,11 @@ def _verify(pairs: DataFrame, src: DataFrame, owners: DataFrame, percent: int, k
     ends = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).distinct()
     ends = materialize(owners.join(broadcast_if_small(materialize(ends), SMALL_ROWS), "cls", "left_semi"))
     wanted = src.sparkSession.sparkContext.broadcast(_bitmap_of(ends.select(F.coalesce("id", F.lit(-1)).alias("id")), "id"))
-    arrays = materialize(src.mapInArrow(_arrays(wanted, k, salt), "cls long, shingles binary").join(broadcast_if_small(ends.select("cls"), SMALL_ROWS), "cls", "left_semi"))
+    arrays = materialize(map_arrow(src, _arrays(wanted, k, salt), "cls long, shingles binary").join(broadcast_if_small(ends.select("cls"), SMALL_ROWS), "cls", "left_semi"))
     x = arrays.select(F.col("cls").alias("u"), F.col("shingles").alias("x"))
     y = arrays.select(F.col("cls").alias("v"), F.col("shingles").alias("y"))
     joined = x.join(broadcast_if_small(pairs, SMALL_ROWS), "u").join(y, "v").select("u", "v", "x", "y")
-    out = materialize(joined.mapInArrow(_decide(percent), "u long, v long, ok boolean").distinct())
+    out = materialize(map_arrow(joined, _decide(percent), "u long, v long, ok boolean").distinct())
     discard(arrays)
     discard(ends)
     wanted.unpersist()
@@ -492,7 +492,7 @@ def _bounded(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
         x = sigs.select(F.col("cls").alias("u"), F.col("n").alias("a"), F.col(column).alias("x"))
         y = sigs.select(F.col("cls").alias("v"), F.col("n").alias("b"), F.col(column).alias("y"))
         small = broadcast_if_small(pairs, SMALL_ROWS)
-        left = materialize(small.join(x, "u").join(y, "v").mapInArrow(_within_bounds(percent), "u long, v long"))
+        left = materialize(map_arrow(small.join(x, "u").join(y, "v"), _within_bounds(percent), "u long, v long"))
         discard(pairs)
         pairs = left
     return pairs
@@ -509,7 +509,7 @@ def _small_pairs(shared: DataFrame, labels: DataFrame, sigs: DataFrame, percent:
     """Pairs across components of small tiles; a tile of one component alone has none, so tiles needn't be told apart before."""
     rows = shared.where(F.col("m") <= SMALL_TILE).join(broadcast_if_small(labels, SMALL_ROWS), "cls", "left")
     rows = rows.select(F.col("token").alias("key"), "cls", "n", F.coalesce("comp", "cls").alias("comp"))
-    pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_small_tiles(percent), "u long, v long").distinct()
+    pairs = map_arrow(rows.repartition("key").sortWithinPartitions("key"), _small_tiles(percent), "u long, v long").distinct()
     return _bounded(materialize(pairs), sigs, percent)
 
 
@@ -535,7 +535,7 @@ def _large_pairs(shared: DataFrame, labels: DataFrame, sigs: DataFrame, percent:
     rows = rows.withColumn("own", own).withColumn("place", F.explode(F.when(inside, member).otherwise(F.concat(other, among))))
     rows = rows.select("cls", "n", "comp", "place.key", "place.chunk")
     rows = rows.join(sigs.select("cls", "sig"), "cls").select("key", "cls", "n", "comp", "chunk", "sig")
-    pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_large_tiles(percent, forest), "u long, v long")
+    pairs = map_arrow(rows.repartition("key").sortWithinPartitions("key"), _large_tiles(percent, forest), "u long, v long")
     return materialize(pairs.distinct())
 
 
@@ -561,7 +561,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     keys = ["id", "text_key"] if row_key else ["id"]
     keyed = src.withColumn("text_key", text_key(F.col("text"))) if row_key else src
     for salt in range(8):
-        scan = materialize(keyed.mapInArrow(_scan(keys, k, salt), f"{', '.join(f'{x} long' for x in keys)}, {META}"))
+        scan = materialize(map_arrow(keyed, _scan(keys, k, salt), f"{', '.join(f'{x} long' for x in keys)}, {META}"))
         meta = scan.where("seen is null")
         handles = meta.where("n > 0").groupBy("cls").agg(F.min("check").alias("a"), F.max("check").alias("b"))
         if handles.where("a <> b").isEmpty():
@@ -572,7 +572,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     stats = meta.where("n > 0").agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
     parts = max(12, int(stats * (100 - percent) // 100 // 400_000))
     hot = spark.sparkContext.broadcast(_hot_bits(scan, hot_at))
-    packed = src.select("text").mapInArrow(_entries(hot, percent, parts, k, salt), "part int, tokens binary, classes binary, sizes binary, counts binary")
+    packed = map_arrow(src.select("text"), _entries(hot, percent, parts, k, salt), "part int, tokens binary, classes binary, sizes binary, counts binary")
     met = materialize(packed.groupBy("part").applyInArrow(_meet(percent), "token long, cls long, n int, m int, leader long, votes int"))
     hot.unpersist()
     shared = met.where("token is not null")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import release, slices
+from lexforge.llm.common import map_arrow, release, slices
 
 _U = np.uint64
 ORDER = 4
@@ -258,7 +258,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     bmodel = docs.sparkSession.sparkContext.broadcast(model)
-    out = src.mapInArrow(_predict(bmodel), f"id {kind}, text string, lang_pred string, score double, bits_per_byte double")
+    out = map_arrow(src, _predict(bmodel), f"id {kind}, text string, lang_pred string, score double, bits_per_byte double")
     return out.select(F.col("id").alias(id_col), *(["text"] if keep_text else []), "lang_pred", "score", "bits_per_byte")
 
 
@@ -268,7 +268,7 @@ def annotate(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     short = {c: "text" if c == text_col else f"c{i}" for i, c in enumerate(names)}
     src = docs.select(*[F.col(f"`{c}`").alias(short[c]) for c in names])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema)
-    out = src.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), f"{schema}, lang_pred string, score double, bits_per_byte double")
+    out = map_arrow(src, _predict(docs.sparkSession.sparkContext.broadcast(model)), f"{schema}, lang_pred string, score double, bits_per_byte double")
     return out.select(*[F.col(short[c]).alias(c) for c in names], *[F.col(c).alias(f"_lexforge_{c}") for c in ("lang_pred", "score", "bits_per_byte")])
 
 

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import Words, release, slices
+from lexforge.llm.common import Words, map_arrow, release, slices
 
 #: (bytes from, floor, ceiling) for whole texts; below the first there is no verdict
 BANDS = ((100, 0.35, 1.20), (300, 0.33, 0.90), (1_000, 0.30, 0.74), (4_000, 0.27, 0.66), (20_000, 0.22, 0.62))
@@ -120,6 +120,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double, n_chunks int, n_odd_chunks int, reason string"
-    out = src.mapInArrow(_measure(bands, chunk, chunk_band, share), schema)
+    out = map_arrow(src, _measure(bands, chunk, chunk_band, share), schema)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.select(F.col("id").alias(id_col), *NAMES, failed.alias("base_failed"), (~failed & F.col("reason").isNull()).alias("kept"))

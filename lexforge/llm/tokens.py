@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import release, slices
+from lexforge.llm.common import map_arrow, release, slices
 
 #: bytes of text given to the encoder at a time, and of a piece of a long text
 BATCH_BYTES = 1_000_000
@@ -106,5 +106,5 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    out = src.mapInArrow(_count(tokenizer), f"id {kind}, n_bytes long, n_tokens long")
+    out = map_arrow(src, _count(tokenizer), f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

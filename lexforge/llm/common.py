@@ -10,7 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space (space and 0x09-0x0D).
@@ -54,9 +54,19 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only where a count proves the (narrow, fixed-width) table small; otherwise it stays a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+#: bytes of a broadcast table whose rows have a variable size
+SMALL_BYTES = 16 << 20
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int, size: Column | None = None) -> DataFrame:
+    """Hint a broadcast only where a count proves the table small; otherwise it stays a shuffle join.
+
+    Rows of fixed width are counted; with size, their bytes, the sum over all rows is held against SMALL_BYTES too.
+    """
+    if size is None:
+        return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    rows, total = df.select(size.alias("size")).limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and total <= SMALL_BYTES else df
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -44,11 +44,11 @@ own AS (
               WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
               WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM q),
 tags AS (
-  SELECT node, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM own),
+  SELECT node, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', '', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM own),
 links AS (
   SELECT node AS u, CASE WHEN regexp_matches(tag, '(?is)^<link') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
                          ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS v
-  FROM tags WHERE regexp_matches(tag, '(?is)^<link.*\brel\s*=\s*["'']?canonical\b') OR regexp_matches(tag, '(?is)^<meta.*http-equiv\s*=\s*["'']?refresh\b')),
+  FROM tags WHERE regexp_matches(tag, '(?is)^<link.*\brel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|''(?:[^''>]*\s)?canonical(?:\s[^''>]*)?''|canonical[\s>/])') OR regexp_matches(tag, '(?is)^<meta.*http-equiv\s*=\s*["'']?refresh\b')),
 edges AS (SELECT u, v FROM links WHERE v LIKE '%://%' UNION SELECT v, u FROM links WHERE v LIKE '%://%'),
 reach AS (SELECT u AS a, v AS b FROM edges UNION SELECT r.a, e.v FROM reach r JOIN edges e ON r.b = e.u),
 said AS (SELECT r.a AS node, bool_or(o.rule IN ('example.net/en/', 'org/fr/')) AS allowed, bool_or(o.rule IN ('net/', 'example.com/de/')) AS blocked

@@ -19,8 +19,12 @@ from lexforge.llm.common import broadcast_if_small, connected_components, materi
 #: rule lists up to this length become an expression; longer ones are joined
 MAX_LITERAL_RULES = 64
 
-_LINK = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\bcontent\s*=\s*[\"']?\s*[\d.]*\s*[;,]?\s*url\s*=\s*[\"']?([^\"'\s>]+)"
+#: an attribute's value among space-separated tokens, quoted or not
+_REL = r"""\brel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s>/]))"""
+_LINK = rf"""(?is)<link\b(?=[^>]*{_REL})[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["']?\s*[\d.]*\s*[;,]?\s*url\s*=\s*["']?([^"'\s>]+)"""
+_BASE = r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 
 
 def _ascii_lower(c: Column) -> Column:
@@ -44,11 +48,11 @@ def path_of(url: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """Identity of a url in the link graph: without its fragment, scheme and host lower-cased; null where it has no host."""
+    """Identity of a url in the link graph: without its fragment, A-Z of scheme and host lower-cased; null where it has no host."""
     bare = F.regexp_extract(url, r"^([^#]*)", 1)
     at = F.instr(bare, "://")
     cut = at + 2 + F.length(F.regexp_extract(_rest(bare), r"^([^/?#]*)", 1))
-    return F.when(host_of(url) != "", F.concat(F.lower(F.substring(bare, F.lit(1), cut)), F.substring(bare, cut + 1, F.length(bare))))
+    return F.when(host_of(url) != "", F.concat(_ascii_lower(F.substring(bare, F.lit(1), cut)), F.substring(bare, cut + 1, F.length(bare))))
 
 
 def resolve(base: Column, href: Column) -> Column:
@@ -67,15 +71,20 @@ def resolve(base: Column, href: Column) -> Column:
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges (u, v) between url nodes that pages declare: every canonical link and refresh redirect of a page."""
-    found = F.concat(*[F.regexp_extract_all(html_col, F.lit(x), 1) for x in (_LINK, _REFRESH)])
+    """Edges (u, v) between url nodes that pages declare: every canonical link and refresh redirect of a page.
+
+    rel is a list of names; what stands in a comment declares nothing; targets are relative to the page's first base, if it has
+    one, else to its url.
+    """
     # most pages declare neither; a plain search spares them the patterns
     lower = F.lower(F.col(html_col))
-    some = pages.where(lower.contains("canonical") | lower.contains("refresh"))
-    rows = some.select(F.col(url_col).alias("base"), F.explode(F.filter(found, lambda x: x != "")).alias("href"))
+    some = pages.where(lower.contains("canonical") | lower.contains("refresh")).select(F.col(url_col).alias("url"), F.regexp_replace(html_col, _COMMENT, "").alias("html"))
+    found = F.concat(*[F.regexp_extract_all("html", F.lit(x), 1) for x in (_LINK, _REFRESH)])
+    own_base = F.regexp_extract("html", _BASE, 1)
+    rows = some.select("url", F.when(own_base == "", F.col("url")).otherwise(resolve(F.col("url"), own_base)).alias("base"), F.explode(F.filter(found, lambda x: x != "")).alias("href"))
     # exploded once more so that the target is worked out once, not wherever its node's expression names it
-    rows = rows.select("base", F.explode(F.array(resolve(F.col("base"), F.col("href")))).alias("target"))
-    return rows.select(node_of(F.col("base")).alias("u"), node_of(F.col("target")).alias("v")).where("u is not null and v is not null and u <> v")
+    rows = rows.select("url", F.explode(F.array(resolve(F.col("base"), F.col("href")))).alias("target"))
+    return rows.select(node_of(F.col("url")).alias("u"), node_of(F.col("target")).alias("v")).where("u is not null and v is not null and u <> v")
 
 
 def parse_rule(rule: str) -> tuple[str, str]:
@@ -84,9 +93,9 @@ def parse_rule(rule: str) -> tuple[str, str]:
 
 
 def _literal_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
-    """Longest rule that fits, and its verdict, by expressions alone."""
+    """Longest rule that fits, and its verdict, by expressions alone; of equally long ones an allow, then the last by code point."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for text, says in sorted(rules, key=lambda r: (len(r[0]), r[1] == "allow")):
+    for text, says in sorted(rules, key=lambda r: (len(r[0]), r[1] == "allow", r[0])):
         h, p = parse_rule(text)
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(says)).otherwise(verdict)
@@ -110,7 +119,7 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame,
 
     rules: (rule, allow or block) pairs, or a DataFrame (rule, verdict). links: further edges (u, v) of raw urls
     beside those that pages declare (None: none). via is rule, alias (a component decided) or default. Of
-    equally long rules, allow wins. A null url, or one without ://, has empty host and path, fits no rule and
+    equally long rules allow wins, then the last by code point, however many rules there are. A null url, or one without ://, has empty host and path, fits no rule and
     is allowed; null html declares no links. Null and repeated ids or urls keep a row each; an empty table gives
     none; other columns are ignored.
     """
@@ -141,6 +150,6 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame,
     taken = F.when(F.col("allowed"), F.lit("allow")).when(F.col("blocked"), F.lit("block"))
     alias = groups.join(says, "component").select("node", taken.alias("taken")).where("taken is not null")
     # nodes are distinct, so this join adds no rows; urls outside the graph are most and need no match
-    out = base.join(broadcast_if_small(alias, 100_000), "node", "left")
+    out = base.join(broadcast_if_small(alias, 100_000, F.octet_length("node") + 16), "node", "left")
     via = F.when(F.col("own").isNotNull(), "rule").when(F.col("taken").isNotNull(), "alias").otherwise("default")
     return out.select(id_col, "host", "path", "rule", F.coalesce("own", "taken", F.lit("allow")).alias("verdict"), via.alias("via"))

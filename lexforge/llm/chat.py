@@ -11,7 +11,7 @@ every turn escaped, which can't.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
@@ -48,29 +48,18 @@ def render(role: Column, text: Column) -> Column:
 
 
 def parse(rendered: Column) -> Column:
-    """Turns of a rendered conversation: array of (role, text, start, raw): start is where the text's raw form begins (from 1)."""
+    """Turns of a rendered conversation: array of (role, text, size), size being the code points of the text as rendered."""
     parts = F.split(rendered, "</turn>\n", -1)
     parts = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-    ends = F.aggregate(
-        parts,
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<part:string,at:int>>").alias("out")),
-        lambda a, p: F.struct((a.at + F.length(p) + F.lit(len(CLOSE))).alias("at"), F.concat(a.out, F.array(F.struct(p.alias("part"), a.at.alias("at")))).alias("out")),
-        lambda a: a.out,
-    )
 
-    def turn(x: Column) -> Column:
-        body = F.substring(x.part, F.lit(len(OPEN) + 1), F.length(x.part))
-        body = F.when(x.part.startswith(OPEN) & ~body.contains("###") & ~body.contains("</turn>"), body)
+    def turn(part: Column) -> Column:
+        body = F.substring(part, F.lit(len(OPEN) + 1), F.length(part))
+        body = F.when(part.startswith(OPEN) & ~body.contains("###") & ~body.contains("</turn>"), body)
         cut = F.instr(body, MIDDLE)
         raw = F.when(cut > 0, F.substring(body, cut + len(MIDDLE), F.length(body)))
-        return F.struct(
-            unescape(F.when(cut > 0, F.substring(body, F.lit(1), cut - 1))).alias("role"),
-            unescape(raw).alias("text"),
-            (x.at + len(OPEN) + cut - 1 + len(MIDDLE)).alias("start"),
-            F.length(raw).alias("size"),
-        )
+        return F.struct(unescape(F.when(cut > 0, F.substring(body, F.lit(1), cut - 1))).alias("role"), unescape(raw).alias("text"), F.length(raw).alias("size"))
 
-    return F.transform(ends, turn)
+    return F.transform(parts, turn)
 
 
 def format_chats(chats: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
@@ -91,28 +80,41 @@ def format_chats(chats: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     raw, safe = render(F.col("role"), F.col("text")), render(escape_role(F.col("role")), escape(F.col("text")))
     rows = rows.withColumn("raw", raw).withColumn("back", parse(F.col("raw")))
     same = (F.size("back") == 1) & F.coalesce((F.col("back")[0]["role"] == F.col("role")) & (F.col("back")[0]["text"] == F.col("text")), F.lit(False))
-    rows = rows.select("id", "turn", "role", "text", F.when(same, F.col("raw")).otherwise(safe).alias("out"), safe.alias("safe"), (~same).cast("int").alias("esc"))
-    whole = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "out", "safe", "esc"))).alias("t"))
+    role_out, role_safe = F.when(same, F.col("role")).otherwise(escape_role(F.col("role"))), escape_role(F.col("role"))
+    rows = rows.select("id", "turn", "role", "text", F.when(same, F.col("raw")).otherwise(safe).alias("out"), safe.alias("safe"), (~same).cast("int").alias("esc"), F.length(role_out).alias("r_out"), F.length(role_safe).alias("r_safe"))
+    # where each turn's text starts: running sums over the rows, so that a conversation costs time in proportion to its turns
+    before = Window.partitionBy("id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    start = lambda out, role: F.coalesce(F.sum(F.length(out)).over(before), F.lit(0)) + F.col(role) + len(OPEN) + len(MIDDLE) + 1
+    rows = rows.select("id", "turn", "role", "text", "out", "safe", "esc", start("out", "r_out").alias("s_out"), start("safe", "r_safe").alias("s_safe"))
+    whole = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "out", "safe", "esc", "s_out", "s_safe"))).alias("t"))
+    each = lambda name: F.transform("t", lambda x: x[name])
     source = F.transform("t", lambda x: F.struct(x.role.alias("role"), x.text.alias("text")))
     plain = lambda c: F.transform(c, lambda x: F.struct(x.role.alias("role"), x.text.alias("text")))
-    first = whole.select("id", "t", source.alias("source"), F.array_join(F.transform("t", lambda x: x.out), "").alias("formatted"))
+    first = whole.select("id", "t", source.alias("source"), F.array_join(each("out"), "").alias("formatted"))
     first = first.withColumn("turns", parse(F.col("formatted")))
     good = plain(F.col("turns")) == F.col("source")
     final = first.select(
         "id",
         "source",
-        F.when(good, F.col("formatted")).otherwise(F.array_join(F.transform("t", lambda x: x.safe), "")).alias("formatted"),
+        F.when(good, F.col("formatted")).otherwise(F.array_join(each("safe"), "")).alias("formatted"),
         F.when(good, F.col("turns")).alias("turns"),
+        F.when(good, each("s_out")).otherwise(each("s_safe")).alias("starts"),
         F.when(good, F.aggregate("t", F.lit(0), lambda a, x: a + x.esc)).otherwise(F.size("t")).alias("escaped"),
     )
     final = final.withColumn("turns", F.coalesce("turns", parse(F.col("formatted"))))
-    return final.select(F.col("id").alias(id_col), "formatted", "turns", "escaped", (plain(F.col("turns")) == F.col("source")).alias("identical"))
+    # zipped, not looked up: an array named inside the function would be worked out again for every turn
+    turns = F.transform(F.arrays_zip("turns", "starts"), lambda z: F.struct(z.turns.role.alias("role"), z.turns.text.alias("text"), z.starts.cast("int").alias("start"), z.turns["size"].alias("size")))
+    return final.select(F.col("id").alias(id_col), "formatted", turns.alias("turns"), "escaped", (plain(F.col("turns")) == F.col("source")).alias("identical"))
 
 
 def digests(formatted: DataFrame, id_col: str = "conv_id", loss_role: str = "assistant") -> DataFrame:
-    """Figures read back from format_chats() output: turns, hashes and the loss mask's text."""
+    """Figures read back from format_chats() output: turns, hashes and the loss mask's text.
+
+    turns are the parse of formatted, so a marked turn's text is what its span there holds, unescaped. Cutting the spans
+    out one by one would read a conversation once for every turn.
+    """
     marked = F.filter("turns", lambda x: x.role == loss_role)
-    loss = F.array_join(F.transform(marked, lambda x: unescape(F.substring(F.col("formatted"), x.start, x.size))), "")
+    loss = F.array_join(F.transform(marked, lambda x: x.text), "")
     turns = F.array_join(F.transform("turns", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), "")
     return formatted.select(
         id_col,

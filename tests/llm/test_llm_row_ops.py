@@ -196,6 +196,11 @@ def test_round_trip(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("out", F.lit("clash"))
     out = chat.format_chats(df)
     assert out.where("identical").count() == out.count() == len({r[0] for r in rows})
+    for r in out.collect():  # the mask's spans hold the texts as rendered
+        for t in r.turns:
+            span = r.formatted[t.start - 1 : t.start - 1 + t.size]
+            assert len(span) == t.size and span.replace("\\\\", "\0").replace("\\h", "###").replace("\\e", "</turn>").replace("\\c", ":").replace("\\n", "\n").replace("\0", "\\") == t.text
+            assert r.formatted[t.start - 3 : t.start - 1] == ": " and r.formatted[t.start - 1 + t.size :].startswith("</turn>\n")
     got = {r.conv_id: r for r in chat.digests(out).collect()}
     for conv in {r[0] for r in rows}:
         own = sorted(((t is not None, t or 0, r or "", x or "") for c, t, r, x in rows if c == conv))
@@ -207,6 +212,13 @@ def test_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_long_conversation(spark):
+    rows = spark.range(60_000).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('### turn ', id) as text")
+    d = chat.digests(chat.format_chats(rows)).first()
+    loss = "".join(f"### turn {i}" for i in range(1, 60_000, 2))
+    assert (d.n_turns, d.loss_chars, d.loss_sha256) == (60_000, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 # -- urls -----------------------------------------------------------------------------------------------------------
 
 
@@ -261,6 +273,33 @@ def test_every_link_of_a_page_counts(spark, tmp_path):
     assert rows(got) == rows(want) and set(got.verdict[got.page_id <= 3]) == {"allow"}
 
 
+def test_link_forms_and_ties(spark, tmp_path):
+    pages = [
+        (1, "http://a.com/x/1", '<link rel="alternate Canonical" href="http://bad.net/a">'),
+        (2, "http://a.com/x/2", '<!-- <link rel="canonical" href="http://bad.net/a"> --><link rel="not-canonical" href="http://bad.net/a">'),
+        (3, "HTTP://A.com/x/3", '<link rel=canonical href=http://bad.net/a><!-- open <link rel=canonical href=http://example.net/en/x>'),
+        (4, "http://\u00c4.com/x/4", "<link rel='canonical' href='http://bad.net/a'>"),
+        (5, "http://bad.net/a", None),
+        (6, "http://b.net/en/x", ""),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.QUERIES["op1_url_filters"](spark, str(tmp_path)).toPandas()
+    assert set(got.page_id[got.verdict == "block"]) == {1, 3, 4, 5, 6}
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(queries.ORACLES["op1_url_filters"]).df()
+    rows = lambda d: sorted(map(repr, d[sorted(d.columns)].astype(object).where(d[sorted(d.columns)].notna(), None).values.tolist()))
+    assert rows(got) == rows(want)
+    base = spark.createDataFrame([("http://a.com/p/q", '<base href="/r/"><link rel=canonical href=s>'), ("http://a.com/p/q", '<link rel=canonical href=s>')], "url string, html string")
+    assert [r.v for r in urls.page_links(base).collect()] == ["http://a.com/r/s", "http://a.com/p/s"]
+    for ties in ([("net/en/", "block"), ("b.net/e", "allow")], [("b.net/e", "block"), ("net/en/", "block")]):
+        best = max(ties, key=lambda r: (r[1] == "allow", r[0]))
+        for given in (ties, ties[::-1], spark.createDataFrame(ties, "rule string, verdict string")):
+            r = urls.url_verdicts(df.where("page_id = 6"), given).first()
+            assert (r.rule, r.verdict) == best
+
+
 def test_redirect_components(spark):
     link = '<link href="{}" rel="canonical">'
     pages = [

@@ -23,12 +23,15 @@ except OSError:  # another C library: its freed memory stays with the worker
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where that is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir; where that is unset, a fresh one in local mode (tests), and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexforge-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")

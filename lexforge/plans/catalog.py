@@ -165,9 +165,14 @@ def canonical_text(spark, d):
 _SKILLS = ("python and fast api", "vector databases with milvus", "ML Ops on k8s", "no production Kubernetes", "human evaluation missing", "online monitoring", "retrieval-augmented generation", "Cloud Run docker", "synthetic data only", "model drift and data drift", "acceptance criteria", "large language models", "genai", "nothing in particular")
 
 
+def phrases(key: str) -> Column:
+    """Three phrases of evidence, chosen by a number."""
+    return F.concat_ws(". ", *[F.array(*[F.lit(x) for x in _SKILLS])[(F.col(key) * k + s) % len(_SKILLS)] for k, s in ((1, 0), (3, 1), (5, 2))])
+
+
 def evidence_text() -> Column:
     """Texts with evidence in them, derived from orders: three phrases each."""
-    return F.concat_ws(". ", *[F.array(*[F.lit(x) for x in _SKILLS])[(F.col("o_orderkey") * k + s) % len(_SKILLS)] for k, s in ((1, 0), (3, 1), (5, 2))])
+    return phrases("o_orderkey")
 
 
 _EVIDENCE_SQL = (

@@ -13,7 +13,7 @@ from lexforge.operators import evidence as E
 from lexforge.operators import governed, memory, quality, relevance, reports, selection
 from lexforge.plans import compress
 from lexforge.plans import optimize as O
-from lexforge.plans.catalog import _EVIDENCE_SQL, CANON, COUNT, _similar, docs, evidence_text, f, joined, quoted, sql, table
+from lexforge.plans.catalog import _EVIDENCE_SQL, CANON, COUNT, _similar, docs, evidence_text, f, joined, phrases, quoted, sql, table
 from lexforge.streaming import pacing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -425,7 +425,19 @@ def optimize_requests(spark, d):
 
 @query("guarded_compress")
 def guarded_compress(spark, d):
-    return compress.guarded(docs(spark, d), "doc_id", "text", "Extract strengths and hiring risks.")
+    """Documents with three phrases of evidence and a quantity each."""
+    said = F.concat("text", F.lit("\n"), phrases("doc_id"), F.lit(". Please note "), (F.col("doc_id") % 9).cast("string"), F.lit(" years."))
+    c = compress.guarded(docs(spark, d).select("doc_id", said.alias("text")), "doc_id", "text", "Extract strengths and hiring risks.")
+    return c.select(
+        "doc_id",
+        F.md5("optimized").alias("optimized_md5"),
+        "tokens_before",
+        "tokens_after",
+        F.round("reduction_pct", 4).alias("reduction_pct"),
+        *[joined(F.col(x)).alias(x) for x in ("preserved", "removed", "protected")],
+        "guard_passed",
+        F.size("missing").cast("long").alias("n_missing"),
+    )
 
 
 @query("chain_run")

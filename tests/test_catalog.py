@@ -4,11 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lexforge.plans import catalog, chains, flagship
+from lexforge.plans import catalog, chains, flagship, twins
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ORACLES = {**flagship.ORACLES, **catalog.ORACLES, **chains.ORACLES}
+ORACLES = {**flagship.ORACLES, **catalog.ORACLES, **chains.ORACLES, **twins.ORACLES}
 QUERIES = {**flagship.QUERIES, **catalog.QUERIES, **chains.QUERIES}
 
 

@@ -5,6 +5,7 @@ import json
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexforge.functions import governance as G
 from lexforge.functions import kernels as K
@@ -86,11 +87,17 @@ def test_optimizer_invariants():
     assert (strict.mode, strict.min_retention, strict.duplicate, strict.relevance) == ("balanced", 0.88, 0.90, 0.15)
 
 
-def test_compression_keeps_terms():
-    text = "\n".join(f"Point {i}: the candidate has {i} years of python and limited kubernetes, detail number {i * 7} of the long plan." for i in range(80))
-    r = compress.compress(text, "find risks")
-    assert r["guard_passed"] and r["tokens_after"] < r["tokens_before"]
-    assert compress.compress("")["tokens_before"] == 0
+def test_compression_keeps_terms(spark):
+    long = "\n".join(f"Point {i}: the candidate has {i} years of python and limited kubernetes, detail number {i * 7} of the long plan." for i in range(80))
+    rows = [(1, long), (1, long), (2, ""), (3, None), (None, "please use sql")]
+    out = compress.guarded(spark.createDataFrame(rows, "id long, text string").withColumn("k", F.lit("clash")), "id", "text", "find risks")
+    got = sorted(out.collect(), key=lambda r: (r.id is None, r.id))
+    assert [r.id for r in got] == [1, 1, 2, 3, None] and got[0] == got[1] and got[2].optimized == got[3].optimized
+    assert got[0].guard_passed and got[0].tokens_after < got[0].tokens_before and got[2].tokens_before == 0 and got[2].reduction_pct == 0.0
+    lines = [x for x in got[0].optimized.split("\n") if x.startswith("- Point")]
+    assert lines == sorted(lines, key=lambda x: int(x.split()[2][:-1])) and len(lines) < 80
+    assert "please" not in got[4].optimized and "sql" in got[4].protected
+    assert compress.guarded(out.select("id", "optimized").limit(0), "id", "optimized").count() == 0
 
 
 def test_response_repair():

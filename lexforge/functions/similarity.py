@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value worked out once a row, however often then uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def counts(tokens: Column) -> Column:
-    """Map token -> how often it occurs."""
-    return F.map_from_entries(F.transform(F.array_distinct(tokens), lambda x: F.struct(x, F.size(F.filter(tokens, lambda y: y == x)))))
+    """Sorted array of (t, n): each distinct token and how often it occurs. One sort, then run lengths."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), F.struct(x.alias("t"), i.alias("i")))), lambda e: e.isNotNull())
+        return bind(starts, lambda st: F.transform(st, lambda e, j: F.struct(e.t.alias("t"), (F.coalesce(F.get(st, j + 1)["i"], F.size(s)) - e.i).cast("long").alias("n"))))
+
+    return bind(F.sort_array(tokens), runs)
+
+
+def square_sum(c: Column) -> Column:
+    """Sum of squared counts of counts()."""
+    return F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x.n * x.n)
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of the token counts of two arrays; 0 where one is empty. Integer sums, so no order of addition matters."""
-    da, db = F.array_distinct(a), F.array_distinct(b)
-    times = lambda arr, x: F.size(arr) - F.size(F.array_remove(arr, x))
-    total = lambda arr, f: F.aggregate(arr, F.lit(0).cast("long"), lambda s, x: s + f(x))
-    dot = total(F.array_intersect(da, db), lambda x: (times(a, x) * times(b, x)).cast("long"))
-    na, nb = total(da, lambda x: (times(a, x) * times(a, x)).cast("long")), total(db, lambda x: (times(b, x) * times(b, x)).cast("long"))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(dot / F.sqrt((na * nb).cast("double")))
+    """Cosine of the token counts of two arrays; 0 where one is empty. Integer sums, so no order of addition matters.
+
+    The two sorted lists of counts are merged, where a shared token's counts stand side by side.
+    """
+
+    def of(p: Column) -> Column:
+        dot = bind(F.sort_array(F.concat(p.a, p.b)), lambda m: F.aggregate(F.transform(m, lambda x, i: F.when(F.get(m, i + 1)["t"] == x.t, x.n * F.get(m, i + 1)["n"]).otherwise(0)), F.lit(0).cast("long"), lambda s, x: s + x))
+        return F.when((F.size(p.a) == 0) | (F.size(p.b) == 0), F.lit(0.0)).otherwise(dot / F.sqrt((square_sum(p.a) * square_sum(p.b)).cast("double")))
+
+    return bind(F.struct(counts(a).alias("a"), counts(b).alias("b")), of)
 
 
 def jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:
@@ -36,10 +56,25 @@ def lexical(a: Column, b: Column) -> Column:
     return jaccard(lexical_tokens(a), lexical_tokens(b), 0.0)
 
 
+def dense_dot(a: Column, b: Column) -> Column:
+    """Inner product of two number arrays of one length."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def dense_cosine(a: Column, b: Column) -> Column:
     """Cosine of two number arrays of one length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.try_divide(dense_dot(a, b), F.sqrt(dense_dot(a, a)) * F.sqrt(dense_dot(b, b)))
+
+
+def entropy(tokens: Column) -> Column:
+    """Shannon entropy in bits of the token counts of an array; null where it is empty, plain zero for one token."""
+
+    def of(c: Column) -> Column:
+        total = F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x.n)
+        bits = bind(total, lambda n: F.aggregate(c, F.lit(0.0), lambda s, x: s - x.n / n * F.log2(x.n / n)))
+        return F.when(F.size(c) > 0, F.abs(bits))
+
+    return bind(counts(tokens), of)
 
 
 def clamp(c: Column) -> Column:

@@ -8,7 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexforge.functions.lexicons import CLEANUP_PHRASES, CONSTRAINT_GROUPS, CONSTRAINT_WORDS, CONTRACT_PREFIXES, KEYWORD_STOP, NEGATIONS, POLARITY_TERMS, SAFE_PHRASES, STOPWORDS, SYNONYMS
+from lexforge.functions.lexicons import CLEANUP_PHRASES, CONSTRAINT_GROUPS, CONSTRAINT_PHRASES, CONSTRAINT_WORDS, CONTRACT_PREFIXES, KEYWORD_STOP, NEGATIONS, POLARITY_TERMS, SAFE_PHRASES, STOPWORDS, SYNONYMS
+from lexforge.functions.similarity import bind
 
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 WORD = r"[A-Za-z0-9_.$%/-]+"
@@ -165,16 +166,16 @@ def char_ngrams(c: Column, n: int = 4) -> Column:
 
 
 def numbers(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(find_all(F.coalesce(c, F.lit("")), NUMBER)))
+    return F.sort_array(F.array_distinct(find_all(F.coalesce(c, F.lit("")), NUMBER)))
 
 
 def codes(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(find_all(F.coalesce(c, F.lit("")), CODE)))
+    return F.sort_array(F.array_distinct(find_all(F.coalesce(c, F.lit("")), CODE)))
 
 
 def entities(c: Column) -> Column:
     found = F.filter(find_all(F.coalesce(c, F.lit("")), ENTITY), lambda x: ~F.lower(x).isin(*STOPWORDS) & (F.length(x) >= 2))
-    return F.array_sort(F.array_distinct(found))
+    return F.sort_array(F.array_distinct(found))
 
 
 TRIGGERS = tuple(dict.fromkeys([*CONSTRAINT_WORDS, *NEGATIONS]))
@@ -188,9 +189,39 @@ def window(toks: Column, at: Column, before: int, after: int) -> Column:
 
 def constraint_windows(c: Column) -> Column:
     """Sorted distinct windows of three words on either side of a constraint or negation."""
-    toks = all_words(c)
-    hits = F.filter(F.transform(toks, lambda x, i: F.when(x.isin(*TRIGGERS), window(toks, i, 3, 3))), lambda x: x.isNotNull())
-    return F.array_sort(F.array_distinct(hits))
+    # bound: named inside the function, the words would be found again for every trigger
+    hits = bind(all_words(c), lambda toks: F.filter(F.transform(toks, lambda x, i: F.when(x.isin(*TRIGGERS), window(toks, i, 3, 3))), lambda x: x.isNotNull()))
+    return F.sort_array(F.array_distinct(hits))
+
+
+def constraint_atoms(c: Column) -> Column:
+    """Constraints of a text: array of (group, terms, numbers, window, weight) around each trigger word or phrase.
+
+    terms are the content words of the window, eight at most; fewer than three are filled up to five with the text's
+    other long words. Of atoms with equal group, first six terms and numbers the first stays.
+    """
+
+    def atom(toks: Column, long: Column, i: Column) -> Column:
+        near = F.slice(toks, F.greatest(i - 5, F.lit(1)), i + 9 - F.greatest(i - 6, F.lit(0)))
+
+        def of(n: Column) -> Column:
+            own = F.filter(n, lambda x: (F.length(x) >= 3) & ~x.isin(*STOPWORDS) & ~x.isin(*TRIGGERS))
+            terms = bind(own, lambda t: F.slice(F.when(F.size(t) >= 3, t).otherwise(F.concat(t, F.slice(F.array_except(long, t), F.lit(1), 5 - F.size(t)))), 1, 8))
+            return bind(F.array_join(n, " "), lambda w: F.struct(constraint_group(w).alias("group"), terms.alias("terms"), numbers(w).alias("numbers"), w.alias("window")))
+
+        return bind(near, of)
+
+    def atoms(x: Column) -> Column:
+        phrase = lambda t, i: F.concat_ws(" ", F.get(x.toks, i - 1), t)
+        trigger = lambda t, i: t.isin(*TRIGGERS) | phrase(t, i).isin(*CONSTRAINT_PHRASES)
+        return F.filter(F.transform(x.toks, lambda t, i: F.when(trigger(t, i), atom(x.toks, x.long, i))), lambda a: a.isNotNull())
+
+    def first_of_equals(found: Column) -> Column:
+        keys = F.transform(found, lambda a: F.concat_ws("\x1f", a.group, F.concat_ws(" ", F.slice(a.terms, 1, 6)), F.concat_ws(" ", a.numbers)))
+        return bind(keys, lambda k: F.filter(F.transform(found, lambda a, i: F.when(F.array_position(k, F.get(k, i)) == i + 1, a)), lambda a: a.isNotNull()))
+
+    toks = bind(all_words(c), lambda t: F.struct(t.alias("toks"), F.array_distinct(F.filter(t, lambda x: (F.length(x) >= 5) & ~x.isin(*STOPWORDS))).alias("long")))
+    return bind(bind(toks, atoms), first_of_equals)
 
 
 def constraint_group(w: Column) -> Column:
@@ -206,7 +237,7 @@ def keywords(c: Column, most: int = 30) -> Column:
     """Best words: length, 4 for a digit, 3 for no letter; ties by name."""
     t = F.array_distinct(F.filter(words(c), lambda x: F.length(x) >= 3))
     scored = F.transform(t, lambda x: F.struct((-(F.length(x) + F.when(x.rlike("[0-9]"), 4).otherwise(0) + F.when(F.upper(x) == x, 3).otherwise(0))).alias("s"), x.alias("w")))
-    return F.transform(F.slice(F.array_sort(scored), 1, most), lambda x: x.w)
+    return F.transform(F.slice(F.sort_array(scored), 1, most), lambda x: x.w)
 
 
 def has_polarity(c: Column) -> Column:

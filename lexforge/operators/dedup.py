@@ -44,7 +44,7 @@ def lexical_edges(u: DataFrame, threshold: float) -> DataFrame:
 def keep_first(u: DataFrame, edges: DataFrame) -> DataFrame:
     """(g, pos, unit, kept): the fold over each group's units that have an earlier neighbour; all others stay."""
     near = edges.groupBy("g", "a").agg(F.collect_list("b").alias("earlier"))
-    order = near.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("a", "earlier"))).alias("e"))
+    order = near.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("a", "earlier"))).alias("e"))
     dropped = F.aggregate("e", F.array().cast("array<int>"), lambda gone, x: F.when(F.size(F.array_except(x.earlier, gone)) > 0, F.array_append(gone, x.a)).otherwise(gone))
     gone = order.select("g", F.explode(dropped).alias("pos")).withColumn("gone", F.lit(True))
     return u.join(gone, ["g", "pos"], "left").select("g", "pos", "unit", F.col("gone").isNull().alias("kept"))

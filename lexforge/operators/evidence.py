@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexforge.functions import text as T
 from lexforge.functions.kernels import plain
 from lexforge.functions.lexicons import CONCERN_ENTITY, CONCERN_WEIGHTS, CONCERNS, ENTITIES, EVIDENCE_STOP, GOVERNANCE_TERMS, REASONS
+from lexforge.functions.similarity import bind
 
 
 def pattern(aliases) -> str:
@@ -17,11 +18,6 @@ def pattern(aliases) -> str:
     return "(^|[^a-z0-9])(" + "|".join(re.escape(a) for a in sorted({plain(x) for x in aliases})) + ")($|[^a-z0-9])"
 
 
-def bind(value: Column, then) -> Column:
-    """then(value) with value worked out once a row, however often then uses it."""
-    return F.transform(F.array(value), then)[0]
-
-
 def hits(canonical_text: Column, ontology: dict) -> Column:
     """Sorted names of the ontology whose aliases occur. The ontology is a constant, so this is one projection and no join."""
     return bind(canonical_text, lambda t: _hits(t, ontology))
@@ -38,7 +34,7 @@ def ledger(text: Column) -> Column:
 
     def close(x: Column) -> Column:
         brought = F.array_compact(F.array(*[F.when(F.array_contains(x.c, c), F.lit(e)) for c, e in CONCERN_ENTITY.items()]))
-        return F.struct(F.array_sort(F.array_union(x.e, brought)).alias("entities"), x.c.alias("concerns"), x.r.alias("reasons"))
+        return F.struct(F.sort_array(F.array_union(x.e, brought)).alias("entities"), x.c.alias("concerns"), x.r.alias("reasons"))
 
     return bind(found, close)
 

@@ -36,7 +36,7 @@ def top_sentences(c: Column, terms: Column, limit: int) -> Column:
         cue = F.when(F.exists(cues, lambda x: F.contains(F.lower(s), x)), 3).otherwise(0)
         return shared + 2 * F.least(F.lit(8), F.size(T.numbers(s))) + 2 * F.least(F.lit(4), F.size(T.codes(s))) + cue
 
-    ranked = F.array_sort(F.transform(T.sentences(c), lambda s, i: F.struct((-score(s)).alias("k"), F.length(s).alias("n"), i.alias("i"), s.alias("s"))))
+    ranked = F.sort_array(F.transform(T.sentences(c), lambda s, i: F.struct((-score(s)).alias("k"), F.length(s).alias("n"), i.alias("i"), s.alias("s"))))
     return F.transform(F.slice(ranked, 1, limit), lambda x: x.s)
 
 
@@ -53,7 +53,7 @@ def compact_memory(runs: DataFrame, profile: str = "profile", requirement: str =
         F.col("_p").alias("core_skills"),
         F.col("_q").alias("role_requirements"),
         F.slice(T.numbers(F.col("_all")), 1, 25).alias("numeric_facts"),
-        F.slice(F.array_sort(F.array_union(T.entities(F.col("_all")), T.codes(F.col("_all")))), 1, 25).alias("named_entities"),
+        F.slice(F.sort_array(F.array_union(T.entities(F.col("_all")), T.codes(F.col("_all")))), 1, 25).alias("named_entities"),
         constraint_sentences(F.col("_all"), 18).alias("safety_constraints"),
         F.slice(digest, 1, 12).alias("evidence_digest"),
     )

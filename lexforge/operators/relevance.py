@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
+from lexforge.functions.similarity import dense_dot
 
 #: query-side (query, token, n) rows that may be broadcast after a count
 SMALL_TERMS = 500_000
@@ -34,3 +35,25 @@ def relevance(queries: DataFrame, texts: DataFrame, query_id: str, text_id: str,
 def top_k(pairs: DataFrame, by: str, value: str, tie: str, k: int) -> DataFrame:
     w = Window.partitionBy(by).orderBy(F.desc(value), tie)
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+#: vectors in one block of queries, and bytes of blocks that may be broadcast
+QUERY_BLOCK, BLOCK_BYTES = 256, 32 << 20
+
+
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The k vectors of highest cosine for each query: (query_id, vec_id, similarity, rank); a vector isn't its own neighbour.
+
+    queries: (q struct<id, v, n>), vectors: (vec_id, embedding, norm). Queries are packed into blocks of about QUERY_BLOCK,
+    and each vector meets each block in one row, which keeps no more than its pairs. The blocks are broadcast if
+    their bytes, summed first, are few; else they are joined by number. The best k of a query are cut by rank, which
+    Spark limits within each partition before it shuffles.
+    """
+    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("q.v") * 8), F.lit(0))).first()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    packed = queries.groupBy(F.pmod(F.xxhash64("q.id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("q").alias("qs"))
+    rows = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.join(F.broadcast(packed) if size <= BLOCK_BYTES else packed, "block")
+    near = F.transform("qs", lambda q: F.struct(q.id.alias("query_id"), F.try_divide(dense_dot(q.v, F.col("embedding")), q.n * F.col("norm")).alias("s")))
+    rows = rows.select("vec_id", F.explode(near).alias("x")).select("vec_id", "x.query_id", "x.s").where("vec_id <> query_id")
+    return top_k(rows, "query_id", "s", "vec_id", k).withColumnRenamed("s", "similarity")

@@ -2,59 +2,94 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.functions import kernels as K
+from lexforge.functions import lexicons as L
 from lexforge.functions import text as T
-from lexforge.functions.similarity import cosine
+from lexforge.functions.similarity import bind, clamp, cosine, counts, square_sum
 
 
 def _share(required: Column, found) -> Column:
     return F.when(F.size(required) == 0, F.lit(1.0)).otherwise(F.size(F.filter(required, found)) / F.size(required))
 
 
+def digits(c: Column) -> Column:
+    return F.regexp_replace(c, "[^0-9.]", "")
+
+
 def numeric(original: Column, optimized: Column) -> Column:
     """Share of the original's numbers that occur, or whose digits occur among the digits of the optimized text."""
-    digits = F.regexp_replace(optimized, "[^0-9.]", "")
 
-    def found(x: Column) -> Column:
-        d = F.regexp_replace(x, "[^0-9.]", "")
-        return F.contains(optimized, x) | ((d != "") & F.contains(digits, d))
+    def of(x: Column) -> Column:
+        found = lambda n: F.contains(x.text, n) | ((digits(n) != "") & F.contains(x.digits, digits(n)))
+        return _share(x.numbers, found)
 
-    return _share(T.numbers(original), found)
+    return bind(F.struct(T.numbers(original).alias("numbers"), optimized.alias("text"), digits(optimized).alias("digits")), of)
 
 
 def keyword(original: Column, optimized: Column) -> Column:
-    have = F.array_distinct(T.all_words(optimized))
-    return _share(T.keywords(original), lambda x: F.array_contains(have, x))
+    required = F.struct(T.keywords(original).alias("k"), T.all_words(optimized).alias("w"))
+    return bind(required, lambda x: F.when(F.size(x.k) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x.k, x.w)) / F.size(x.k)))
 
 
 def entity(original: Column, optimized: Column, least: float = 0.5) -> Column:
     """Share of the original's entities and codes that occur, or whose words have that cosine with the optimized text."""
-    low, have = F.lower(optimized), T.words(optimized)
+
+    def of(x: Column) -> Column:
+        def near(phrase: Column) -> Column:
+            own = counts(T.words(phrase))
+            dot = lambda o: F.aggregate(o, F.lit(0).cast("long"), lambda s, e: s + e.n * F.coalesce(F.try_element_at(x.have, e.t), F.lit(0).cast("long")))
+            return bind(own, lambda o: F.when((F.size(o) == 0) | (x.norm == 0), F.lit(0.0)).otherwise(dot(o) / F.sqrt((square_sum(o) * x.norm).cast("double"))))
+
+        return _share(x.required, lambda p: F.when(F.contains(x.low, F.lower(p)), F.lit(True)).otherwise(near(p) >= least))
+
+    have = lambda c: F.struct(F.map_from_arrays(F.transform(c, lambda e: e.t), F.transform(c, lambda e: e.n)).alias("have"), square_sum(c).alias("norm"))
+    both = bind(counts(T.words(optimized)), have)
     required = F.array_union(T.entities(original), T.codes(original))
-    return _share(required, lambda x: F.contains(low, F.lower(x)) | (cosine(T.words(x), have) >= least))
+    return bind(bind(both, lambda h: F.struct(required.alias("required"), F.lower(optimized).alias("low"), h.have.alias("have"), h.norm.alias("norm"))), of)
 
 
 def semantic(original: Column, optimized: Column) -> Column:
     return cosine(T.words(original), T.words(optimized))
 
 
-MEASURES = ("retention", "entity", "numeric", "constraint", "semantic", "keyword")
+# -- fixed values: what an atom's score is made of ---------------------------------------------------------------
+GROUP_ENOUGH, TERMS_ENOUGH, BY_TERMS, BY_GROUP, BY_LITTLE = 0.25, 0.65, 0.85, 0.55, 0.45
 
 
-def scores(df: DataFrame, id_col: str, original: str, optimized: str) -> DataFrame:
-    """All measures and their weighted sum for each row: (id_col, retention, entity, numeric, constraint, semantic, keyword)."""
-    src = df.select(F.col(id_col).alias("id"), F.coalesce(original, F.lit("")).alias("a"), F.coalesce(optimized, F.lit("")).alias("b"))
-    kind = src.schema["id"].dataType.simpleString()
+def constraint(original: Column, optimized: Column) -> Column:
+    """Weighted mean of how well the original's constraint atoms are met: by their terms and numbers, and by words of their group."""
+    weights = F.create_map(*[F.lit(x) for kv in L.ATOM_WEIGHTS.items() for x in kv])
+    cues = F.create_map(*[x for g, words in L.GROUP_SYNONYMS.items() for x in (F.lit(g), T.words_in(words))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [K.Retention(a).score(b) for a, b in zip(pdf.a, pdf.b, strict=True)]
-            yield pd.DataFrame({"id": pdf.id, **{m: [r[m] for r in rows] for m in MEASURES}})
+    def of(x: Column) -> Column:
+        def score(a: Column) -> Column:
+            terms = F.filter(a.terms, lambda t: F.length(t) >= 3)
+            aims = F.size(terms) + F.size(a.numbers)
+            hits = F.size(F.filter(terms, lambda t: F.contains(x.low, t))) + F.size(F.filter(a.numbers, lambda n: F.contains(x.low, F.lower(n)) | F.contains(x.digits, digits(n))))
+            met = F.when(aims > 0, hits / aims).otherwise(1.0)
+            group = F.exists(F.coalesce(F.try_element_at(cues, a.group), F.array().cast("array<string>")), lambda w: F.contains(x.low, w))
+            return bind(F.struct(met.alias("met"), group.alias("group")), lambda s: F.when(s.group & (s.met >= GROUP_ENOUGH), 1.0).when(s.met >= TERMS_ENOUGH, BY_TERMS).when(s.group, BY_GROUP).otherwise(F.least(F.lit(BY_LITTLE), s.met)))
 
-    return src.mapInPandas(run, f"id {kind}, " + ", ".join(f"{m} double" for m in MEASURES)).withColumnRenamed("id", id_col)
+        weight = lambda a: F.coalesce(F.try_element_at(weights, a.group), F.lit(1.0))
+        total = lambda f: F.aggregate(x.atoms, F.lit(0.0), lambda s, a: s + f(a))
+        return F.when(F.size(x.atoms) == 0, F.lit(1.0)).otherwise(total(lambda a: weight(a) * score(a)) / total(weight))
+
+    low = F.lower(optimized)
+    return bind(F.struct(T.constraint_atoms(original).alias("atoms"), low.alias("low"), digits(low).alias("digits")), of)
+
+
+MEASURES = ("retention", "entity", "numeric", "constraint", "semantic", "keyword")
+
+
+def scores(df: DataFrame, id_col: str, original: str, optimized: str) -> DataFrame:
+    """All measures and their weighted sum for each row: (id_col, retention, entity, numeric, constraint, semantic, keyword).
+
+    Columns alone; a null text counts as empty, and null or repeated ids keep a row each.
+    """
+    a, b = F.coalesce(F.col(original), F.lit("")), F.coalesce(F.col(optimized), F.lit(""))
+    measures = {"entity": entity, "numeric": numeric, "constraint": constraint, "semantic": semantic, "keyword": keyword}
+    out = df.select(F.col(id_col), *[clamp(f(a, b)).alias(k) for k, f in measures.items()])
+    total = sum((F.lit(w) * F.col(k) for k, w in L.RETENTION_WEIGHTS.items()), F.lit(0.0))
+    return out.withColumn("retention", F.least(F.lit(1.0), total)).select(id_col, *MEASURES)

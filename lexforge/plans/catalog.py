@@ -11,6 +11,7 @@ from lexforge.functions import lexicons as L
 from lexforge.functions import similarity as S
 from lexforge.functions import text as T
 from lexforge.operators import cost, dedup, evidence, relevance, retention
+from lexforge.sources.io import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def joined(c: Column) -> Column:
@@ -222,7 +223,7 @@ def words_tf(spark, d):
 
 @query("keyword_set", sql(r"SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_+#.-]{2,}'), lambda x: lower(x)), lambda x: x NOT IN ({{s}})))), '|') AS keywords FROM benchmark", s=quoted(L.KEYWORD_STOP)))
 def keyword_set(spark, d):
-    return table(spark, d, "benchmark").select("item_id", joined(F.array_sort(T.keyword_set(F.col("text")))).alias("keywords"))
+    return table(spark, d, "benchmark").select("item_id", joined(F.sort_array(T.keyword_set(F.col("text")))).alias("keywords"))
 
 
 # -- similarity and relevance ---------------------------------------------------------------------------------------
@@ -262,9 +263,7 @@ def lexical_jaccard_turns(spark, d):
 
 @query("shannon_entropy", sql("WITH w AS (SELECT doc_id, unnest({{w}}) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL), p AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM c) SELECT doc_id, abs(round(sum(p * log2(p)), 6)) AS entropy FROM p GROUP BY doc_id", w=f(WORDS)))
 def shannon_entropy(spark, d):
-    c = docs(spark, d).select("doc_id", F.explode(T.all_words(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    p = c.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("doc_id")))
-    return p.groupBy("doc_id").agg(F.abs(F.round(F.sum(F.col("p") * F.log2("p")), 6)).alias("entropy"))
+    return docs(spark, d).select("doc_id", F.round(S.entropy(T.all_words(F.col("text"))), 6).alias("entropy")).where("entropy is not null")
 
 
 @query("top_terms", sql(r"WITH w AS (SELECT source, doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_+#.-]{2,}'), lambda x: lower(x))) AS w FROM documents), c AS (SELECT source, w AS term, count(*) AS n, min(doc_id) AS first_doc FROM w WHERE w NOT IN ({{s}}) GROUP BY source, w) SELECT source, term, n, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, first_doc, term) AS r FROM c) WHERE r <= 40", s=quoted(L.TOP_TERM_STOP)))
@@ -287,11 +286,11 @@ def critical_flag(spark, d):
 
 @query("dense_cosine_topk", "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) SELECT query_id, vec_id, round(s, 5) AS similarity, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS r FROM s) WHERE r <= 5")
 def dense_cosine_topk(spark, d):
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).withColumn("s", S.dense_cosine(F.col("q"), F.col("embedding")))
-    top = relevance.top_k(s, "query_id", "s", "vec_id", 5)
-    return top.select("query_id", "vec_id", F.round("s", 5).alias("similarity"), "rank")
+    """Each vector against every query, in blocks: a stated query set against all rows, and its best five kept block by block."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", F.sqrt(S.dense_dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
+    q = e.where("vec_id % 50 = 0").select(F.struct(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("norm").alias("n")).alias("q"))
+    best = relevance.dense_top_k(q, e, 5)
+    return best.select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), "rank")
 
 
 # -- extractors ---------------------------------------------------------------------------------------------------------

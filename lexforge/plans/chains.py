@@ -14,6 +14,7 @@ from lexforge.operators import governed, memory, quality, relevance, reports, se
 from lexforge.plans import compress
 from lexforge.plans import optimize as O
 from lexforge.plans.catalog import _EVIDENCE_SQL, CANON, COUNT, _similar, docs, evidence_text, f, joined, phrases, quoted, sql, table
+from lexforge.sources.io import spread
 from lexforge.streaming import pacing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,7 +51,7 @@ UNION ALL SELECT p.conv_id, p.r + 1, CASE WHEN used + cost <= 250 THEN used + co
 SELECT conv_id, used, packed FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY r DESC) AS k FROM p) WHERE k = 1""",
 )
 def greedy_budget_fill(spark, d):
-    g = _sized(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("r", "cost"))).alias("c"))
+    g = _sized(spark, d).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("r", "cost"))).alias("c"))
     g = g.withColumn("took", selection.first_fit(F.transform("c", lambda x: F.struct(x.r.alias("idx"), x.cost.alias("cost"))), F.lit(250)))
     used = F.aggregate(F.filter("c", lambda x: F.array_contains(F.col("took"), x.r)), F.lit(0).cast("long"), lambda a, x: a + x.cost)
     return g.select("conv_id", used.alias("used"), F.size("took").cast("long").alias("packed"))
@@ -88,7 +89,7 @@ ledger AS (SELECT o_orderkey, text, c, concerns, reasons, list_sort(list_distinc
 
 
 def _ledgers(spark, d) -> DataFrame:
-    return E.with_ledger(table(spark, d, "orders").select("o_orderkey", evidence_text().alias("text")), "text")
+    return E.with_ledger(spread(table(spark, d, "orders").select("o_orderkey")).select("o_orderkey", evidence_text().alias("text")), "text")
 
 
 @query("ontology_hits", f"WITH {_LEDGER} SELECT hit, count(*) AS n FROM (SELECT unnest(e0) AS hit FROM h) GROUP BY hit")
@@ -325,7 +326,7 @@ def skills(spark, d):
 
 
 def _runs(spark, d) -> DataFrame:
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
     return c.select("conv_id", F.col("t")[0]["text"].alias("profile"), F.coalesce(F.get("t", F.lit(1))["text"], F.lit("")).alias("requirement"), F.transform(F.filter("t", lambda x, i: i >= 2), lambda x: x.text).alias("evidence"))
 
 
@@ -412,7 +413,7 @@ def _requests(spark, d) -> DataFrame:
     """Each benchmark text as a prompt with its ten most similar documents as chunks."""
     best = relevance.top_k(_similar(spark, d).withColumn("similarity", F.round("similarity", 9)), "item_id", "similarity", "doc_id", 10)
     chunks = best.join(docs(spark, d).select("doc_id", F.col("text").alias("chunk")), "doc_id")
-    chunks = chunks.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk"))).alias("c"))
+    chunks = chunks.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk"))).alias("c"))
     items = table(spark, d, "benchmark").join(chunks, "item_id")
     return items.select("item_id", F.concat(F.lit("Please answer with at least 3 facts. "), "text").alias("prompt"), F.col("text").alias("query"), F.transform("c", lambda x: x.chunk).alias("chunks"))
 

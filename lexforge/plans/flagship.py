@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
 from lexforge.operators import cost, relevance, selection
+from lexforge.plans import catalog
 from lexforge.plans.catalog import _TF, COUNT, f, sql
 
 BUDGET, RELEVANCE, MOST = 1200, 0.05, 50
@@ -14,11 +15,11 @@ BUDGET, RELEVANCE, MOST = 1200, 0.05, 50
 
 def relevant_context(spark: SparkSession, sf_dir: str, budget: int = BUDGET, threshold: float = RELEVANCE, most: int = MOST) -> DataFrame:
     """(item_id, candidates, packed, used_tokens, cost): documents of at least threshold by similarity, the most best of them packed."""
-    items, docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    items, docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), catalog.docs(spark, sf_dir)
     sim = relevance.relevance(items, docs, "item_id", "doc_id").withColumn("similarity", F.round("similarity", 9)).where(F.col("similarity") >= threshold)
     best = relevance.top_k(sim, "item_id", "similarity", "doc_id", most)
     sized = best.join(docs.select("doc_id", T.count_tokens(F.col("text")).alias("cost")), "doc_id")
-    packs = sized.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "cost"))).alias("c"))
+    packs = sized.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rank", "cost"))).alias("c"))
     packs = packs.withColumn("took", selection.first_fit(F.transform("c", lambda x: F.struct(x.rank.alias("idx"), x.cost.alias("cost"))), F.lit(budget)))
     used = F.aggregate(F.filter("c", lambda x: F.array_contains(F.col("took"), x.rank)), F.lit(0).cast("long"), lambda a, x: a + x.cost)
     return packs.select(

@@ -9,6 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than the cluster has cores, dealt out to all of them; any other is left as it is.
+
+    For a small file that heavy row-by-row work follows; a table of many files or row groups never moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def chunks(df: DataFrame, id_col: str, array_col: str) -> DataFrame:
     """Context arrays as rows (id_col, idx, text)."""
     return df.select(id_col, F.posexplode(array_col).alias("idx", "text"))

@@ -100,6 +100,32 @@ def test_compression_keeps_terms(spark):
     assert compress.guarded(out.select("id", "optimized").limit(0), "id", "optimized").count() == 0
 
 
+def test_retention_columns_agree_with_rows(spark):
+    """One rule in two forms: columns for tables, plain Python inside a request's loop."""
+    from lexforge.operators import retention
+
+    texts = [
+        ("Alpha Service must not deploy AB-12 before review unless at least 30% of Beta is ready; only if $1,200.50 is paid.", "alpha service 30 paid if ready"),
+        ("No. Do not go. Never mind the 7 gaps, X9 needs 3.5 hours or more than 2 days.", "7 gaps need hours, X9"),
+        ("", "x"), ("must", ""), ("the of", "the of"), ("Keep Keep Keep the word word", "word keep"),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(texts)] + [(None, None, None)], "id long, a string, b string")
+    got = {r.id: r for r in retention.scores(df, "id", "a", "b").collect()}
+    for i, (a, b) in [*enumerate(texts), (None, ("", ""))]:
+        want = K.Retention(a).score(b)
+        assert all(abs(got[i][m] - want[m]) < 1e-12 for m in retention.MEASURES), (i, want, got[i])
+
+
+def test_counts_and_cosine(spark):
+    from lexforge.functions import similarity as S
+
+    rows = [(["b", "a", "b", "c"], ["a", "b"]), ([], ["a"]), (["x"], ["x", "x"]), (["a"], ["b"])]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    out = df.select(S.counts(F.col("a")).alias("c"), S.cosine(F.col("a"), F.col("b")).alias("s"), S.entropy(F.col("a")).alias("e")).collect()
+    assert [[tuple(x) for x in r.c] for r in out] == [[("a", 1), ("b", 2), ("c", 1)], [], [("x", 1)], [("a", 1)]]
+    assert [round(r.s, 9) for r in out] == [round(3 / (6 * 2) ** 0.5, 9), 0.0, 1.0, 0.0] and [r.e for r in out] == [1.5, None, 0.0, 0.0]
+
+
 def test_response_repair():
     full = {"final_score": 7.0, "shortlist_decision": "Hold", "evidence_terms": [], "reasons": ["a"], "concerns": [], "interview_plan": []}
     assert G.repair_response(json.dumps(full))[1] == "none"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
-from lexforge.functions.similarity import dense_dot
+from lexforge.functions.similarity import dense_dot, entropy
 
 #: query-side (query, token, n) rows that may be broadcast after a count
 SMALL_TERMS = 500_000
@@ -37,6 +37,15 @@ def top_k(pairs: DataFrame, by: str, value: str, tie: str, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def entropy_filter(df: DataFrame, text_col: str, least: float = 0.0) -> DataFrame:
+    """df with entropy, least_entropy and changed: the score that a policy may act on. No text is cut by entropy alone.
+
+    A null or wordless text has entropy 0.
+    """
+    score = F.coalesce(entropy(T.all_words(F.col(text_col))), F.lit(0.0))
+    return df.withColumns({"entropy": score, "least_entropy": F.lit(float(least)), "changed": F.lit(False)})
+
+
 #: vectors in one block of queries, and bytes of blocks that may be broadcast
 QUERY_BLOCK, BLOCK_BYTES = 256, 32 << 20
 

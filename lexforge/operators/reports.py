@@ -41,6 +41,46 @@ def run_report(calls: DataFrame) -> DataFrame:
     )
 
 
+#: what a call may say beside its tokens, cost, status and retention; a run without such a column counts 0
+_FACTS = {"risk": "string", "valid": "boolean", "repaired": "boolean", "retried": "boolean", "retry_ok": "boolean", "consistent": "boolean", "consistency": "double", "saved": "long", "savings": "double", "retry_tokens": "long", "retry_cost": "double", "sleep": "double"}
+
+
+def run_totals(calls: DataFrame) -> DataFrame:
+    """The whole report of each run: run_report()'s figures and the conditional counts of its calls' further facts.
+
+    calls: (run_id, tokens, cost, status, retention) and any of _FACTS. A null flag counts as not set, a call without
+    valid as invalid where the column exists; averages are 0 for a run without any value.
+    """
+    have = set(calls.columns)
+    c = calls.withColumns({k: F.lit(None).cast(t) for k, t in _FACTS.items() if k not in have})
+    unset = lambda k: F.count_if(~F.coalesce(F.col(k), F.lit(False))) if k in have else F.lit(0).cast("long")
+    total = lambda k: F.coalesce(F.sum(k), F.lit(0))
+    return c.groupBy("run_id").agg(
+        F.count("*").alias("calls"),
+        (F.sum("tokens") + total("retry_tokens")).cast("double").alias("tokens"),
+        F.round(F.sum("cost") + total("retry_cost"), 8).alias("cost"),
+        F.round(total("savings"), 8).alias("savings"),
+        total("saved").cast("long").alias("tokens_saved"),
+        F.round(F.coalesce(F.avg("retention"), F.lit(0.0)), 4).alias("avg_retention"),
+        F.coalesce(F.min("retention"), F.lit(0.0)).alias("worst_retention"),
+        *[F.count_if(F.col("status") == x).alias(x) for x in ("accepted", "rolled_back")],
+        F.count_if(F.col("risk") == "HIGH").alias("high_risk"),
+        F.count_if("valid").alias("schema_valid"),
+        F.count_if("repaired").alias("schema_repaired"),
+        unset("valid").alias("schema_invalid"),
+        F.count_if("retried").alias("retries"),
+        F.count_if("retry_ok").alias("retry_successes"),
+        unset("consistent").alias("inconsistent"),
+        F.round(F.coalesce(F.avg("consistency"), F.lit(0.0)), 4).alias("avg_consistency"),
+        F.round(total("sleep"), 3).cast("double").alias("sleep_seconds"),
+    )
+
+
+def schema_critical(spark: SparkSession) -> DataFrame:
+    """Agents and whether their contract is critical: it has required fields, and some that may not be empty."""
+    return contract_fields(spark).groupBy("agent").agg(F.max("non_empty").alias("critical"))
+
+
 def ab_totals(rows: DataFrame, by: str) -> DataFrame:
     out = rows.groupBy(by).agg(F.sum("baseline").cast("long").alias("baseline"), F.sum("optimized").cast("long").alias("optimized"))
     return out.withColumn("reduction_pct", F.round(F.coalesce(F.try_divide((F.col("baseline") - F.col("optimized")) * 100.0, F.col("baseline")), F.lit(0.0)), 4))

@@ -364,6 +364,42 @@ def run_report(spark, d):
     return reports.run_report(calls)
 
 
+@query("run_totals", """SELECT l_suppkey AS run_id, count(*) AS calls, CAST(sum(l_quantity) + sum(CASE WHEN l_orderkey % 9 = 0 THEN 5 ELSE 0 END) AS DOUBLE) AS tokens, round(sum(l_quantity) / 1e6 * 0.59, 8) AS cost, CAST(0 AS DOUBLE) AS savings, CAST(sum(l_orderkey % 50) AS BIGINT) AS tokens_saved,
+round(avg(l_discount), 4) AS avg_retention, min(l_discount) AS worst_retention, count(*) FILTER (WHERE l_returnflag = 'A') AS accepted, count(*) FILTER (WHERE l_returnflag = 'R') AS rolled_back, count(*) FILTER (WHERE l_orderkey % 4 = 1) AS high_risk,
+count(*) FILTER (WHERE l_orderkey % 5 <> 0) AS schema_valid, count(*) FILTER (WHERE l_orderkey % 3 = 0) AS schema_repaired, count(*) FILTER (WHERE l_orderkey % 5 = 0) AS schema_invalid, count(*) FILTER (WHERE l_orderkey % 9 = 0) AS retries, count(*) FILTER (WHERE l_orderkey % 18 = 0) AS retry_successes,
+count(*) FILTER (WHERE l_orderkey % 7 = 0) AS inconsistent, round(avg(l_tax), 4) AS avg_consistency, CAST(0 AS DOUBLE) AS sleep_seconds FROM lineitem GROUP BY l_suppkey""")
+def run_totals(spark, d):
+    k = F.col("l_orderkey")
+    calls = table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("run_id"),
+        F.col("l_quantity").alias("tokens"),
+        (F.col("l_quantity") / 1e6 * 0.59).alias("cost"),
+        F.when(F.col("l_returnflag") == "A", "accepted").when(F.col("l_returnflag") == "R", "rolled_back").alias("status"),
+        F.col("l_discount").alias("retention"),
+        F.when(k % 4 == 1, "HIGH").otherwise("LOW").alias("risk"),
+        (k % 5 != 0).alias("valid"),
+        F.when(k % 3 == 0, True).alias("repaired"),
+        (k % 9 == 0).alias("retried"),
+        (k % 18 == 0).alias("retry_ok"),
+        F.when(k % 9 == 0, 5).otherwise(0).alias("retry_tokens"),
+        (k % 7 != 0).alias("consistent"),
+        F.col("l_tax").alias("consistency"),
+        (k % 50).alias("saved"),
+    )
+    return reports.run_totals(calls)
+
+
+@query("schema_critical", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {str(bool(fs and ne)).lower()})" for a, (fs, ne, _) in L.CONTRACTS.items()) + ") AS t(agent, critical)")
+def schema_critical(spark, d):
+    return reports.schema_critical(spark)
+
+
+@query("entropy_filter", "WITH w AS (SELECT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_.$%/-]+'))) AS w FROM benchmark), c AS (SELECT item_id, w, count(*) AS n FROM w GROUP BY ALL), p AS (SELECT item_id, n / sum(n) OVER (PARTITION BY item_id) AS p FROM c), e AS (SELECT item_id, abs(round(sum(p * log2(p)), 6)) AS e FROM p GROUP BY item_id) SELECT b.item_id, md5(b.text) AS text_md5, coalesce(e.e, 0.0) AS entropy, CAST(3 AS DOUBLE) AS least_entropy, false AS changed FROM benchmark b LEFT JOIN e ON e.item_id = b.item_id")
+def entropy_filter(spark, d):
+    out = relevance.entropy_filter(table(spark, d, "benchmark"), "text", 3.0)
+    return out.select("item_id", F.md5("text").alias("text_md5"), F.round("entropy", 6).alias("entropy"), "least_entropy", "changed")
+
+
 @query("ab_totals", "SELECT o_orderpriority AS variant, CAST(sum(b) AS BIGINT) AS baseline, CAST(sum(o) AS BIGINT) AS optimized, round(CASE WHEN sum(b) = 0 THEN 0 ELSE (1 - sum(o) / sum(b)) * 100 END, 4) AS reduction_pct FROM (SELECT o_orderpriority, o_orderkey % 977 AS b, o_orderkey % 613 AS o FROM orders) GROUP BY o_orderpriority")
 def ab_totals(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("variant"), (F.col("o_orderkey") % 977).alias("baseline"), (F.col("o_orderkey") % 613).alias("optimized"))
@@ -401,6 +437,11 @@ def rpm_violations(spark, d):
     return r.groupBy("user_id").agg(F.count("*").alias("violations"))
 
 
+@query("fixed_delay", "SELECT conv_id, turn, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 8 AS DOUBLE) AS delay FROM conversations")
+def fixed_delay(spark, d):
+    return pacing.fixed_delay(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn", 8.0)
+
+
 @query("pacer_virtual_sleep")
 def pacer_virtual_sleep(spark, d):
     return pacing.pace(_packed_events(spark, d), "user_id", "ts", "tokens", "event_id")

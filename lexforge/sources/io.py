@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexforge.errors import HttpError
+
 
 def spread(df: DataFrame) -> DataFrame:
     """A scan of fewer splits than the cluster has cores, dealt out to all of them; any other is left as it is.
@@ -36,19 +39,37 @@ def offline_model(system: str, user: str) -> str:
     return '{"final_score": null, "shortlist_decision": "N/A", "evidence_terms": [], "reasons": [], "concerns": [], "interview_plan": []}'
 
 
-def call_model(requests: DataFrame, id_col: str = "request_id", model: Callable[[str, str], str] = offline_model, retries: int = 1) -> DataFrame:
+def call_model(
+    requests: DataFrame,
+    id_col: str = "request_id",
+    model: Callable[[str, str], str] = offline_model,
+    retries: int = 1,
+    plain: Callable[[str, str], str] | None = None,
+    wait: Callable[[float], None] = time.sleep,
+    longest_wait: float = 60.0,
+) -> DataFrame:
     """Answers of a model to (id_col, system, user): (id_col, text, ok, error). model is any callable and may do network calls.
 
-    A call that raises is tried again retries times; then its row says why. Tasks may be rerun, so a model that has
-    effects should be idempotent.
+    A call that raises is tried again retries times; then its row says why. HttpError is handled by its code: after 400
+    plain is asked instead, if there is one (a service that refuses structured output); after 429 the wait it asks for
+    comes first, 2 seconds without one, longest_wait at most; 401, 403 and 404 aren't tried again. Tasks may be rerun,
+    so a model that has effects should be idempotent.
     """
     kind = requests.schema[id_col].dataType.simpleString()
 
     def one(system: str, user: str) -> tuple[str | None, bool, str | None]:
-        error = None
-        for _ in range(retries + 1):
+        error, ask = None, model
+        for attempt in range(retries + 1):
             try:
-                return model(system, user), True, None
+                return ask(system, user), True, None
+            except HttpError as e:
+                error = f"{type(e).__name__}: {e}"
+                if e.code in (401, 403, 404):
+                    break
+                if e.code == 400 and plain is not None:
+                    ask = plain
+                if e.code == 429 and attempt < retries:
+                    wait(min(longest_wait, 2.0 if e.retry_after is None else e.retry_after))
             except Exception as e:  # whatever a model raises becomes a row
                 error = f"{type(e).__name__}: {e}"
         return None, False, error
@@ -61,6 +82,23 @@ def call_model(requests: DataFrame, id_col: str = "request_id", model: Callable[
     return requests.select(id_col, "system", "user").mapInPandas(run, f"{id_col} {kind}, text string, ok boolean, error string")
 
 
+def models(spark: SparkSession, fetch: Callable[[], list[dict]]) -> DataFrame:
+    """Metadata of the models that a service shows: (id, owner). fetch returns its list of records."""
+    return spark.createDataFrame([(m.get("id"), m.get("owned_by")) for m in fetch() if isinstance(m, dict)], "id string, owner string")
+
+
+def health(shown: DataFrame, configured: str, sample: int = 10) -> DataFrame:
+    """One row on a service: (ok, configured_model, model_visible, visible_model_count, sample_models); asks for no tokens."""
+    ids = F.sort_array(F.collect_list("id"))
+    return shown.agg(
+        F.lit(True).alias("ok"),
+        F.lit(configured).alias("configured_model"),
+        (F.count_if(F.col("id") == configured) > 0).alias("model_visible"),
+        F.count("*").alias("visible_model_count"),
+        F.slice(ids, 1, sample).alias("sample_models"),
+    )
+
+
 def flat(df: DataFrame) -> DataFrame:
     """For CSV: arrays joined by a pipe, newlines to spaces, structs and maps as JSON."""
 
@@ -96,3 +134,17 @@ def markdown(df: DataFrame, title: str) -> DataFrame:
     """Rows as Markdown bullets under a title, one text row each; values are escaped by being inline code."""
     bullets = F.concat_ws("\n", *[F.concat(F.lit(f"- {n}: `"), F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")), F.lit("`")) for n in df.columns])
     return df.select(F.concat(F.lit(f"# {title}\n\n"), bullets, F.lit("\n")).alias("value"))
+
+
+def summary(df: DataFrame, title: str, width: int = 90) -> list[str]:
+    """Lines of a console summary of a small result: a ruled title, then a line for each value of each row."""
+    rule, rows = "=" * width, df.collect()
+    lines = [rule, title.upper(), rule]
+    longest = max((len(c) for c in df.columns), default=0)
+    for i, row in enumerate(rows):
+        lines += ["-" * width] * (i > 0) + [f"{c + ':':<{longest + 2}}{'' if v is None else v}" for c, v in zip(df.columns, row, strict=True)]
+    return [*lines, rule]
+
+
+def print_summary(df: DataFrame, title: str) -> None:
+    print("\n".join(summary(df, title)))

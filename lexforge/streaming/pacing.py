@@ -20,6 +20,12 @@ def rolling(events: DataFrame, tenant: str, ts: str, tokens: str, tie: str) -> D
     return e.withColumns({"tokens_60s": F.sum(tokens).over(w).cast("long"), "requests_60s": F.count("*").over(w).cast("long")}).drop("_us")
 
 
+def fixed_delay(events: DataFrame, run: str, order: str, seconds: float, delay: str = "delay") -> DataFrame:
+    """events with delay: seconds after the run's start at which each call goes if every call waits a fixed time after the one before."""
+    w = Window.partitionBy(run).orderBy(order)
+    return events.withColumn(delay, (F.row_number().over(w) - 1) * F.lit(float(seconds)))
+
+
 PACED = "tenant {}, event_id long, sleep double, went double, tokens_60s long, requests_60s long"
 
 

@@ -24,6 +24,53 @@ def test_model_rows(spark):
     assert got == {1: ("HI", True, None), 2: (None, False, "ValueError: no"), 3: ("", True, None)}
 
 
+def test_model_errors_by_code(spark):
+    from lexforge import HttpError
+
+    class Model:
+        """Fails once for each user by the code that its name gives."""
+
+        def __init__(self):
+            self.seen = set()
+
+        def __call__(self, system, user):
+            if user.isdigit() and user not in self.seen:
+                self.seen.add(user)
+                raise HttpError(int(user), "why", 0.0)
+            return "ok " + user
+
+    def plain(system, user):
+        return "plain " + user
+
+    df = spark.createDataFrame([(i, "", u) for i, u in enumerate(("400", "429", "401", "500", "x"))], "request_id int, system string, user string").coalesce(1)
+    got = {r.request_id: (r.text, r.error) for r in io.call_model(df, model=Model(), plain=plain, wait=lambda s: None).collect()}
+    assert got == {0: ("plain 400", None), 1: ("ok 429", None), 2: (None, "HttpError: HTTP 401: why"), 3: ("ok 500", None), 4: ("ok x", None)}
+    shown = io.models(spark, lambda: [{"id": "b", "owned_by": "o"}, {"id": "a"}, "junk"])
+    assert tuple(io.health(shown, "a").first()) == (True, "a", True, 2, ["a", "b"])
+    assert tuple(io.health(shown.limit(0), "a").first()) == (True, "a", False, 0, [])
+
+
+def test_summary_and_command_line(spark, capsys):
+    from lexforge.__main__ import main
+
+    lines = io.summary(spark.createDataFrame([(1, None), (2, "x")], "n int, long_name string"), "totals", 20)
+    assert lines == ["=" * 20, "TOTALS", "=" * 20, "n:         1", "long_name: ", "-" * 20, "n:         2", "long_name: x", "=" * 20]
+    assert main(["--list"]) == 0 and "run_totals" in capsys.readouterr().out
+    assert main(["schema_critical", "/root/testdata/sf0.001", "--rows", "3"]) == 0 and "critical:" in capsys.readouterr().out
+
+
+def test_errors(spark):
+    import pytest
+
+    from lexforge import LexforgeError, RetentionError, require_retention
+
+    df = spark.createDataFrame([(0.9,), (None,)], "retention double")
+    assert require_retention(df.where("retention > 0"), 0.88).count() == 1
+    with pytest.raises(RetentionError, match="1 rows retain less"):
+        require_retention(df, 0.88)
+    assert issubclass(RetentionError, LexforgeError)
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a\nb", ["x", "y"])], "id int, t string, l array<string>")
     io.write_csv(df, str(tmp_path / "csv"))

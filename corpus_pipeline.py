@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; its result is written as
 Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Common to all stages: null ids, languages and sources are values like any other; repeated rows are rows of their own
+unless a stage says otherwise; further columns, whatever their names, pass through untouched; an empty table gives an
+empty one; very long texts are worked on whole, in spans of bounded memory.
 """
 
 from __future__ import annotations
@@ -14,12 +18,19 @@ from lexforge.llm.common import WORD, broadcast_if_small, materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of no learned language go (no letters, or noise in all of them)."""
+    """Documents of no learned language go: null, empty or letterless texts, and noise in all of them.
+
+    The model learns from these documents' labels; without any label nothing is learned and all documents go. Ties
+    between languages change nothing here.
+    """
     return langid.keep_known_languages(docs, langid.train(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of each source go; every document stays with the lines left."""
+    """Boilerplate lines of each source go; every document stays with the lines left, an empty text if none are.
+
+    A null text stays null; n_chars is set anew where a text changed. A line exactly at the ratio stays.
+    """
     return linededup.drop_boilerplate(docs).select(*docs.columns)
 
 
@@ -53,12 +64,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; a similarity exactly at the threshold counts as held.
+
+    Documents without text stay. Items without text match nothing, and an empty benchmark removes nothing.
+    """
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words that a mix of the sources takes of each document left."""
+    """Words that a mix of the sources takes of each document left: doc_id, source, size, source_size, target, taken.
+
+    A null or empty text has size 0 and gives nothing; repeated rows keep a row each.
+    """
     return mixing.mix(docs)
 
 

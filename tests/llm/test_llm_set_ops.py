@@ -465,6 +465,30 @@ def test_pipeline_stages(spark):
     assert set(final.doc_id) == {d for d, *_ in kept} and (final.taken <= 2 * final["size"]).all()
 
 
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_rows(spark, name, stage):
+    """Nulls everywhere, empty and very long texts, repeated rows, columns whose names clash; and an empty table."""
+    english = "the quick brown fox jumps over the lazy dog while the old man reads his paper by the river "
+    long = " ".join(f"word{i}" for i in range(90_000))
+    rows = [(i, f"{english}{i} and more number {i * 7}", "src") for i in range(30)]
+    rows += [(100, None, None), (101, "", "src"), (102, " \n\t", None), (103, long, "src"), (104, english * 2, None), (104, english * 2, None), (None, "a null id has a text of its own, in plain words that say little", "src"), (None, None, None)]
+    df = spark.createDataFrame([(i, t, "en" if i is None or i % 2 else None, s, len(t) if t else None, 1, 2, "t", "x") for i, t, s in rows], SCHEMA + ", size string").withColumnRenamed("size", "taken")
+    out = stage(spark, df, SF).collect()
+    got = Counter((r.doc_id, r.text) if name != "source_mixing" else r.doc_id for r in out)
+    every = Counter((i, t) for i, t, _ in rows)
+    if name == "source_mixing":
+        assert got == Counter(i for i, *_ in rows) and all(0 <= r.taken <= 2 * r["size"] for r in out)
+    elif name == "language_id":
+        assert got == Counter({k: n for k, n in every.items() if k[1] and k[1].strip()})
+    elif name == "near_duplicates":
+        assert got[(104, english * 2)] == 1 and all(got[k] == n for k, n in every.items() if not (k[1] or "").strip()) and set(got) <= set(every)
+    else:
+        assert got == every  # nothing here is boilerplate or a benchmark item
+    if name != "source_mixing":
+        assert all(r.cls == 1 and r.token == "t" and r.taken == "x" for r in out)
+    assert stage(spark, df.limit(0), SF).count() == 0
+
+
 def test_near_duplicates_stage_keeps_one_of_equal_rows(spark):
     rows = [(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (2, "a b c d e f", "s"), (3, "", "s"), (3, "", "s"), (4, None, "s")]
     out = corpus_pipeline.near_duplicates(spark, frame(spark, rows), SF)

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.functions.similarity import bind
+
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 
 
@@ -40,7 +42,8 @@ def unescape(c: Column) -> Column:
             x = _swap(x, old, new)
         return x
 
-    return F.array_join(F.transform(F.split(c, r"\\\\", -1), part), "\\")
+    # most texts hold no backslash, and so no escape
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(F.split(c, r"\\\\", -1), part), "\\")).otherwise(c)
 
 
 def render(role: Column, text: Column) -> Column:
@@ -52,12 +55,18 @@ def parse(rendered: Column) -> Column:
     parts = F.split(rendered, "</turn>\n", -1)
     parts = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
 
+    # each step is bound, so that it is worked out once a turn however often the next one names it
     def turn(part: Column) -> Column:
         body = F.substring(part, F.lit(len(OPEN) + 1), F.length(part))
-        body = F.when(part.startswith(OPEN) & ~body.contains("###") & ~body.contains("</turn>"), body)
-        cut = F.instr(body, MIDDLE)
-        raw = F.when(cut > 0, F.substring(body, cut + len(MIDDLE), F.length(body)))
-        return F.struct(unescape(F.when(cut > 0, F.substring(body, F.lit(1), cut - 1))).alias("role"), unescape(raw).alias("text"), F.length(raw).alias("size"))
+        return bind(F.when(part.startswith(OPEN), body), whole)
+
+    def whole(body: Column) -> Column:
+        cut = F.when(~F.contains(body, F.lit("###")) & ~F.contains(body, F.lit("</turn>")), F.instr(body, MIDDLE))
+        return bind(F.struct(body.alias("body"), F.when(cut > 0, cut).alias("cut")), split)
+
+    def split(x: Column) -> Column:
+        role, raw = F.substring(x.body, F.lit(1), x.cut - 1), F.substring(x.body, x.cut + len(MIDDLE), F.length(x.body))
+        return bind(raw, lambda r: F.struct(unescape(role).alias("role"), unescape(r).alias("text"), F.length(r).alias("size")))
 
     return F.transform(parts, turn)
 
@@ -92,7 +101,8 @@ def format_chats(chats: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     plain = lambda c: F.transform(c, lambda x: F.struct(x.role.alias("role"), x.text.alias("text")))
     first = whole.select("id", "t", source.alias("source"), F.array_join(each("out"), "").alias("formatted"))
     first = first.withColumn("turns", parse(F.col("formatted")))
-    good = plain(F.col("turns")) == F.col("source")
+    first = first.withColumn("good", plain(F.col("turns")) == F.col("source"))
+    good = F.col("good")
     final = first.select(
         "id",
         "source",

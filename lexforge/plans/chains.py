@@ -224,7 +224,7 @@ def agent_outputs(spark, d) -> DataFrame:
     ]
     body = F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}"))
     raw = F.when(i % 11 == 3, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(i % 13 == 5, F.lit("- no\n- json here")).when(i % 17 == 4, F.replace(body, F.lit('"'), F.lit("'"))).otherwise(body)
-    return table(spark, d, "events").select("event_id", F.lit("RecruiterDecisionAgent").alias("agent"), raw.alias("raw_output"))
+    return spread(table(spark, d, "events").select("event_id", "props")).select("event_id", F.lit("RecruiterDecisionAgent").alias("agent"), raw.alias("raw_output"))
 
 
 _GOV_SQL = """WITH e AS (SELECT event_id, event_id % 5 AS s, event_id % 11 = 3 AS fence, event_id % 13 = 5 AND event_id % 11 <> 3 AS prose, event_id % 7 = 0 AS gap, event_id % 101 AS p FROM events),

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 
 from lexforge.functions import kernels as K
 from lexforge.functions import lexicons as L
+from lexforge.sources.io import dealt
 
 PROTECTED = "\n\n[SCHEMA_CRITICAL_PROTECTED_INSTRUCTIONS]\n"
 CONTEXT = "\n\n[OPTIMIZED_CONTEXT]\n"
@@ -200,4 +201,4 @@ def optimize_requests(requests: DataFrame, id_col: str = "request_id", policy: P
                 rows.append({id_col: r[id_col], **optimize(r["prompt"], chunks, r.get("query"), replace(policy, **own))})
             yield pd.DataFrame(rows, columns=[id_col, *(c.split()[0] for c in RESULT.split(", "))])
 
-    return requests.mapInPandas(run, f"{id_col} {kind}, {RESULT}")
+    return dealt(requests, id_col).mapInPandas(run, f"{id_col} {kind}, {RESULT}")

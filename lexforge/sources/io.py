@@ -21,6 +21,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows of much work each, dealt out by key to as many partitions as there are cores or shuffle partitions.
+
+    A fixed number, so that rows that are few and small but dear don't end up in one task.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64(key))
+
+
 def chunks(df: DataFrame, id_col: str, array_col: str) -> DataFrame:
     """Context arrays as rows (id_col, idx, text)."""
     return df.select(id_col, F.posexplode(array_col).alias("idx", "text"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import chat, decontam, htmltext, jaccard, langid, linededup, mixing, quality, tokens, urls
+from lexforge.llm import chat, decontam, exactdedup, htmltext, itemsets, jaccard, langid, linededup, mixing, quality, repair, tokens, urls
 from lexforge.sources.io import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,72 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_html_text")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(_table(spark, sf_dir, "pages"))
+
+
+_OP11 = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(k) + 1), lambda i: [ascii(substr(k, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+         lambda a, o: CASE WHEN o >= 0 THEN xor(a, o) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 20 AS h FROM c),
+m AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE h <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS i FROM m),
+f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault,
+         left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS r0 FROM o),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (i > 1 AND r0 || r NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+ins(q, q1, k, said) AS (VALUES (0, 0, 0, []), (1, 1, 0, []), (2, 2, 0, []), (3, 3, 0, []), (0, 2, 1, ['user:']), (1, 2, 1, ['user:']), (3, 2, 1, ['user:']), (2, 3, 1, ['assistant:']),
+                        (0, 3, 2, ['user:', 'assistant:']), (1, 3, 2, ['user:', 'assistant:'])),
+ed(letter, q1, r, q2, c, said) AS (
+  VALUES ('D', 0, NULL, 0, 2, NULL), ('D', 1, NULL, 1, 2, NULL), ('D', 2, NULL, 2, 2, NULL), ('D', 3, NULL, 3, 2, NULL),
+         ('K', 0, 's', 1, 0, NULL), ('K', 0, 'u', 2, 0, NULL), ('K', 1, 'u', 2, 0, NULL), ('K', 3, 'u', 2, 0, NULL), ('K', 2, 'a', 3, 0, NULL),
+         ('R', 0, NULL, 2, 1, 'user'), ('R', 1, NULL, 2, 1, 'user'), ('R', 3, NULL, 2, 1, 'user'), ('R', 2, NULL, 3, 1, 'assistant')),
+w AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS said FROM facts
+  UNION ALL
+  SELECT w.conv_id, f.i, ed.q2, (w.cost + 5 * ins.k + ed.c + CASE WHEN ed.letter <> 'D' AND f.fault = 3 THEN 5 ELSE 0 END)::BIGINT AS cost,
+         w.audit || repeat('I', ins.k) || ed.letter AS audit,
+         list_concat(w.said, ins.said, CASE ed.letter WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [ed.said || ':' || f.text] END)
+  FROM w JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = w.i + 1 JOIN ins ON ins.q = w.q JOIN ed ON ed.q1 = ins.q1
+  WHERE ed.letter = 'D' OR (f.fault IN (0, 3) AND (ed.r IS NULL OR ed.r = f.r))
+  QUALIFY row_number() OVER (PARTITION BY w.conv_id, ed.q2 ORDER BY w.cost + 5 * ins.k + ed.c + CASE WHEN ed.letter <> 'D' AND f.fault = 3 THEN 5 ELSE 0 END, w.audit || repeat('I', ins.k) || ed.letter) = 1),
+best AS (
+  SELECT w.conv_id, w.cost + 5 * ins.k AS cost, w.audit || repeat('I', ins.k) AS audit, list_concat(w.said, ins.said) AS said
+  FROM w JOIN facts ON w.conv_id IS NOT DISTINCT FROM facts.conv_id AND w.i = facts.n JOIN ins ON ins.q = w.q WHERE ins.q1 IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + 5 * ins.k, w.audit || repeat('I', ins.k)) = 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN facts ON a.conv_id IS NOT DISTINCT FROM facts.conv_id LEFT JOIN best ON a.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults by crc32 of conv_id:turn modulo 20: 0 drops a row, 1 empties its text, 2 removes [.!?], 3 repeats it, 4 makes it a user's."""
+    one_space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    h = F.crc32(F.concat(one_space("conv_id"), F.lit(":"), one_space("turn"))) % 20
+    r = rows.select("conv_id", "turn", one_space("role").alias("role"), one_space("text").alias("text"), h.alias("h")).where("h <> 0")
+    text = F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    r = r.select("conv_id", "turn", F.when(F.col("h") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(F.when(F.col("h") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"))
+    return r.drop("copy")
+
+
+@_query("op11_structure_repair", _OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return repair.repair(damaged(rows), rows)
+
+
+@_query("op12_frequent_itemsets", itemsets.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/sale_lines.parquet").where("flag is null or flag <> 'returned'")
+    return itemsets.itemset_table(lines, "sale_id", "item_id")
+
+
+@_query("op13_exact_dedup", exactdedup.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_duplicates(_table(spark, sf_dir, "documents"))

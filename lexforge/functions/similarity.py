@@ -29,16 +29,18 @@ def square_sum(c: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of the token counts of two arrays; 0 where one is empty. Integer sums, so no order of addition matters.
+    """Cosine of the token counts of two arrays; 0 where one is empty. Integer sums, so no order of addition matters."""
+    return counted_cosine(counts(a), counts(b))
 
-    The two sorted lists of counts are merged, where a shared token's counts stand side by side.
-    """
+
+def counted_cosine(a: Column, b: Column) -> Column:
+    """cosine() of two results of counts(): the sorted lists are merged, where a shared token's counts stand side by side."""
 
     def of(p: Column) -> Column:
         dot = bind(F.sort_array(F.concat(p.a, p.b)), lambda m: F.aggregate(F.transform(m, lambda x, i: F.when(F.get(m, i + 1)["t"] == x.t, x.n * F.get(m, i + 1)["n"]).otherwise(0)), F.lit(0).cast("long"), lambda s, x: s + x))
         return F.when((F.size(p.a) == 0) | (F.size(p.b) == 0), F.lit(0.0)).otherwise(dot / F.sqrt((square_sum(p.a) * square_sum(p.b)).cast("double")))
 
-    return bind(F.struct(counts(a).alias("a"), counts(b).alias("b")), of)
+    return bind(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:

@@ -143,9 +143,13 @@ def all_words(c: Column) -> Column:
     return F.transform(find_all(F.coalesce(c, F.lit("")), WORD), F.lower)
 
 
+#: a whole word that is no stop word: one pattern, where a filter would look at each word in a lambda
+CONTENT_WORD = r"(?<![A-Za-z0-9_.$%/-])(?!(?i:" + "|".join(STOPWORDS) + r")(?![A-Za-z0-9_.$%/-]))" + WORD
+
+
 def words(c: Column) -> Column:
     """Lower-case words without stop words."""
-    return F.filter(all_words(c), lambda x: ~x.isin(*STOPWORDS))
+    return F.transform(find_all(F.coalesce(c, F.lit("")), CONTENT_WORD), F.lower)
 
 
 def keyword_set(c: Column) -> Column:
@@ -217,8 +221,11 @@ def constraint_atoms(c: Column) -> Column:
         return F.filter(F.transform(x.toks, lambda t, i: F.when(trigger(t, i), atom(x.toks, x.long, i))), lambda a: a.isNotNull())
 
     def first_of_equals(found: Column) -> Column:
-        keys = F.transform(found, lambda a: F.concat_ws("\x1f", a.group, F.concat_ws(" ", F.slice(a.terms, 1, 6)), F.concat_ws(" ", a.numbers)))
-        return bind(keys, lambda k: F.filter(F.transform(found, lambda a, i: F.when(F.array_position(k, F.get(k, i)) == i + 1, a)), lambda a: a.isNotNull()))
+        key = lambda a: F.concat_ws("\x1f", a.group, F.concat_ws(" ", F.slice(a.terms, 1, 6)), F.concat_ws(" ", a.numbers))
+        keyed = F.sort_array(F.transform(found, lambda a, i: F.struct(key(a).alias("k"), i.alias("i"))))
+        # sorted, equal atoms are neighbours and the first of them leads
+        firsts = bind(keyed, lambda s: F.filter(F.transform(s, lambda x, j: F.when((j == 0) | (F.get(s, j - 1)["k"] != x.k), x.i)), lambda i: i.isNotNull()))
+        return F.transform(F.sort_array(firsts), lambda i: F.get(found, i))
 
     toks = bind(all_words(c), lambda t: F.struct(t.alias("toks"), F.array_distinct(F.filter(t, lambda x: (F.length(x) >= 5) & ~x.isin(*STOPWORDS))).alias("long")))
     return bind(bind(toks, atoms), first_of_equals)

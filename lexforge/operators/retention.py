@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import lexicons as L
 from lexforge.functions import text as T
-from lexforge.functions.similarity import bind, clamp, cosine, counts, square_sum
+from lexforge.functions.similarity import bind, clamp, cosine, counted_cosine, counts, square_sum
 
 
 def _share(required: Column, found) -> Column:
@@ -18,69 +18,105 @@ def digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9.]", "")
 
 
-def numeric(original: Column, optimized: Column) -> Column:
-    """Share of the original's numbers that occur, or whose digits occur among the digits of the optimized text."""
+# -- measures over a struct of what they need ---------------------------------------------------------------------
 
-    def of(x: Column) -> Column:
-        found = lambda n: F.contains(x.text, n) | ((digits(n) != "") & F.contains(x.digits, digits(n)))
-        return _share(x.numbers, found)
 
-    return bind(F.struct(T.numbers(original).alias("numbers"), optimized.alias("text"), digits(optimized).alias("digits")), of)
+def _numeric(x: Column) -> Column:
+    return _share(x.numbers, lambda n: F.contains(x.text, n) | ((digits(n) != "") & F.contains(x.digits, digits(n))))
 
 
-def keyword(original: Column, optimized: Column) -> Column:
-    required = F.struct(T.keywords(original).alias("k"), T.all_words(optimized).alias("w"))
-    return bind(required, lambda x: F.when(F.size(x.k) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x.k, x.w)) / F.size(x.k)))
+def _keyword(x: Column) -> Column:
+    return F.when(F.size(x.keywords) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x.keywords, x.words)) / F.size(x.keywords))
 
 
-def entity(original: Column, optimized: Column, least: float = 0.5) -> Column:
-    """Share of the original's entities and codes that occur, or whose words have that cosine with the optimized text."""
+def _entity(x: Column, least: float = 0.5) -> Column:
+    def near(phrase: Column) -> Column:
+        dot = lambda o: F.aggregate(o, F.lit(0).cast("long"), lambda s, e: s + e.n * F.coalesce(F.try_element_at(x.have, e.t), F.lit(0).cast("long")))
+        return bind(counts(T.words(phrase)), lambda o: F.when((F.size(o) == 0) | (x.norm == 0), F.lit(0.0)).otherwise(dot(o) / F.sqrt((square_sum(o) * x.norm).cast("double"))))
+
+    return _share(x.entities, lambda p: F.when(F.contains(x.low, F.lower(p)), F.lit(True)).otherwise(near(p) >= least))
+
+
+# -- fixed values: what an atom's score is made of ---------------------------------------------------------------
+GROUP_ENOUGH, TERMS_ENOUGH, BY_TERMS, BY_GROUP, BY_LITTLE = 0.25, 0.65, 0.85, 0.55, 0.45
+
+
+def _constraint(x: Column) -> Column:
+    weights = F.create_map(*[F.lit(x) for kv in L.ATOM_WEIGHTS.items() for x in kv])
+    cues = F.create_map(*[x for g, words in L.GROUP_SYNONYMS.items() for x in (F.lit(g), T.words_in(words))])
+
+    def score(a: Column) -> Column:
+        terms = F.filter(a.terms, lambda t: F.length(t) >= 3)
+        aims = F.size(terms) + F.size(a.numbers)
+        hits = F.size(F.filter(terms, lambda t: F.contains(x.low, t))) + F.size(F.filter(a.numbers, lambda n: F.contains(x.low, F.lower(n)) | F.contains(x.digits, digits(n))))
+        met = F.when(aims > 0, hits / aims).otherwise(1.0)
+        group = F.exists(F.coalesce(F.try_element_at(cues, a.group), F.array().cast("array<string>")), lambda w: F.contains(x.low, w))
+        return bind(F.struct(met.alias("met"), group.alias("group")), lambda s: F.when(s.group & (s.met >= GROUP_ENOUGH), 1.0).when(s.met >= TERMS_ENOUGH, BY_TERMS).when(s.group, BY_GROUP).otherwise(F.least(F.lit(BY_LITTLE), s.met)))
+
+    weight = lambda a: F.coalesce(F.try_element_at(weights, a.group), F.lit(1.0))
+    total = lambda f: F.aggregate(x.atoms, F.lit(0.0), lambda s, a: s + f(a))
+    return F.when(F.size(x.atoms) == 0, F.lit(1.0)).otherwise(total(lambda a: weight(a) * score(a)) / total(weight))
+
+
+def _bag(c: Column) -> list[Column]:
+    """Fields have and norm of counts()."""
+    return [F.map_from_arrays(F.transform(c, lambda e: e.t), F.transform(c, lambda e: e.n)).alias("have"), square_sum(c).alias("norm")]
+
+
+# -- one measure of two texts ----------------------------------------------------------------------------------------
+
+
+def numeric(original: Column, optimized: Column) -> Column:
+    """Share of the original's numbers that occur, or whose digits occur among the digits of the optimized text."""
+    return bind(F.struct(T.numbers(original).alias("numbers"), optimized.alias("text"), digits(optimized).alias("digits")), _numeric)
+
 
-    def of(x: Column) -> Column:
-        def near(phrase: Column) -> Column:
-            own = counts(T.words(phrase))
-            dot = lambda o: F.aggregate(o, F.lit(0).cast("long"), lambda s, e: s + e.n * F.coalesce(F.try_element_at(x.have, e.t), F.lit(0).cast("long")))
-            return bind(own, lambda o: F.when((F.size(o) == 0) | (x.norm == 0), F.lit(0.0)).otherwise(dot(o) / F.sqrt((square_sum(o) * x.norm).cast("double"))))
+def keyword(original: Column, optimized: Column) -> Column:
+    return bind(F.struct(T.keywords(original).alias("keywords"), T.all_words(optimized).alias("words")), _keyword)
 
-        return _share(x.required, lambda p: F.when(F.contains(x.low, F.lower(p)), F.lit(True)).otherwise(near(p) >= least))
 
-    have = lambda c: F.struct(F.map_from_arrays(F.transform(c, lambda e: e.t), F.transform(c, lambda e: e.n)).alias("have"), square_sum(c).alias("norm"))
-    both = bind(counts(T.words(optimized)), have)
+def entity(original: Column, optimized: Column, least: float = 0.5) -> Column:
+    """Share of the original's entities and codes that occur, or whose words have that cosine with the optimized text."""
     required = F.array_union(T.entities(original), T.codes(original))
-    return bind(bind(both, lambda h: F.struct(required.alias("required"), F.lower(optimized).alias("low"), h.have.alias("have"), h.norm.alias("norm"))), of)
+    both = bind(counts(T.words(optimized)), lambda c: F.struct(required.alias("entities"), F.lower(optimized).alias("low"), *_bag(c)))
+    return bind(both, lambda x: _entity(x, least))
 
 
 def semantic(original: Column, optimized: Column) -> Column:
     return cosine(T.words(original), T.words(optimized))
 
 
-# -- fixed values: what an atom's score is made of ---------------------------------------------------------------
-GROUP_ENOUGH, TERMS_ENOUGH, BY_TERMS, BY_GROUP, BY_LITTLE = 0.25, 0.65, 0.85, 0.55, 0.45
-
-
 def constraint(original: Column, optimized: Column) -> Column:
     """Weighted mean of how well the original's constraint atoms are met: by their terms and numbers, and by words of their group."""
-    weights = F.create_map(*[F.lit(x) for kv in L.ATOM_WEIGHTS.items() for x in kv])
-    cues = F.create_map(*[x for g, words in L.GROUP_SYNONYMS.items() for x in (F.lit(g), T.words_in(words))])
+    low = F.lower(optimized)
+    return bind(F.struct(T.constraint_atoms(original).alias("atoms"), low.alias("low"), digits(low).alias("digits")), _constraint)
 
-    def of(x: Column) -> Column:
-        def score(a: Column) -> Column:
-            terms = F.filter(a.terms, lambda t: F.length(t) >= 3)
-            aims = F.size(terms) + F.size(a.numbers)
-            hits = F.size(F.filter(terms, lambda t: F.contains(x.low, t))) + F.size(F.filter(a.numbers, lambda n: F.contains(x.low, F.lower(n)) | F.contains(x.digits, digits(n))))
-            met = F.when(aims > 0, hits / aims).otherwise(1.0)
-            group = F.exists(F.coalesce(F.try_element_at(cues, a.group), F.array().cast("array<string>")), lambda w: F.contains(x.low, w))
-            return bind(F.struct(met.alias("met"), group.alias("group")), lambda s: F.when(s.group & (s.met >= GROUP_ENOUGH), 1.0).when(s.met >= TERMS_ENOUGH, BY_TERMS).when(s.group, BY_GROUP).otherwise(F.least(F.lit(BY_LITTLE), s.met)))
 
-        weight = lambda a: F.coalesce(F.try_element_at(weights, a.group), F.lit(1.0))
-        total = lambda f: F.aggregate(x.atoms, F.lit(0.0), lambda s, a: s + f(a))
-        return F.when(F.size(x.atoms) == 0, F.lit(1.0)).otherwise(total(lambda a: weight(a) * score(a)) / total(weight))
+# -- all measures of one text against facts kept from another ------------------------------------------------------------
 
-    low = F.lower(optimized)
-    return bind(F.struct(T.constraint_atoms(original).alias("atoms"), low.alias("low"), digits(low).alias("digits")), of)
+MEASURES = ("retention", "entity", "numeric", "constraint", "semantic", "keyword")
 
 
-MEASURES = ("retention", "entity", "numeric", "constraint", "semantic", "keyword")
+def facts(original: Column) -> Column:
+    """What all measures need of an original: struct (entities, numbers, keywords, atoms, counts)."""
+    required = F.array_union(T.entities(original), T.codes(original))
+    return F.struct(required.alias("entities"), T.numbers(original).alias("numbers"), T.keywords(original).alias("keywords"), T.constraint_atoms(original).alias("atoms"), counts(T.words(original)).alias("counts"))
+
+
+def measures(of: Column, text: Column) -> Column:
+    """Struct MEASURES of a text against facts() of its original; they are worked out once, however many texts are tried."""
+
+    def all_of(x: Column) -> Column:
+        one = {"entity": _entity(x), "numeric": _numeric(x), "constraint": _constraint(x), "semantic": counted_cosine(x.counts, x.own), "keyword": _keyword(x)}
+        return bind(F.struct(*[clamp(c).alias(k) for k, c in one.items()]), whole)
+
+    def whole(m: Column) -> Column:
+        total = sum((F.lit(w) * m[k] for k, w in L.RETENTION_WEIGHTS.items()), F.lit(0.0))
+        return F.struct(F.least(F.lit(1.0), total).alias("retention"), *[m[k].alias(k) for k in MEASURES[1:]])
+
+    fixed = [of[k].alias(k) for k in ("entities", "numbers", "keywords", "atoms", "counts")]
+    seen = lambda t, c: F.struct(*fixed, t.alias("text"), F.lower(t).alias("low"), digits(t).alias("digits"), T.all_words(t).alias("words"), c.alias("own"), *_bag(c))
+    return bind(text, lambda t: bind(bind(counts(T.words(t)), lambda c: seen(t, c)), all_of))
 
 
 def scores(df: DataFrame, id_col: str, original: str, optimized: str) -> DataFrame:
@@ -89,7 +125,5 @@ def scores(df: DataFrame, id_col: str, original: str, optimized: str) -> DataFra
     Columns alone; a null text counts as empty, and null or repeated ids keep a row each.
     """
     a, b = F.coalesce(F.col(original), F.lit("")), F.coalesce(F.col(optimized), F.lit(""))
-    measures = {"entity": entity, "numeric": numeric, "constraint": constraint, "semantic": semantic, "keyword": keyword}
-    out = df.select(F.col(id_col), *[clamp(f(a, b)).alias(k) for k, f in measures.items()])
-    total = sum((F.lit(w) * F.col(k) for k, w in L.RETENTION_WEIGHTS.items()), F.lit(0.0))
-    return out.withColumn("retention", F.least(F.lit(1.0), total)).select(id_col, *MEASURES)
+    out = df.select(F.col(id_col).alias("id"), facts(a).alias("f"), b.alias("b")).select("id", measures(F.col("f"), F.col("b")).alias("m"))
+    return out.select(F.col("id").alias(id_col), *[F.col(f"m.{k}").alias(k) for k in MEASURES])

@@ -12,6 +12,7 @@ from lexforge.functions import similarity as S
 from lexforge.functions import text as T
 from lexforge.operators import cost, dedup, evidence, relevance, retention
 from lexforge.sources.io import spread
+from lexforge.sources.shared import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -372,7 +373,7 @@ SELECT conv_id, turn, CAST(top + 1 - len(gone) AS BIGINT) AS kept, CAST(len(gone
 
 @query("sentence_dedup", _DEDUP)
 def sentence_dedup(spark, d):
-    c = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("k"), F.concat("text", F.lit("\n"), "text").alias("text"))
+    c = spread(table(spark, d, "conversations")).select(F.struct("conv_id", "turn").alias("k"), F.concat("text", F.lit("\n"), "text").alias("text"))
     u = dedup.units(c, "k", T.sentences(F.col("text")))
     out = dedup.keep_first(u, dedup.cosine_edges(u, 0.90))
     return out.groupBy("g").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("removed")).select("g.conv_id", "g.turn", "kept", "removed")
@@ -380,7 +381,7 @@ def sentence_dedup(spark, d):
 
 @query("polarity_dedup")
 def polarity_dedup(spark, d):
-    c = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("k"), F.concat("text", F.lit("\n"), "text").alias("text"))
+    c = spread(table(spark, d, "conversations")).select(F.struct("conv_id", "turn").alias("k"), F.concat("text", F.lit("\n"), "text").alias("text"))
     u = dedup.units(c, "k", T.line_chunks(F.col("text")))
     out = dedup.keep_first(u, dedup.lexical_edges(u, 0.88))
     return out.groupBy("g").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("removed")).select("g.conv_id", "g.turn", "kept", "removed")
@@ -390,7 +391,7 @@ def polarity_dedup(spark, d):
 def diversity_select(spark, d):
     """Relevant documents of each benchmark item in order of similarity, near-copies of better ones left out."""
     sim = relevance.top_k(_similar(spark, d).withColumn("similarity", F.round("similarity", 9)), "item_id", "similarity", "doc_id", 20)
-    u = sim.join(docs(spark, d).select("doc_id", "text"), "doc_id").select(F.col("item_id").alias("g"), (F.col("rank") - 1).alias("pos"), F.col("text").alias("unit"), "doc_id")
+    u = settle(sim.join(docs(spark, d).select("doc_id", "text"), "doc_id").select(F.col("item_id").alias("g"), (F.col("rank") - 1).alias("pos"), F.col("text").alias("unit"), "doc_id"))
     out = dedup.keep_first(u.select("g", "pos", "unit"), dedup.cosine_edges(u, 0.90))
     return out.join(u.select("g", "pos", "doc_id"), ["g", "pos"]).select(F.col("g").alias("item_id"), "doc_id", "pos", "kept")
 

@@ -1,23 +1,27 @@
 """The request optimizer: filler and duplicates out, chunks chosen within a token budget, retention guarded.
 
-One row is one request (prompt, query, chunks, budget, policy). Its steps depend on each other and its size is a
-prompt's, so a request is a row-local plan inside an Arrow map, and requests spread over the cluster.
+A plan over tables of requests, sentences and chunks. Near-copies are found by the prefix-filtered join inside a request; what depends on
+its own earlier choices (knapsack, budget trim, rescue) is a fold over a request's few items, in the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-from lexforge.functions import kernels as K
-from lexforge.functions import lexicons as L
+from lexforge.functions import text as T
+from lexforge.functions.similarity import bind, counted_cosine, counts
+from lexforge.operators import cost, dedup, retention, selection
 from lexforge.sources.io import dealt
+from lexforge.sources.shared import settle
 
 PROTECTED = "\n\n[SCHEMA_CRITICAL_PROTECTED_INSTRUCTIONS]\n"
 CONTEXT = "\n\n[OPTIMIZED_CONTEXT]\n"
+#: what a rescued text has to add to the retention
+GAIN = 0.002
 
 
 @dataclass(frozen=True)
@@ -38,144 +42,108 @@ class Policy:
     protected: Sequence[str] = field(default=())
     critical_terms: Sequence[str] = field(default=())
 
-    def resolved(self) -> Policy:
-        mode = (self.mode or "balanced").lower().strip()
-        least, dup, rel = (own if own is not None else default for own, default in zip((self.min_retention, self.duplicate, self.relevance), L.MODES.get(mode, L.MODES["balanced"]), strict=True))
+    def thresholds(self, mode: Column) -> Column:
+        """Struct (mode, min_retention, duplicate, relevance) of a request's mode; own values go before the mode's, and a strict schema tightens either."""
+        m = F.lower(F.trim(mode))
+        plain = cost.resolved_mode(mode, F.lit(False))
+        own = lambda value, name: F.lit(float(value)) if value is not None else plain[name]
+        least, dup, rel = own(self.min_retention, "min_retention"), own(self.duplicate, "duplicate"), own(self.relevance, "relevance")
         if self.schema_strict:
-            if mode == "aggressive":
-                mode, dup, rel = "balanced", max(dup, 0.90), min(rel, 0.15)
-            least = max(least, 0.88)
+            bold = m == "aggressive"
+            dup, rel = F.when(bold, F.greatest(dup, F.lit(0.90))).otherwise(dup), F.when(bold, F.least(rel, F.lit(0.15))).otherwise(rel)
+            least, m = F.greatest(least, F.lit(0.88)), F.when(bold, "balanced").otherwise(m)
         # a threshold of zero counts as not given
-        return Policy(mode, self.max_input_tokens, least or 0.90, dup or 0.90, rel or 0.15, self.schema_strict, self.normalize, self.deduplicate, self.knapsack, self.rollback, self.expected_output, self.protected, self.critical_terms)
+        given = lambda c, default: F.when(c == 0, default).otherwise(c)
+        return F.struct(m.alias("mode"), given(least, 0.90).alias("min_retention"), given(dup, 0.90).alias("duplicate"), given(rel, 0.15).alias("relevance"))
+
+
+# -- prompts -----------------------------------------------------------------------------------------------------
 
 
 def _block(texts: Sequence[str]) -> str:
     return PROTECTED + "\n\n".join(texts) if texts else ""
 
 
-def with_protected(prompt: str, texts: Sequence[str]) -> str:
-    block = _block(texts)
-    return prompt if not block or block.strip() in prompt else prompt.rstrip() + block
-
-
-def with_context(prompt: str, chunks: Sequence[str]) -> str:
-    return prompt.strip() + CONTEXT + "\n\n".join(c.strip() for c in chunks if c and c.strip()) if chunks else prompt.strip()
-
-
-def dollars(tokens_in: int, tokens_out: int) -> float:
-    return tokens_in / 1e6 * L.INPUT_PRICE + tokens_out / 1e6 * L.OUTPUT_PRICE
-
-
-def costs(before: int, after: int, out: int) -> dict[str, float]:
-    a, b = dollars(before, out), dollars(after, out)
-    saved, fewer = max(0.0, a - b), max(0, before - after)
-    return {"cost_before": a, "cost_after": b, "savings": saved, "cost_reduction": saved / a if a > 0 else 0.0, "tokens_saved": fewer, "reduction_pct": fewer / before * 100 if before else 0.0}
-
-
-def risk(policy: Policy, r: dict[str, float], reduction: float, status: str) -> str:
-    if status == "rolled_back":
-        return "ROLLED_BACK"
-    if policy.schema_strict and (r["retention"] < 0.90 or reduction > 28):
-        return "HIGH"
-    for label, least, most in (("LOW", (0.94, 0.88, 0.98, 0.90), 30), ("MEDIUM", (0.88, 0.72, 0.92, 0.80), float("inf"))):
-        if all(r[k] >= x for k, x in zip(("retention", "constraint", "numeric", "entity"), least, strict=True)) and reduction <= most:
-            return label
-    return "HIGH"
-
-
-def optimize(prompt: str, chunks: Sequence[str], query: str | None, policy: Policy) -> dict:
-    """Run one request; the result has the prompts, the chosen and removed texts and all metrics."""
-    p = policy.resolved()
-    prompt, chunks = prompt or "", list(chunks or [])
-    guard = list(dict.fromkeys(t.strip() for t in p.protected if t and t.strip()))
-    terms = list(dict.fromkeys(str(t).strip().lower() for t in p.critical_terms if t and str(t).strip()))
-    whole = with_context(with_protected(prompt, guard), chunks)
-    before = K.token_count(whole)
-
-    work = with_protected(prompt, guard)
-    if p.normalize:
-        work = with_protected(K.drop_filler(work)[0], guard)
-    if p.deduplicate:
-        parts = K.split_sentences(work)
-        work = with_protected("\n".join(parts[i] for i in K.keep_first(parts, p.duplicate)[0]), guard)
-
-    chosen, removed = _choose(chunks, query or prompt, work, p) if chunks else ([], [])
-    best = with_context(work, chosen)
-    if K.token_count(best) > p.max_input_tokens:
-        kept = []
-        for s in K.split_sentences(work.replace(_block(guard), "") if guard else work):
-            longer = with_context(with_protected("\n".join([*kept, s]), guard), chosen)
-            (kept if K.token_count(longer) <= p.max_input_tokens else removed).append(s)
-        work = with_protected("\n".join(kept), guard)
-        best = with_context(work, chosen)
-
-    measure = K.Retention(whole)
-    score = measure.score(best)
-    if chunks and score["retention"] < p.min_retention:
-        best, score, chosen = _rescue(measure, score, best, work, chosen, removed, K.bag(query or prompt), terms, p)
-
-    status, final, after = "accepted", best, K.token_count(best)
-    if p.rollback and score["retention"] < p.min_retention:
-        status, final, after = "rolled_back", whole, before
-    c = costs(before, after, p.expected_output)
-    latency = 0.0 if status == "rolled_back" else c["cost_reduction"]
-    success = max(0.0, min(1.0, 0.60 * score["retention"] + 0.30 * c["cost_reduction"] + 0.10 * latency))
-    return {
-        "original_prompt": whole,
-        "optimized_prompt": final,
-        "original_tokens": before,
-        "optimized_tokens": after,
-        **{k: (v if k == "tokens_saved" else round(v, 8 if k in ("cost_before", "cost_after", "savings") else 4)) for k, v in c.items()},
-        **{k: round(v, 4) for k, v in score.items()},
-        "success": round(success, 4),
-        "risk": risk(p, score, c["reduction_pct"], status),
-        "status": status,
-        "reason": "retention_score_below_threshold" if status == "rolled_back" else None,
-        "selected": chosen,
-        "removed": removed,
-    }
-
-
-def _choose(chunks: list[str], query: str, work: str, p: Policy) -> tuple[list[str], list[str]]:
-    """Relevant, diverse, within what the prompt leaves of the budget."""
-    asked = K.bag(query)
-    value = [K.cosine(asked, K.bag(c)) for c in chunks]
-    relevant = [i for i, v in enumerate(value) if v >= p.relevance or not query]
-    removed = [c for i, c in enumerate(chunks) if i not in set(relevant)]
-    ranked = sorted(relevant, key=lambda i: -value[i])
-    kept, gone = K.keep_first([chunks[i] for i in ranked], p.duplicate)
-    removed += [chunks[ranked[i]] for i in gone]
-    pool = [ranked[i] for i in kept]
-    cost = [K.token_count(chunks[i]) for i in pool]
-    budget = max(1, p.max_input_tokens - K.token_count(work))
-    if p.knapsack:
-        took = set(K.knapsack([value[i] for i in pool], cost, budget))
-        order = sorted(took, key=lambda j: pool[j])
-    else:
-        order = K.first_fit(cost, budget)
-        took = set(order)
-    removed += [chunks[pool[j]] for j in range(len(pool)) if j not in took]
-    return [chunks[pool[j]] for j in order], removed
+def with_protected(prompt: Column, block: str) -> Column:
+    if not block:
+        return prompt
+    return F.when(F.contains(prompt, F.lit(block.strip())), prompt).otherwise(F.concat(F.regexp_replace(prompt, r"\s+$", ""), F.lit(block)))
+
+
+def with_context(prompt: Column, chunks: Column) -> Column:
+    parts = F.filter(F.transform(chunks, T.strip), lambda c: c != "")
+    return F.when(F.size(chunks) > 0, F.concat(T.strip(prompt), F.lit(CONTEXT), F.array_join(parts, "\n\n"))).otherwise(T.strip(prompt))
+
+
+# -- steps ------------------------------------------------------------------------------------------------------------
+
+_REMOVED = "array<struct<text:string,cost:bigint,worth:double>>"
+
+
+def _worth(text: Column, asked: Column, terms: Sequence[str]) -> Column:
+    """How telling a removed text is, asked being the counts of the query's words."""
+    low = F.lower(text)
+    named = sum((F.when(F.contains(low, F.lit(t)), 2.0).otherwise(0.0) for t in terms), F.lit(0.0))
+    parts = 3.0 * F.size(T.numbers(text)) + 2.0 * F.size(T.codes(text)) + 1.5 * F.size(T.constraint_windows(text)) + 0.5 * F.size(T.entities(text))
+    return named + parts + counted_cosine(asked, counts(T.words(text)))
 
 
-def _rescue(measure, score, best, work, chosen, removed, asked, terms, p: Policy):
-    """Put removed texts back, the most telling first, while they fit and retention gains."""
+def _sentences(r: DataFrame, policy: Policy) -> DataFrame:
+    """(id, work): the prompts' sentences without near-copies of earlier ones, a line each."""
+    u = dedup.units(r, "id", T.sentences(F.col("work"))).join(r.select(F.col("id").alias("g"), F.col("t.duplicate").alias("least")), "g")
+    kept = dedup.keep_first(u.select("g", "pos", "unit"), dedup.cosine_edges(u, "least")).where("kept")
+    kept = settle(kept.select("g", "pos", "unit"))
+    return kept.groupBy(F.col("g").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "unit"))), lambda x: x.unit), "\n").alias("lines"))
 
-    def worth(t: str) -> float:
-        low = t.lower()
-        return 2.0 * sum(x in low for x in terms) + 3.0 * len(K.numbers(t)) + 2.0 * len(K.codes(t)) + 1.5 * len(K.constraint_windows(t)) + 0.5 * len(K.entities(t)) + K.cosine(asked, K.bag(t))
 
-    pool = [t for t in dict.fromkeys(removed) if t and t not in set(chosen)]
-    for text in sorted(pool, key=worth, reverse=True):
-        longer = with_context(work, [*chosen, text])
-        if K.token_count(longer) > p.max_input_tokens:
-            continue
-        gained = measure.score(longer)
-        if gained["retention"] >= score["retention"] + 0.002:
-            chosen, best, score = [*chosen, text], longer, gained
-        if score["retention"] >= p.min_retention:
-            break
-    return best, score, chosen
+def _chunks(r: DataFrame, policy: Policy, terms: Sequence[str]) -> DataFrame:
+    """(id, pool, irrelevant, copies): chunks by similarity to the query; those below the threshold and near-copies of better ones apart."""
+    c = r.select("id", F.col("t.duplicate").alias("least"), F.col("t.relevance").alias("relevance"), "asked", "asked_counts", F.posexplode("chunks").alias("idx", "text"))
+    c = c.withColumn("value", counted_cosine(F.col("asked_counts"), counts(T.words(F.col("text")))))
+    c = c.withColumn("relevant", (F.col("value") >= F.col("relevance")) | (F.col("asked") == ""))
+    c = c.withColumn("worth", _worth(F.col("text"), F.col("asked_counts"), terms)).withColumn("cost", T.count_tokens(F.col("text")))
+    order = Window.partitionBy("id").orderBy(F.desc("relevant"), F.desc("value"), "idx")
+    c = settle(c.withColumn("rank", F.row_number().over(order) - 1).drop("asked", "asked_counts"))
+    u = c.where("relevant").select(F.col("id").alias("g"), F.col("rank").alias("pos"), F.col("text").alias("unit"), "least")
+    kept = settle(dedup.keep_first(u.select("g", "pos", "unit"), dedup.cosine_edges(u, "least")).select(F.col("g").alias("id"), F.col("pos").alias("rank"), "kept"))
+    c = c.join(kept, ["id", "rank"], "left")
+    row = F.struct("rank", "idx", "text", "value", "cost", "worth")
+    of = lambda cond, by: F.sort_array(F.collect_list(F.when(cond, F.struct(F.col(by).alias("_by"), row.alias("row")))))
+    g = c.groupBy("id").agg(of(F.col("kept"), "rank").alias("pool"), of(~F.col("relevant"), "idx").alias("irrelevant"), of(~F.col("kept"), "rank").alias("copies"))
+    return g.select("id", *[F.transform(k, lambda x: x.row).alias(k) for k in ("pool", "irrelevant", "copies")])
+
+
+def _trimmed(x: Column, block: str) -> Column:
+    """Struct (kept, gone) of a prompt's sentences: each stays if the whole request then still fits. Tokens of lines add up."""
+    fixed = T.count_tokens(F.lit(block)) if block else F.lit(0).cast("long")
+    lines = F.transform(T.sentences(F.replace(x.work, F.lit(block), F.lit("")) if block else x.work), lambda s: F.struct(s.alias("text"), T.count_tokens(s).alias("cost")))
+    none = F.array().cast("array<string>")
+
+    def step(s: Column, line: Column) -> Column:
+        fits = s.used + line.cost <= x.most
+        return F.when(fits, F.struct((s.used + line.cost).alias("used"), F.array_append(s.kept, line.text).alias("kept"), s.gone.alias("gone"))).otherwise(F.struct(s.used.alias("used"), s.kept.alias("kept"), F.array_append(s.gone, line.text).alias("gone")))
+
+    begin = F.struct((fixed + x.context).cast("long").alias("used"), none.alias("kept"), none.alias("gone"))
+    return F.aggregate(lines, begin, step, lambda s: F.struct(s.kept.alias("kept"), s.gone.alias("gone")))
+
+
+def _rescued(x: Column) -> Column:
+    """Struct (best, added, m): removed texts put back, the most telling first, while they fit and retention gains.
+
+    x: facts, m (measures of best), best, work, chosen (texts), pool (text, cost, worth in order), used, most, least.
+    """
+    none = F.array().cast("array<string>")
+    begin = F.struct(x.best.alias("best"), none.alias("added"), x.used.alias("used"), x.m.alias("m"))
+
+    def step(s: Column, p: Column) -> Column:
+        mark = F.when((F.size(x.chosen) == 0) & (F.size(s.added) == 0), T.count_tokens(F.lit(CONTEXT))).otherwise(F.lit(0))
+        used = s.used + p.cost + mark
+        grown = lambda: F.array_append(s.added, p.text)
+        tried = bind(with_context(x.work, F.concat(x.chosen, grown())), lambda t: F.struct(t.alias("t"), retention.measures(x.facts, t).alias("m")))
+        better = lambda n: F.when(n.m.retention >= s.m.retention + GAIN, F.struct(n.t.alias("best"), grown().alias("added"), used.alias("used"), n.m.alias("m"))).otherwise(s)
+        return F.when((s.m.retention < x.least) & (used <= x.most), bind(tried, better)).otherwise(s)
+
+    return F.aggregate(x.pool, begin, step, lambda s: F.struct(s.best.alias("best"), s.added.alias("added"), s.m.alias("m")))
 
 
 RESULT = (
@@ -186,19 +154,87 @@ RESULT = (
 
 
 def optimize_requests(requests: DataFrame, id_col: str = "request_id", policy: Policy = Policy()) -> DataFrame:
-    """requests (id_col, prompt, query, chunks array<string>, and optionally max_input_tokens, mode) -> metrics and prompts by row."""
-    kind = requests.schema[id_col].dataType.simpleString()
-    has = set(requests.columns)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from dataclasses import replace
-
-        for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
-                own = {k: r[k] for k in ("max_input_tokens", "mode") if k in has and not pd.isna(r[k])}
-                chunks = [c for c in (r["chunks"] if r["chunks"] is not None else []) if c is not None]
-                rows.append({id_col: r[id_col], **optimize(r["prompt"], chunks, r.get("query"), replace(policy, **own))})
-            yield pd.DataFrame(rows, columns=[id_col, *(c.split()[0] for c in RESULT.split(", "))])
-
-    return dealt(requests, id_col).mapInPandas(run, f"{id_col} {kind}, {RESULT}")
+    """requests (id_col, prompt, query, chunks array<string>, and optionally max_input_tokens, mode) -> RESULT by request.
+
+    Ids are to be unique. Null prompts, queries and chunks count as empty, none and absent; without a query the prompt is asked. Texts
+    removed are the irrelevant, the near-copies, what the budget left out and trimmed sentences, in this order.
+    """
+    has, block = set(requests.columns), _block(list(dict.fromkeys(t.strip() for t in policy.protected if t and t.strip())))
+    terms = list(dict.fromkeys(str(t).strip().lower() for t in policy.critical_terms if t and str(t).strip()))
+    own = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in has else F.lit(default)
+    texts = "array<string>"
+    prompt = F.coalesce(F.col("prompt"), F.lit(""))
+    r = dealt(requests, id_col).select(
+        F.col(id_col).alias("id"),
+        prompt.alias("prompt"),
+        F.when(F.coalesce(F.col("query"), F.lit("")) != "", F.col("query")).otherwise(prompt).alias("asked") if "query" in has else prompt.alias("asked"),
+        F.filter(F.coalesce(F.col("chunks"), F.array().cast(texts)), lambda c: c.isNotNull()).alias("chunks"),
+        own("max_input_tokens", policy.max_input_tokens).cast("long").alias("most"),
+        policy.thresholds(own("mode", policy.mode)).alias("t"),
+    )
+    r = r.withColumn("guarded", with_protected(F.col("prompt"), block))
+    r = r.withColumns({"whole": with_context(F.col("guarded"), F.col("chunks")), "work": with_protected(T.drop_filler(F.col("guarded")).text, block) if policy.normalize else F.col("guarded"), "asked_counts": counts(T.words(F.col("asked")))})
+    r = settle(r.withColumn("before", T.count_tokens(F.col("whole"))))
+
+    x = r
+    if policy.deduplicate:
+        x = x.join(_sentences(r, policy), "id", "left").withColumn("work", with_protected(F.coalesce("lines", F.lit("")), block)).drop("lines")
+    # written here: what follows is the bulk of the work, on rows alone, and is dealt anew as joins of few requests end in few tasks
+    x = dealt(settle(x.join(_chunks(r, policy, terms), "id", "left")), "id")
+    rows = "array<struct<rank:int,idx:int,text:string,value:double,cost:bigint,worth:double>>"
+    for name in ("pool", "irrelevant", "copies"):
+        x = x.withColumn(name, F.coalesce(name, F.array().cast(rows)))
+    budget = F.greatest(F.lit(1).cast("long"), F.col("most") - T.count_tokens(F.col("work")))
+    if policy.knapsack:
+        took = selection.best_fit(F.transform("pool", lambda c: F.struct(c.value.alias("value"), c.cost.alias("cost"))), budget)
+    else:
+        took = selection.first_fit(F.transform("pool", lambda c, i: F.struct(i.alias("idx"), c.cost.alias("cost"))), budget)
+    x = x.withColumn("took", took)
+    chosen = F.filter("pool", lambda c, i: F.array_contains("took", i))
+    chosen = F.array_sort(chosen, lambda a, b: a.idx - b.idx) if policy.knapsack else chosen
+    x = x.withColumns({"chosen": chosen, "left": F.filter("pool", lambda c, i: ~F.array_contains("took", i))})
+    bare = lambda c: F.transform(c, lambda e: F.struct(e.text.alias("text"), e.cost.alias("cost"), e.worth.alias("worth")))
+    mark = F.when(F.size("chosen") > 0, T.count_tokens(F.lit(CONTEXT))).otherwise(F.lit(0))
+    x = x.withColumns({"gone": F.concat(*map(bare, ("irrelevant", "copies", "left"))), "chosen": F.transform("chosen", lambda c: c.text), "context": (mark + F.aggregate("chosen", F.lit(0).cast("long"), lambda s, c: s + c.cost)).cast("long")})
+    x = x.drop("pool", "irrelevant", "copies", "left", "took").withColumn("fits", T.count_tokens(with_context(F.col("work"), F.col("chosen"))) <= F.col("most"))
+    # too long still: sentences of the prompt go
+    cut = F.when(~F.col("fits"), bind(F.struct("work", "most", "context"), lambda s: _trimmed(s, block)))
+    x = x.withColumn("cut", cut)
+    said = F.transform(F.coalesce("cut.gone", F.array().cast(texts)), lambda s: F.struct(s.alias("text"), T.count_tokens(s).alias("cost"), _worth(s, F.col("asked_counts"), terms).alias("worth")))
+    x = x.withColumns({"work": F.when(F.col("fits"), F.col("work")).otherwise(with_protected(F.array_join("cut.kept", "\n"), block)), "gone": F.concat("gone", said)}).drop("cut")
+    x = x.withColumn("best", with_context(F.col("work"), F.col("chosen"))).withColumn("used", T.count_tokens(F.col("best")))
+    # written once more: all that follows reads the facts and the measures several times
+    x = x.withColumn("facts", retention.facts(F.col("whole")))
+    x = settle(x.select("id", "whole", "before", "most", "t", "work", "chosen", "gone", "best", "used", "facts", (F.size("chunks") > 0).alias("some"), retention.measures(F.col("facts"), F.col("best")).alias("m")))
+
+    pool = F.filter(F.array_distinct("gone"), lambda g: (g.text != "") & ~F.array_contains("chosen", g.text))
+    ranked = F.transform(F.sort_array(F.transform(pool, lambda g, i: F.struct((-g.worth).alias("w"), i.alias("i"), g.text.alias("text"), g.cost.alias("cost")))), lambda g: F.struct(g.text.alias("text"), g.cost.alias("cost")))
+    least = F.col("t.min_retention")
+    needed = F.col("some") & (F.col("m.retention") < least)
+    state = F.struct("facts", "m", "best", "work", "chosen", ranked.alias("pool"), "used", "most", least.alias("least"))
+    asis = F.struct(F.col("best"), F.array().cast(texts).alias("added"), F.col("m"))
+    x = x.withColumn("end", F.when(needed, bind(state, _rescued)).otherwise(asis))
+    back = F.lit(policy.rollback) & (F.col("end.m.retention") < least)
+    x = x.withColumn("status", F.when(back, "rolled_back").otherwise("accepted"))
+    x = x.withColumn("final", F.when(back, F.col("whole")).otherwise(F.col("end.best"))).withColumn("after", T.count_tokens(F.col("final")))
+    money = cost.cost_columns(F.col("before"), F.col("after"), F.lit(policy.expected_output))
+    x = x.withColumns({f"c_{k}": v for k, v in money.items()})
+    latency = F.when(F.col("status") == "rolled_back", 0.0).otherwise(F.col("c_cost_reduction"))
+    m = lambda k: F.col(f"end.m.{k}")
+    risk = cost.risk_label(F.col("status"), F.lit(policy.schema_strict), m("retention"), m("constraint"), m("numeric"), m("entity"), F.col("c_reduction_pct"))
+    places = {"cost_before": 8, "cost_after": 8, "savings": 8, "cost_reduction": 4, "reduction_pct": 4}
+    return x.select(
+        F.col("id").alias(id_col),
+        F.col("whole").alias("original_prompt"),
+        F.col("final").alias("optimized_prompt"),
+        F.col("before").alias("original_tokens"),
+        F.col("after").alias("optimized_tokens"),
+        *[(F.round(f"c_{k}", places[k]) if k in places else F.col(f"c_{k}")).alias(k) for k in money],
+        *[F.round(m(k), 4).alias(k) for k in ("entity", "numeric", "constraint", "semantic", "keyword", "retention")],
+        F.round(cost.success(m("retention"), F.col("c_cost_reduction"), latency), 4).alias("success"),
+        risk.alias("risk"),
+        "status",
+        F.when(F.col("status") == "rolled_back", "retention_score_below_threshold").alias("reason"),
+        F.concat("chosen", "end.added").alias("selected"),
+        F.transform("gone", lambda g: g.text).alias("removed"),
+    )

@@ -257,6 +257,24 @@ ENUMS = {
         "MANUAL_REVIEW",
     ),
 }
+#: contract field type -> enum
+ENUM_TYPES = {"enum_shortlist": "shortlist_decision", "enum_hireability": "hireability_label", "enum_next_step": "next_step"}
+#: what a prompt says about a contract: lines before and after its fields
+CONTRACT_OPEN = ("OUTPUT CONTRACT - return valid JSON only; no markdown; no prose outside JSON.", "Required fields and types:")
+CONTRACT_CLOSE = (
+    "Do not omit required fields. Use [] only when evidence is genuinely absent and the field is not marked non-empty.",
+    "Use stable field names exactly as listed above.",
+)
+REPAIR_OPEN = (
+    "Repair the following model output so it satisfies the output contract exactly. Preserve the original meaning. Do not add unsupported facts. "
+    "If a field is required but evidence is missing, use a short evidence-missing placeholder only when the field is non-empty; otherwise use []."
+)
+REPAIR_CLOSE = "\n\nMODEL_OUTPUT_TO_REPAIR:\n"
+#: final-decision responses: shorter names a model may use, list fields, patterns of a score and a decision in prose
+RESPONSE_NAMES = {"score": "final_score", "decision": "shortlist_decision", "evidence": "evidence_terms", "questions": "interview_plan", "risks": "concerns"}
+RESPONSE_LISTS = ("evidence_terms", "reasons", "concerns", "interview_plan")
+RESPONSE_SCORES = (r"final[_ ]?score\s*[\":=]+\s*([0-9]+(?:\.[0-9]+)?)", r"score\s*[\":=]+\s*([0-9]+(?:\.[0-9]+)?)", r"([0-9]+(?:\.[0-9]+)?)\s*/\s*10")
+RESPONSE_DECISIONS = (r"shortlist_decision\s*[\":=]+\s*['\"]?([A-Za-z _-]+)", r"decision\s*[\":=]+\s*['\"]?([A-Za-z _-]+)", r"\b(Shortlist|Reject|Hold)\b")
 NULL_WORDS = ("none", "n/a", "na", "not applicable", "no", "nil", "[]")
 #: agent -> mode, least retention, input tokens, output tokens; all are schema strict and may retry once
 POLICIES = {

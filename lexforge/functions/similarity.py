@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
+def kept(build: Callable[..., Column]) -> Callable[..., Column]:
+    """build, its results kept for each application: a long expression over named columns is put together once on the driver."""
+    made: dict[tuple, Column] = {}
+
+    @functools.wraps(build)
+    def get(*args) -> Column:
+        key = (SparkSession.active().sparkContext.applicationId, *args)
+        if key not in made:
+            made[key] = build(*args)
+        return made[key]
+
+    return get
+
+
 def bind(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value) with value worked out once a row, however often then uses it."""
     return F.transform(F.array(value), then)[0]

@@ -8,21 +8,6 @@ from pyspark.sql import functions as F
 from lexforge.functions.lexicons import CONTRACTS
 
 
-def _table(spark: SparkSession, rows: list[tuple], names: tuple[str, ...], kinds: tuple[str, ...]) -> DataFrame:
-    structs = [F.struct(*[F.lit(v).cast(k).alias(n) for v, n, k in zip(r, names, kinds, strict=True)]) for r in rows]
-    return spark.range(1, numPartitions=1).select(F.inline(F.array(*structs)))
-
-
-def contract_fields(spark: SparkSession) -> DataFrame:
-    rows = [(a, i, n, k, n in needed) for a, (fields, needed, _) in CONTRACTS.items() for i, (n, k) in enumerate(fields)]
-    return _table(spark, rows, ("agent", "pos", "field", "kind", "non_empty"), ("string", "int", "string", "string", "boolean"))
-
-
-def contract_aliases(spark: SparkSession) -> DataFrame:
-    rows = [(a, x, y) for a, (_, _, aliases) in CONTRACTS.items() for x, y in aliases.items()]
-    return _table(spark, rows, ("agent", "alias", "field"), ("string", "string", "string"))
-
-
 def http_error(code: Column) -> Column:
     known = F.when(code == 401, "unauthorized").when(code == 403, "forbidden").when(code == 404, "not_found").when(code == 429, "rate_limited")
     return known.when(code >= 500, "server").otherwise("other")
@@ -76,11 +61,6 @@ def run_totals(calls: DataFrame) -> DataFrame:
     )
 
 
-def schema_critical(spark: SparkSession) -> DataFrame:
-    """Agents and whether their contract is critical: it has required fields, and some that may not be empty."""
-    return contract_fields(spark).groupBy("agent").agg(F.max("non_empty").alias("critical"))
-
-
 def ab_totals(rows: DataFrame, by: str) -> DataFrame:
     out = rows.groupBy(by).agg(F.sum("baseline").cast("long").alias("baseline"), F.sum("optimized").cast("long").alias("optimized"))
     return out.withColumn("reduction_pct", F.round(F.coalesce(F.try_divide((F.col("baseline") - F.col("optimized")) * 100.0, F.col("baseline")), F.lit(0.0)), 4))

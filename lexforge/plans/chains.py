@@ -59,14 +59,16 @@ def greedy_budget_fill(spark, d):
 
 @query(
     "knapsack_select",
-    f"""WITH RECURSIVE {_SIZED}, p AS (SELECT conv_id, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS worth FROM s GROUP BY conv_id
-UNION SELECT p.conv_id, p.r + 1, used + k * greatest(cost, 1), worth + k * CAST(round_even(value * 10000, 0) AS BIGINT) FROM p JOIN s ON s.conv_id = p.conv_id AND s.r = p.r + 1, (VALUES (0), (1)) AS v(k) WHERE used + k * greatest(cost, 1) <= 250)
-SELECT conv_id, CAST(max(worth) AS BIGINT) AS worth FROM p GROUP BY conv_id""",
+    f"""WITH RECURSIVE {_SIZED}, p AS (SELECT conv_id, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS worth, CAST(0 AS BIGINT) AS bits FROM s GROUP BY conv_id
+UNION SELECT p.conv_id, p.r + 1, used + k * greatest(cost, 1), worth + k * CAST(round_even(value * 10000, 0) AS BIGINT), bits + k * CAST(2 ** p.r AS BIGINT) FROM p JOIN s ON s.conv_id = p.conv_id AND s.r = p.r + 1, (VALUES (0), (1)) AS v(k) WHERE used + k * greatest(cost, 1) <= 250 AND (k = 0 OR value > 0)),
+b AS (SELECT conv_id, worth, bits, row_number() OVER (PARTITION BY conv_id ORDER BY worth DESC, used, bits) AS place FROM p)
+SELECT conv_id, worth, array_to_string(list_filter(range(1, 20), lambda i: (bits >> (i - 1)) % 2 = 1), '|') AS chosen FROM b WHERE place = 1""",
 )
 def knapsack_select(spark, d):
     out = selection.knapsack(_sized(spark, d).withColumn("budget", F.lit(250)), "conv_id", "r", "value", "cost", "budget")
     worth = F.bround(F.col("value") * 10_000, 0).cast("long")
-    return out.groupBy("conv_id").agg(F.sum(F.when(F.col("chosen"), worth).otherwise(0)).alias("worth"))
+    places = F.sort_array(F.collect_list(F.when(F.col("chosen"), F.col("r"))))
+    return out.groupBy("conv_id").agg(F.sum(F.when(F.col("chosen"), worth).otherwise(0)).alias("worth"), joined(places.cast("array<string>")).alias("chosen"))
 
 
 @query("rollback", "SELECT doc_id, CASE WHEN doc_id % 11 < 4 THEN text ELSE lang END AS prompt, CASE WHEN doc_id % 11 < 4 THEN 'rolled_back' ELSE 'accepted' END AS status FROM documents")
@@ -243,7 +245,28 @@ def schema_quality(spark, d):
     return governed.govern(agent_outputs(spark, d), "event_id").select("event_id", "quality")
 
 
-@query("govern_outputs")
+_RAW_SQL = r"""raws AS (SELECT event_id, '{' || '"decision": "' || (['yes', 'reject', 'borderline', 'do not shortlist this one', 'unclear'])[CAST(event_id % 5 AS INT) + 1] || '", "hireability_label": "' || (['good', 'poor', 'very strong'])[CAST(event_id % 3 AS INT) + 1]
+ || '", "risks": "gap ' || k || '; risk ' || k || '", "reasons": ["solid work", "clear plan"], ' || CASE WHEN event_id % 7 <> 0 THEN '"interview_focus_areas": "design", ' ELSE '' END || '"next_step": "interview", "score": ' || CAST(event_id % 101 / 100.0 AS DOUBLE) || ', "missing_evidence": "none"}' AS body, k
+ FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)),
+outs AS (SELECT event_id, k, CASE WHEN event_id % 11 = 3 THEN '```json' || chr(10) || body || chr(10) || '```' WHEN event_id % 13 = 5 THEN '- no' || chr(10) || '- json here' WHEN event_id % 17 = 4 THEN replace(body, '"', '''') ELSE body END AS raw,
+ CASE WHEN event_id % 11 = 3 THEN 'json' WHEN event_id % 13 = 5 THEN 'prose' WHEN event_id % 17 = 4 THEN 'literal' ELSE 'json' END AS form FROM raws)""".replace("\\'\\'", "''")
+_FIELDS = [n for n, _ in L.CONTRACTS["RecruiterDecisionAgent"][0]]
+
+
+@query(
+    "govern_outputs",
+    f"""{_GOV_SQL}, {_RAW_SQL}, j AS (SELECT g.*, outs.k, outs.form, CAST(p / 100.0 AS DOUBLE) AS n, event_id % 3 AS h FROM g JOIN outs USING (event_id)),
+t AS (SELECT *, (['STRONG', 'WEAK', 'HIGHLY_HIREABLE'])[CAST(h AS INT) + 1] AS label, (['good', 'poor', 'very strong'])[CAST(h AS INT) + 1] AS said FROM j)
+SELECT event_id, CASE WHEN form = 'prose' THEN '{{"shortlist_decision":"HOLD","hireability_label":"MODERATE","risks":[],"reasons":[],"interview_focus_areas":[],"next_step":"MANUAL_REVIEW","fit_score":0,"missing_evidence":[],"_extra":{{"items":["no","json here"]}}}}'
+ ELSE '{{"shortlist_decision":"' || decision || '","hireability_label":"' || label || '","risks":["gap ' || k || '","risk ' || k || '"],"reasons":["solid work","clear plan"],"interview_focus_areas":' || CASE WHEN gap THEN '[]' ELSE '["design"]' END || ',"next_step":"SCHEDULE_TECHNICAL_INTERVIEW","fit_score":' || fit || ',"missing_evidence":[]}}' END AS normalized,
+ NOT (form = 'prose' OR gap) AS valid, true AS repaired,
+ CASE WHEN form = 'prose' THEN '{"|".join(f"missing_required_field:{n}" + (f"|empty_required_field:{n}" if n in ("reasons", "interview_focus_areas") else "") for n in _FIELDS)}' WHEN gap THEN 'missing_required_field:interview_focus_areas|empty_required_field:interview_focus_areas' ELSE '' END AS errors,
+ CASE form WHEN 'prose' THEN 'json_parse_failed:JSONDecodeError|literal_eval_failed:SyntaxError|fallback_line_extraction_used' WHEN 'literal' THEN 'json_parse_failed:JSONDecodeError|parsed_with_ast_literal_eval' ELSE '' END AS warnings,
+ CASE WHEN form = 'prose' THEN '{"|".join(f"insert_missing_field:{n}|" + {"shortlist_decision": "default_enum:shortlist_decision->HOLD", "hireability_label": "default_enum:hireability_label->MODERATE", "next_step": "default_enum:next_step->MANUAL_REVIEW", "fit_score": "default_fit_score:0"}.get(n, f"coerce_list:{n}") for n in _FIELDS)}'
+ ELSE 'alias:decision->shortlist_decision|alias:score->fit_score|' || (['normalize_enum:shortlist_decision:yes->SHORTLIST|', '', 'normalize_enum:shortlist_decision:borderline->HOLD|', 'normalize_enum_fuzzy:shortlist_decision:do not shortlist this one->SHORTLIST|', 'default_enum:shortlist_decision->HOLD|'])[CAST(s AS INT) + 1]
+ || 'normalize_enum:hireability_label:' || said || '->' || label || '|coerce_list:risks|' || CASE WHEN gap THEN 'insert_missing_field:interview_focus_areas|' ELSE '' END || 'coerce_list:interview_focus_areas|normalize_enum:next_step:interview->SCHEDULE_TECHNICAL_INTERVIEW|scale_score_0_1_to_100:' || n || '|coerce_list:missing_evidence' END AS actions,
+ round(CASE WHEN prose THEN 0.3 WHEN gap THEN 0.6 + 0.4 * 6 / 8 - 0.1 ELSE 0.6 + 0.4 * 7 / 8 END, 4) AS quality FROM t""",
+)
 def govern_outputs(spark, d):
     g = governed.govern(agent_outputs(spark, d), "event_id")
     return g.select("event_id", "normalized", "valid", "repaired", joined(F.col("errors")).alias("errors"), joined(F.col("warnings")).alias("warnings"), joined(F.col("actions")).alias("actions"), "quality")
@@ -254,9 +277,22 @@ def evidence_consistency(spark, d):
     return governed.govern(agent_outputs(spark, d), "event_id").select("event_id", F.size("contradictions").cast("long").alias("n"))
 
 
-@query("contract_instruction", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {i}, '{n}', '{k}', {str(n in ne).lower()})" for a, (fs, ne, _) in L.CONTRACTS.items() for i, (n, k) in enumerate(fs)) + ") AS t(agent, pos, field, kind, non_empty)")
+def _contract_sql(agent: str) -> str:
+    fields, full, _ = L.CONTRACTS[agent]
+    lines = [*L.CONTRACT_OPEN, *(f"- {n}: {k}" + (" non-empty" if n in full else "") for n, k in fields), *L.CONTRACT_CLOSE]
+    return " || chr(10) || ".join(f"'{x}'" for x in lines)
+
+
+@query(
+    "contract_instruction",
+    f"""{_GOV_SQL}, {_RAW_SQL} SELECT event_id, md5({quoted([L.REPAIR_OPEN])} || chr(10) || chr(10) || {_contract_sql("RecruiterDecisionAgent")} || chr(10) || chr(10) || 'MODEL_OUTPUT_TO_REPAIR:' || chr(10) || raw) AS prompt_md5
+FROM g JOIN outs USING (event_id) WHERE prose OR gap""",
+)
 def contract_instruction(spark, d):
-    return reports.contract_fields(spark)
+    """The prompts that ask again for outputs which fail their contract."""
+    raws = agent_outputs(spark, d)
+    g = governed.govern(raws, "event_id").where("not valid").select("event_id", "fields")
+    return g.join(raws, "event_id").select("event_id", F.md5(governed.repair_text(F.col("raw_output"), F.col("fields"))).alias("prompt_md5"))
 
 
 _LISTS = ("none", "a; b ;; c", "x", " N/A ", "- one\\n- two", "")
@@ -289,9 +325,11 @@ def enum_normalize(spark, d):
     return table(spark, d, "events").select("event_id", quality.enum_value("shortlist_decision", raw).alias("value"))
 
 
-@query("alias_apply", "SELECT agent, alias, field FROM (VALUES " + ", ".join(f"('{a}', '{k}', '{v}')" for a, (_, _, al) in L.CONTRACTS.items() for k, v in al.items()) + ") AS t(agent, alias, field)")
+@query("alias_apply", "SELECT action, count(*) AS n FROM (SELECT unnest(['decision->shortlist_decision', 'score->fit_score']) AS action FROM events WHERE NOT (event_id % 13 = 5 AND event_id % 11 <> 3)) GROUP BY action")
 def alias_apply(spark, d):
-    return reports.contract_aliases(spark)
+    """Aliases met in outputs."""
+    a = governed.govern(agent_outputs(spark, d), "event_id").select(F.explode("actions").alias("a")).where("startswith(a, 'alias:')")
+    return a.groupBy(F.substring("a", 7, 200).alias("action")).agg(F.count("*").alias("n"))
 
 
 @query("http_error_class", "SELECT event_id, CASE WHEN c = 401 THEN 'unauthorized' WHEN c = 403 THEN 'forbidden' WHEN c = 404 THEN 'not_found' WHEN c = 429 THEN 'rate_limited' WHEN c >= 500 THEN 'server' ELSE 'other' END AS kind FROM (SELECT event_id, ([401, 403, 404, 429, 500, 503, 400])[CAST(event_id % 7 AS INT) + 1] AS c FROM events)")
@@ -389,9 +427,11 @@ def run_totals(spark, d):
     return reports.run_totals(calls)
 
 
-@query("schema_critical", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {str(bool(fs and ne)).lower()})" for a, (fs, ne, _) in L.CONTRACTS.items()) + ") AS t(agent, critical)")
+@query("schema_critical", f"{_GOV_SQL} SELECT 'RecruiterDecisionAgent' AS agent, true AS critical, count(*) AS outputs, count(*) FILTER (WHERE prose OR gap) AS invalid FROM g")
 def schema_critical(spark, d):
-    return reports.schema_critical(spark)
+    """Outputs by agent, whether its contract has fields that may not be empty, and how many fail."""
+    g = governed.govern(agent_outputs(spark, d), "event_id")
+    return g.groupBy("agent").agg(F.bool_or(F.exists("fields", lambda f: f.non_empty)).alias("critical"), F.count("*").alias("outputs"), F.count_if(~F.col("valid")).alias("invalid"))
 
 
 @query("entropy_filter", "WITH w AS (SELECT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_.$%/-]+'))) AS w FROM benchmark), c AS (SELECT item_id, w, count(*) AS n FROM w GROUP BY ALL), p AS (SELECT item_id, n / sum(n) OVER (PARTITION BY item_id) AS p FROM c), e AS (SELECT item_id, abs(round(sum(p * log2(p)), 6)) AS e FROM p GROUP BY item_id) SELECT b.item_id, md5(b.text) AS text_md5, coalesce(e.e, 0.0) AS entropy, CAST(3 AS DOUBLE) AS least_entropy, false AS changed FROM benchmark b LEFT JOIN e ON e.item_id = b.item_id")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
-from lexforge.functions.similarity import bind, counted_cosine, counts
+from lexforge.functions.similarity import bind, counted_cosine, counts, kept
 from lexforge.operators import cost, dedup, retention, selection
 from lexforge.sources.io import dealt
 from lexforge.sources.shared import settle
@@ -88,29 +88,40 @@ def _worth(text: Column, asked: Column, terms: Sequence[str]) -> Column:
     return named + parts + counted_cosine(asked, counts(T.words(text)))
 
 
-def _sentences(r: DataFrame, policy: Policy) -> DataFrame:
-    """(id, work): the prompts' sentences without near-copies of earlier ones, a line each."""
-    u = dedup.units(r, "id", T.sentences(F.col("work"))).join(r.select(F.col("id").alias("g"), F.col("t.duplicate").alias("least")), "g")
-    kept = dedup.keep_first(u.select("g", "pos", "unit"), dedup.cosine_edges(u, "least")).where("kept")
-    kept = settle(kept.select("g", "pos", "unit"))
-    return kept.groupBy(F.col("g").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "unit"))), lambda x: x.unit), "\n").alias("lines"))
+@kept
+def _counted(name: str) -> Column:
+    return counts(T.words(F.col(name)))
 
 
-def _chunks(r: DataFrame, policy: Policy, terms: Sequence[str]) -> DataFrame:
-    """(id, pool, irrelevant, copies): chunks by similarity to the query; those below the threshold and near-copies of better ones apart."""
+@kept
+def _chunk_value() -> Column:
+    return counted_cosine(F.col("asked_counts"), _counted("text"))
+
+
+@kept
+def _chunk_worth(terms: tuple[str, ...]) -> Column:
+    return _worth(F.col("text"), F.col("asked_counts"), terms)
+
+
+def _parts(r: DataFrame, policy: Policy, terms: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(id, lines): the prompts' sentences without near-copies of earlier ones, a line each; and (id, pool, irrelevant, copies): chunks by
+    similarity to the query, those below the threshold and near-copies of better ones apart. One search finds both kinds of copies."""
     c = r.select("id", F.col("t.duplicate").alias("least"), F.col("t.relevance").alias("relevance"), "asked", "asked_counts", F.posexplode("chunks").alias("idx", "text"))
-    c = c.withColumn("value", counted_cosine(F.col("asked_counts"), counts(T.words(F.col("text")))))
+    c = c.withColumns({"value": _chunk_value(), "worth": _chunk_worth(terms), "cost": T.count_tokens(F.col("text"))})
     c = c.withColumn("relevant", (F.col("value") >= F.col("relevance")) | (F.col("asked") == ""))
-    c = c.withColumn("worth", _worth(F.col("text"), F.col("asked_counts"), terms)).withColumn("cost", T.count_tokens(F.col("text")))
     order = Window.partitionBy("id").orderBy(F.desc("relevant"), F.desc("value"), "idx")
     c = settle(c.withColumn("rank", F.row_number().over(order) - 1).drop("asked", "asked_counts"))
-    u = c.where("relevant").select(F.col("id").alias("g"), F.col("rank").alias("pos"), F.col("text").alias("unit"), "least")
-    kept = settle(dedup.keep_first(u.select("g", "pos", "unit"), dedup.cosine_edges(u, "least")).select(F.col("g").alias("id"), F.col("pos").alias("rank"), "kept"))
-    c = c.join(kept, ["id", "rank"], "left")
+    of = lambda is_chunk: F.struct("id", F.lit(is_chunk).alias("is_chunk")).alias("g")
+    u = c.where("relevant").select(of(True), F.col("rank").alias("pos"), F.col("text").alias("unit"), "least")
+    if policy.deduplicate:
+        u = u.unionByName(r.select(of(False), F.col("t.duplicate").alias("least"), F.posexplode(T.sentences(F.col("work"))).alias("pos", "unit")).select("g", "pos", "unit", "least"))
+    stay = settle(dedup.keep_first(u.select("g", "pos", "unit"), dedup.cosine_edges(u, "least")).select("g.id", "g.is_chunk", "pos", "kept", F.when(~F.col("g.is_chunk"), F.col("unit")).alias("unit")))
+    lines = stay.where("kept and not is_chunk").groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "unit"))), lambda x: x.unit), "\n").alias("lines"))
+    c = c.join(stay.where("is_chunk").select("id", F.col("pos").alias("rank"), "kept"), ["id", "rank"], "left")
     row = F.struct("rank", "idx", "text", "value", "cost", "worth")
     of = lambda cond, by: F.sort_array(F.collect_list(F.when(cond, F.struct(F.col(by).alias("_by"), row.alias("row")))))
     g = c.groupBy("id").agg(of(F.col("kept"), "rank").alias("pool"), of(~F.col("relevant"), "idx").alias("irrelevant"), of(~F.col("kept"), "rank").alias("copies"))
-    return g.select("id", *[F.transform(k, lambda x: x.row).alias(k) for k in ("pool", "irrelevant", "copies")])
+    return lines, g.select("id", *[F.transform(k, lambda x: x.row).alias(k) for k in ("pool", "irrelevant", "copies")])
 
 
 def _trimmed(x: Column, block: str) -> Column:
@@ -146,6 +157,54 @@ def _rescued(x: Column) -> Column:
     return F.aggregate(x.pool, begin, step, lambda s: F.struct(s.best.alias("best"), s.added.alias("added"), s.m.alias("m")))
 
 
+# -- the long expressions over a request's columns -------------------------------------------------------------
+
+
+@kept
+def _filler_gone() -> Column:
+    return T.drop_filler(F.col("guarded")).text
+
+
+@kept
+def _taken(knapsack: bool) -> Column:
+    """Places in the pool of the chunks taken within the budget."""
+    if knapsack:
+        return selection.best_fit(F.transform("pool", lambda c: F.struct(c.value.alias("value"), c.cost.alias("cost"))), F.col("budget"))
+    return selection.first_fit(F.transform("pool", lambda c, i: F.struct(i.alias("idx"), c.cost.alias("cost"))), F.col("budget"))
+
+
+@kept
+def _cut(block: str) -> Column:
+    return F.when(~F.col("fits"), bind(F.struct("work", "most", "context"), lambda s: _trimmed(s, block)))
+
+
+@kept
+def _cut_lines(terms: tuple[str, ...]) -> Column:
+    lines = F.coalesce("cut.gone", F.array().cast("array<string>"))
+    return F.transform(lines, lambda s: F.struct(s.alias("text"), T.count_tokens(s).alias("cost"), _worth(s, F.col("asked_counts"), terms).alias("worth")))
+
+
+@kept
+def _facts() -> Column:
+    return retention.facts(F.col("whole"))
+
+
+@kept
+def _measured() -> Column:
+    return retention.measures(F.col("facts"), F.col("best"))
+
+
+@kept
+def _ending() -> Column:
+    """Struct (best, added, m): the request after its rescue, where it has chunks and its retention is below the least."""
+    pool = F.filter(F.array_distinct("gone"), lambda g: (g.text != "") & ~F.array_contains("chosen", g.text))
+    ranked = F.transform(F.sort_array(F.transform(pool, lambda g, i: F.struct((-g.worth).alias("w"), i.alias("i"), g.text.alias("text"), g.cost.alias("cost")))), lambda g: F.struct(g.text.alias("text"), g.cost.alias("cost")))
+    least = F.col("t.min_retention")
+    state = F.struct("facts", "m", "best", "work", "chosen", ranked.alias("pool"), "used", "most", least.alias("least"))
+    asis = F.struct(F.col("best"), F.array().cast("array<string>").alias("added"), F.col("m"))
+    return F.when(F.col("some") & (F.col("m.retention") < least), bind(state, _rescued)).otherwise(asis)
+
+
 RESULT = (
     "original_prompt string, optimized_prompt string, original_tokens long, optimized_tokens long, cost_before double, cost_after double, savings double, "
     "cost_reduction double, tokens_saved long, reduction_pct double, entity double, numeric double, constraint double, semantic double, keyword double, "
@@ -160,7 +219,7 @@ def optimize_requests(requests: DataFrame, id_col: str = "request_id", policy: P
     removed are the irrelevant, the near-copies, what the budget left out and trimmed sentences, in this order.
     """
     has, block = set(requests.columns), _block(list(dict.fromkeys(t.strip() for t in policy.protected if t and t.strip())))
-    terms = list(dict.fromkeys(str(t).strip().lower() for t in policy.critical_terms if t and str(t).strip()))
+    terms = tuple(dict.fromkeys(str(t).strip().lower() for t in policy.critical_terms if t and str(t).strip()))
     own = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in has else F.lit(default)
     texts = "array<string>"
     prompt = F.coalesce(F.col("prompt"), F.lit(""))
@@ -173,23 +232,20 @@ def optimize_requests(requests: DataFrame, id_col: str = "request_id", policy: P
         policy.thresholds(own("mode", policy.mode)).alias("t"),
     )
     r = r.withColumn("guarded", with_protected(F.col("prompt"), block))
-    r = r.withColumns({"whole": with_context(F.col("guarded"), F.col("chunks")), "work": with_protected(T.drop_filler(F.col("guarded")).text, block) if policy.normalize else F.col("guarded"), "asked_counts": counts(T.words(F.col("asked")))})
+    r = r.withColumns({"whole": with_context(F.col("guarded"), F.col("chunks")), "work": with_protected(_filler_gone(), block) if policy.normalize else F.col("guarded"), "asked_counts": _counted("asked")})
     r = settle(r.withColumn("before", T.count_tokens(F.col("whole"))))
 
+    lines, found = _parts(r, policy, terms)
     x = r
     if policy.deduplicate:
-        x = x.join(_sentences(r, policy), "id", "left").withColumn("work", with_protected(F.coalesce("lines", F.lit("")), block)).drop("lines")
+        x = x.join(lines, "id", "left").withColumn("work", with_protected(F.coalesce("lines", F.lit("")), block)).drop("lines")
     # written here: what follows is the bulk of the work, on rows alone, and is dealt anew as joins of few requests end in few tasks
-    x = dealt(settle(x.join(_chunks(r, policy, terms), "id", "left")), "id")
+    x = dealt(settle(x.join(found, "id", "left")), "id")
     rows = "array<struct<rank:int,idx:int,text:string,value:double,cost:bigint,worth:double>>"
     for name in ("pool", "irrelevant", "copies"):
         x = x.withColumn(name, F.coalesce(name, F.array().cast(rows)))
     budget = F.greatest(F.lit(1).cast("long"), F.col("most") - T.count_tokens(F.col("work")))
-    if policy.knapsack:
-        took = selection.best_fit(F.transform("pool", lambda c: F.struct(c.value.alias("value"), c.cost.alias("cost"))), budget)
-    else:
-        took = selection.first_fit(F.transform("pool", lambda c, i: F.struct(i.alias("idx"), c.cost.alias("cost"))), budget)
-    x = x.withColumn("took", took)
+    x = x.withColumn("budget", budget).withColumn("took", _taken(policy.knapsack)).drop("budget")
     chosen = F.filter("pool", lambda c, i: F.array_contains("took", i))
     chosen = F.array_sort(chosen, lambda a, b: a.idx - b.idx) if policy.knapsack else chosen
     x = x.withColumns({"chosen": chosen, "left": F.filter("pool", lambda c, i: ~F.array_contains("took", i))})
@@ -198,22 +254,16 @@ def optimize_requests(requests: DataFrame, id_col: str = "request_id", policy: P
     x = x.withColumns({"gone": F.concat(*map(bare, ("irrelevant", "copies", "left"))), "chosen": F.transform("chosen", lambda c: c.text), "context": (mark + F.aggregate("chosen", F.lit(0).cast("long"), lambda s, c: s + c.cost)).cast("long")})
     x = x.drop("pool", "irrelevant", "copies", "left", "took").withColumn("fits", T.count_tokens(with_context(F.col("work"), F.col("chosen"))) <= F.col("most"))
     # too long still: sentences of the prompt go
-    cut = F.when(~F.col("fits"), bind(F.struct("work", "most", "context"), lambda s: _trimmed(s, block)))
-    x = x.withColumn("cut", cut)
-    said = F.transform(F.coalesce("cut.gone", F.array().cast(texts)), lambda s: F.struct(s.alias("text"), T.count_tokens(s).alias("cost"), _worth(s, F.col("asked_counts"), terms).alias("worth")))
+    x = x.withColumn("cut", _cut(block))
+    said = _cut_lines(terms)
     x = x.withColumns({"work": F.when(F.col("fits"), F.col("work")).otherwise(with_protected(F.array_join("cut.kept", "\n"), block)), "gone": F.concat("gone", said)}).drop("cut")
     x = x.withColumn("best", with_context(F.col("work"), F.col("chosen"))).withColumn("used", T.count_tokens(F.col("best")))
     # written once more: all that follows reads the facts and the measures several times
-    x = x.withColumn("facts", retention.facts(F.col("whole")))
-    x = settle(x.select("id", "whole", "before", "most", "t", "work", "chosen", "gone", "best", "used", "facts", (F.size("chunks") > 0).alias("some"), retention.measures(F.col("facts"), F.col("best")).alias("m")))
+    x = x.withColumn("facts", _facts())
+    x = settle(x.select("id", "whole", "before", "most", "t", "work", "chosen", "gone", "best", "used", "facts", (F.size("chunks") > 0).alias("some"), _measured().alias("m")))
 
-    pool = F.filter(F.array_distinct("gone"), lambda g: (g.text != "") & ~F.array_contains("chosen", g.text))
-    ranked = F.transform(F.sort_array(F.transform(pool, lambda g, i: F.struct((-g.worth).alias("w"), i.alias("i"), g.text.alias("text"), g.cost.alias("cost")))), lambda g: F.struct(g.text.alias("text"), g.cost.alias("cost")))
     least = F.col("t.min_retention")
-    needed = F.col("some") & (F.col("m.retention") < least)
-    state = F.struct("facts", "m", "best", "work", "chosen", ranked.alias("pool"), "used", "most", least.alias("least"))
-    asis = F.struct(F.col("best"), F.array().cast(texts).alias("added"), F.col("m"))
-    x = x.withColumn("end", F.when(needed, bind(state, _rescued)).otherwise(asis))
+    x = x.withColumn("end", _ending())
     back = F.lit(policy.rollback) & (F.col("end.m.retention") < least)
     x = x.withColumn("status", F.when(back, "rolled_back").otherwise("accepted"))
     x = x.withColumn("final", F.when(back, F.col("whole")).otherwise(F.col("end.best"))).withColumn("after", T.count_tokens(F.col("final")))

@@ -1,68 +1,9 @@
 """Row-local algorithms: goldens worked out by hand, brute force and invariants."""
 
-import itertools
-import json
-
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexforge.functions import governance as G
 from lexforge.functions import kernels as K
 from lexforge.plans import compress
-from lexforge.plans import optimize as O
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 12)), max_size=9), st.integers(0, 40))
-def test_knapsack_is_best(items, budget):
-    values, costs = [v / 100 for v, _ in items], [c for _, c in items]
-    got = K.knapsack(values, costs, budget)
-    worth = lambda ids: sum(round(values[i] * 10_000) for i in ids)
-    best = max((worth(s) for n in range(len(items) + 1) for s in itertools.combinations(range(len(items)), n) if sum(costs[i] for i in s) <= budget), default=0)
-    assert sum(costs[i] for i in got) <= budget and worth(got) == best and all(values[i] > 0 for i in got)
-
-
-def test_first_fit_passes_over():
-    assert K.first_fit([5, 9, 3, 2], 10) == [0, 2, 3]
-
-
-def test_keep_first_is_no_anti_join():
-    # the second goes because of the first; the third is close to the second only, and stays
-    texts = ["alpha beta gamma delta", "alpha beta gamma delta epsilon", "beta gamma delta epsilon zeta"]
-    kept, gone = K.keep_first(texts, 0.8)
-    assert (kept, gone) == ([0, 2], [1])
-    assert K.keep_first(["the of", "the of"], 0.1) == ([0, 1], [])  # no content words, no duplicates
-
-
-def test_extractors():
-    assert K.numbers("paid $1,200.50 and 7% of 30") == ["$1,200.50", "30", "7%"]
-    assert K.codes("see AB-123 and X9, not abc1") == ["AB-123", "X9"]
-    assert K.token_count("a internationalization, b") == 4 + 20 // 8
-    atoms = K.constraint_atoms("You must not deploy service alpha before review.")
-    assert atoms[0]["group"] == "negation" and atoms[0]["weight"] == 1.35
-
-
-def test_governance_goldens():
-    raw = {"decision": "yes", "hireability_label": "good", "risks": "a; b", "reasons": ["solid"], "interview_focus_areas": ["x"], "next_step": "interview", "score": 0.8, "missing_evidence": "none"}
-    g = G.govern("RecruiterDecisionAgent", json.dumps(raw))
-    n = g["normalized"]
-    assert n["shortlist_decision"] == "SHORTLIST" and n["fit_score"] == 80 and n["risks"] == ["a", "b"] and n["missing_evidence"] == []
-    assert g["valid"] and g["repaired"] and g["errors"] == [] and g["quality"] == 0.95
-    assert G.parse("```json\n{\"a\": 1}\n```") == ({"a": 1}, [])
-    assert G.parse("{'a': 1}") == ({"a": 1}, ["json_parse_failed:JSONDecodeError", "parsed_with_ast_literal_eval"])
-    assert G.parse("") == ({}, ["empty_output"])
-    assert G.parse("- one\n- two")[0] == {"items": ["one", "two"]}
-    assert G.enum_of("shortlist_decision", "do not shortlist this person", []) == "SHORTLIST"
-    g = G.govern("InterviewQuestionAgent", "{}")
-    assert g["quality"] == 0.1
-    assert G.govern("InterviewQuestionAgent", '{"technical": ["a"], "technical_questions": ["a", "b"]}')["normalized"]["technical_questions"] == ["a", "b"]
-
-
-def test_consistency_rules():
-    ok, score, found = G.consistency({"shortlist_decision": "SHORTLIST", "fit_score": 30, "missing_evidence": ["mandatory check"], "risks": ["weak python skills shown"], "reasons": ["python skills shown weak"]})
-    assert not ok and score == 0.55 and len(found) == 3
-    assert G.consistency({"shortlist_decision": "HOLD", "reasons": ["a"], "fit_score": 60}) == (True, 1.0, [])
 
 
 def test_pacer():
@@ -76,17 +17,6 @@ def test_pacer():
     assert K.Pacer(gap=8.0, events=[(0.0, 1)]).sleep_for(60.0, 1) == 0.0
 
 
-def test_optimizer_invariants():
-    chunks = ["Alpha service must keep 3 replicas in region X9.", "Alpha service must keep 3 replicas in region X9.", "Unrelated cooking recipe with onions."]
-    for mode in ("conservative", "balanced", "aggressive"):
-        r = O.optimize("Please tell about alpha service replicas. Please tell about alpha service replicas.", chunks, "alpha service replicas", O.Policy(mode=mode, max_input_tokens=120))
-        assert r["tokens_saved"] >= 0 and 0 <= r["retention"] <= 1 and r["risk"] in ("LOW", "MEDIUM", "HIGH", "ROLLED_BACK")
-        assert (r["status"] == "rolled_back") == (r["optimized_prompt"] == r["original_prompt"] and r["reason"] is not None)
-        assert set(r["selected"]) | set(r["removed"]) >= set(chunks)
-    strict = O.Policy(mode="aggressive", schema_strict=True).resolved()
-    assert (strict.mode, strict.min_retention, strict.duplicate, strict.relevance) == ("balanced", 0.88, 0.90, 0.15)
-
-
 def test_compression_keeps_terms(spark):
     long = "\n".join(f"Point {i}: the candidate has {i} years of python and limited kubernetes, detail number {i * 7} of the long plan." for i in range(80))
     rows = [(1, long), (1, long), (2, ""), (3, None), (None, "please use sql")]
@@ -100,22 +30,6 @@ def test_compression_keeps_terms(spark):
     assert compress.guarded(out.select("id", "optimized").limit(0), "id", "optimized").count() == 0
 
 
-def test_retention_columns_agree_with_rows(spark):
-    """One rule in two forms: columns for tables, plain Python inside a request's loop."""
-    from lexforge.operators import retention
-
-    texts = [
-        ("Alpha Service must not deploy AB-12 before review unless at least 30% of Beta is ready; only if $1,200.50 is paid.", "alpha service 30 paid if ready"),
-        ("No. Do not go. Never mind the 7 gaps, X9 needs 3.5 hours or more than 2 days.", "7 gaps need hours, X9"),
-        ("", "x"), ("must", ""), ("the of", "the of"), ("Keep Keep Keep the word word", "word keep"),
-    ]
-    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(texts)] + [(None, None, None)], "id long, a string, b string")
-    got = {r.id: r for r in retention.scores(df, "id", "a", "b").collect()}
-    for i, (a, b) in [*enumerate(texts), (None, ("", ""))]:
-        want = K.Retention(a).score(b)
-        assert all(abs(got[i][m] - want[m]) < 1e-12 for m in retention.MEASURES), (i, want, got[i])
-
-
 def test_counts_and_cosine(spark):
     from lexforge.functions import similarity as S
 
@@ -124,12 +38,3 @@ def test_counts_and_cosine(spark):
     out = df.select(S.counts(F.col("a")).alias("c"), S.cosine(F.col("a"), F.col("b")).alias("s"), S.entropy(F.col("a")).alias("e")).collect()
     assert [[tuple(x) for x in r.c] for r in out] == [[("a", 1), ("b", 2), ("c", 1)], [], [("x", 1)], [("a", 1)]]
     assert [round(r.s, 9) for r in out] == [round(3 / (6 * 2) ** 0.5, 9), 0.0, 1.0, 0.0] and [r.e for r in out] == [1.5, None, 0.0, 0.0]
-
-
-def test_response_repair():
-    full = {"final_score": 7.0, "shortlist_decision": "Hold", "evidence_terms": [], "reasons": ["a"], "concerns": [], "interview_plan": []}
-    assert G.repair_response(json.dumps(full))[1] == "none"
-    assert G.repair_response(json.dumps(full | {"shortlist_decision": "hold", "reasons": [" a "]})) == (full | {"schema_valid": True}, "minor")
-    assert G.repair_response('x {"score": "7/10", "risks": null} y') == ({**full, "shortlist_decision": "N/A", "reasons": [], "schema_valid": True}, "major")
-    got, how = G.repair_response("Score: 8 / 10, decision: 'Reject'.")
-    assert how == "fallback" and got["final_score"] == 8.0 and got["shortlist_decision"] == "Reject"

@@ -1,4 +1,8 @@
-"""Relevance by term-frequency cosine: texts and queries as tall (id, token, n) tables joined on tokens."""
+"""Relevance by term-frequency cosine: texts and queries as tall (id, token, n, norm) tables joined on tokens.
+
+Where only the best texts of a query or those above a threshold are asked for, upper bounds from the largest weight of each
+word in blocks of texts cut the search before pairs are formed.
+"""
 
 from __future__ import annotations
 
@@ -7,29 +11,78 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
 from lexforge.functions.similarity import dense_dot, entropy
+from lexforge.sources.shared import settle
 
 #: query-side (query, token, n) rows that may be broadcast after a count
 SMALL_TERMS = 500_000
 
 
-def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, token, n): counts of non-stop words; a text without any has no row."""
+#: units of similarity by which a bound is loosened, so that no rounding of sums or of results cuts a pair
+SLACK = 1e-8
+
+
+def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, token, n, norm2): counts of non-stop words and the text's squared norm; a text without any has no row. Counts are written once and read for the norms."""
     rows = df.select(F.col(id_col).alias("id"), F.explode(T.words(F.col(text_col))).alias("token"))
-    return rows.groupBy("id", "token").agg(F.count("*").alias("n"))
+    tf = settle(rows.groupBy("id", "token").agg(F.count("*").alias("n")))
+    norms = tf.groupBy("id").agg(F.sum(F.col("n") * F.col("n")).alias("norm2"))
+    return tf.join(norms, "id")
 
 
-def norms(tf: DataFrame) -> DataFrame:
-    return tf.groupBy("id").agg(F.sum(F.col("n") * F.col("n")).alias("norm2"))
+def _floors(q: DataFrame, d: DataFrame, k: int, least: float) -> DataFrame:
+    """(q, floor): a similarity that k texts reach for sure, from those in which a query's words weigh most; least where fewer are found."""
+    heavy = d.withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("w"), "id"))).where(F.col("place") <= k)
+    seeds = heavy.select("token", "id").join(q.select("q", "token"), "token").select("q", "id").distinct()
+    known = _scored(q, d, seeds).select("q", "similarity").withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"))))
+    return known.where(F.col("place") == k).select("q", F.greatest(F.col("similarity"), F.lit(least)).alias("floor"))
 
 
-def relevance(queries: DataFrame, texts: DataFrame, query_id: str, text_id: str, query_text: str = "text", text_text: str = "text") -> DataFrame:
-    """Pairs of a query and a text that share a word: (query_id, text_id, similarity). Pairs left out have similarity 0."""
-    q, d = term_counts(queries, query_id, query_text), term_counts(texts, text_id, text_text)
-    q = q.join(norms(q), "id").select(F.col("id").alias("q"), "token", F.col("n").alias("qn"), F.col("norm2").alias("qq"))
+def _candidates(q: DataFrame, d: DataFrame, floors: DataFrame | None, least: float) -> DataFrame:
+    """(q, id): texts that may reach a query's floor.
+
+    Texts lie in blocks of like norm, and for each word and block the largest weight is known. A query's words, those first that add
+    least at most for the texts that have them, split into some that together stay below the floor and the rest: a text without
+    one of the rest can't reach it, and a block without any isn't looked at.
+    """
+    most = d.groupBy("token", "block").agg(F.max("w").alias("top"), F.count("*").alias("df"))
+    bound = q.join(most, "token").withColumn("adds", F.col("qn") * F.col("top") / F.sqrt(F.col("qq").cast("double")))
+    floor = F.lit(least)
+    if floors is not None:
+        bound, floor = bound.join(floors, "q", "left"), F.coalesce("floor", F.lit(least))
+    below = Window.partitionBy("q", "block").orderBy(F.col("adds") / F.col("df"), "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    needed = bound.withColumn("sum", F.sum("adds").over(below)).where(F.col("sum") >= floor - SLACK).select("q", "token", "block")
+    return d.select("id", "token", "block").join(needed, ["token", "block"]).select("q", "id").distinct()
+
+
+def _scored(q: DataFrame, d: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(q, id, similarity) of pairs (q, id), exactly."""
+    both = pairs.join(d.select("id", "token", "n", "norm2"), "id").join(q, ["q", "token"])
+    both = both.groupBy("q", "id").agg(F.sum(F.col("n") * F.col("qn")).alias("dot"), F.first("qq").alias("qq"), F.first("norm2").alias("norm2"))
+    return both.select("q", "id", (F.col("dot") / F.sqrt((F.col("qq") * F.col("norm2")).cast("double"))).alias("similarity"))
+
+
+def relevance(queries: DataFrame, texts: DataFrame, query_id: str, text_id: str, query_text: str = "text", text_text: str = "text", least: float = 0.0, k: int | None = None) -> DataFrame:
+    """Pairs of a query and a text that share a word: (query_id, text_id, similarity). Pairs left out have similarity 0.
+
+    With least or k, pairs below least, or which k texts of the query exceed, may be left out before they are formed: all of
+    similarity >= least stay, and so do the best k of each query with all ties. Ids are to be unique.
+    """
+    q = postings(queries, query_id, query_text).select(F.col("id").alias("q"), "token", F.col("n").alias("qn"), F.col("norm2").alias("qq"))
     small = q.limit(SMALL_TERMS + 1).count() <= SMALL_TERMS
-    pairs = d.join(F.broadcast(q) if small else q, "token").groupBy("q", "id").agg(F.sum(F.col("n") * F.col("qn")).alias("dot"), F.first("qq").alias("qq"))
-    out = pairs.join(norms(d), "id")
-    return out.select(F.col("q").alias(query_id), F.col("id").alias(text_id), (F.col("dot") / F.sqrt((F.col("qq") * F.col("norm2")).cast("double"))).alias("similarity"))
+    q = F.broadcast(q) if small else q
+    d = postings(texts, text_id, text_text)
+    if least <= 0 and not k:
+        pairs = d.join(q, "token").groupBy("q", "id").agg(F.sum(F.col("n") * F.col("qn")).alias("dot"), F.first("qq").alias("qq"), F.first("norm2").alias("norm2"))
+        out = pairs.select("q", "id", (F.col("dot") / F.sqrt((F.col("qq") * F.col("norm2")).cast("double"))).alias("similarity"))
+    else:
+        asked = q.select("token").distinct()
+        d = d.join(F.broadcast(asked) if small else asked, "token", "left_semi")
+        d = settle(d.select("id", "token", "n", "norm2", (F.col("n") / F.sqrt(F.col("norm2").cast("double"))).alias("w"), F.floor(F.log2(F.col("norm2"))).cast("int").alias("block")))
+        q = settle(q)
+        q = F.broadcast(q) if small else q
+        floors = settle(_floors(q, d, k, least)) if k else None
+        out = _scored(q, d, _candidates(q, d, floors, least)).where(F.col("similarity") >= least - SLACK)
+    return out.select(F.col("q").alias(query_id), F.col("id").alias(text_id), "similarity")
 
 
 def top_k(pairs: DataFrame, by: str, value: str, tie: str, k: int) -> DataFrame:

@@ -249,7 +249,8 @@ def tf_cosine_query_docs(spark, d):
 
 @query("relevance_filter", f"WITH {_TF} SELECT item_id, count(*) AS kept, round(max(similarity), 6) AS best FROM sim WHERE round(similarity, 9) >= 0.15 GROUP BY item_id")
 def relevance_filter(spark, d):
-    kept = _similar(spark, d).where(F.round("similarity", 9) >= 0.15)
+    similar = relevance.relevance(table(spark, d, "benchmark"), docs(spark, d), "item_id", "doc_id", least=0.15)
+    kept = similar.where(F.round("similarity", 9) >= 0.15)
     return kept.groupBy("item_id").agg(F.count("*").alias("kept"), F.round(F.max("similarity"), 6).alias("best"))
 
 

@@ -5,10 +5,10 @@ adverts, forms, scripts, styles, reader comments) is cut by element and by class
 characters and T tags below it, LC and LT of them inside links. Its composite density is C / T times the logarithm of
 (C / LC) (T / LT) to a base that grows where a node's link characters are few and where the body's are many; link-heavy
 nodes fall to almost nothing. The densities of a node's children add up to its density sum, and the node of the
-largest sum is the core of the main text. The least density on its path to the body is the threshold: what stands beside
-the path and falls below it is left out if most of it is links; headings and other short text without links stay. If
-the core lies in a marked article, the article holds exactly its own parts: all of them, and nothing beside it. No text
-of the selected subtree is dropped.
+largest sum is the core of the main text. The least density on its path to the body is the threshold: the core is widened to
+nodes of the path that are denser and add more than links, and no text of that subtree is dropped. What stands beside it and falls below the
+threshold is left out if most of it is links; headings and other short text without links stay. A marked article that holds the
+core bounds the search: it is not widened beyond, and other articles aren't parts of it.
 
 Parsing takes time in proportion to the page: no tag is looked for twice, and open elements are found by tag.
 """
@@ -63,6 +63,12 @@ _FURNITURE = frozenset(
     "reviews responses feedback announcement toc topbar "
     "masthead footer colophon complementary contentinfo".split()
 )
+#: what else a furniture name may be made of: where the thing stands, whose it is, what holds it; any other part makes the name one of content
+_BESIDE = frozenset(
+    "left right top bottom upper lower main primary secondary site global page post article user reader author mobile desktop sticky fixed float floating "
+    "inner outer slot unit box bar bars banner block blocks wrap wrapper container area region zone panel section list item items button buttons link links icon icons form forms widget count header title inline".split()
+)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: these mark it only where no article is around
 _FURNITURE_OUTSIDE = frozenset("copyright legal skip".split())
 _CONTENT = frozenset("article content main post entry story body text page wrapper container layout".split())
@@ -196,7 +202,8 @@ def _names(attrs: str) -> dict[str, str]:
 
 
 def _named_so(names: dict[str, str], in_article: bool) -> bool:
-    """Whether class, id or role mark page furniture."""
+    """Whether class, id or role mark page furniture: names of such words alone. related, related-box and site-sidebar are, related-work isn't."""
+    words = _FURNITURE if in_article else _FURNITURE | _FURNITURE_OUTSIDE
     for key in ("class", "id", "role"):
         for name in (names.get(key) or "").split():
             parts = tuple(p for p in _PART.split(_CAMEL.sub("-", name).lower()) if p)
@@ -205,7 +212,7 @@ def _named_so(names: dict[str, str], in_article: bool) -> bool:
             if parts in _SITE_HEADER and not in_article:
                 return True
             content = len(parts) > 1 and parts[-1] in _CONTENT and parts[0] not in _FURNITURE
-            if not content and (_FURNITURE.intersection(parts) or not in_article and _FURNITURE_OUTSIDE.intersection(parts)):
+            if not content and words.intersection(parts) and (words | _BESIDE).issuperset(parts):
                 return True
     return False
 
@@ -216,12 +223,9 @@ def is_furniture(node: Node, in_article: bool) -> bool:
         return True
     if tag == "footer" or tag == "header" and not in_article:
         return True
-    if not node.attrs or tag in ("main", "body"):
+    if not node.attrs or node.holds_article or tag in ("main", "body") or tag in _HEADINGS:
         return False
-    names = _names(node.attrs)
-    if "hidden" in names or re.search(r"display\s*:\s*none", names.get("style", ""), re.I):
-        return True
-    return not node.holds_article and _named_so(names, in_article)
+    return _named_so(_names(node.attrs), in_article)
 
 
 def mark_articles(root: Node) -> None:
@@ -290,22 +294,33 @@ def weigh(body: Node) -> list[Node]:
     return nodes
 
 
-def select(body: Node) -> list[Node]:
-    """Roots of the main text, in page order: the core of the largest density sum and what stands beside its path at the threshold."""
-    core = body.best
-    path = [core]
+def select(body: Node) -> list:
+    """Roots of the main text, in page order: the core of the largest density sum, widened by the path's threshold, and what stands beside it.
+
+    The least density on the path from the core to the body is the threshold. The core is widened to nodes of the path that are
+    denser than it and add more than links, but not beyond a marked article; all of that subtree stays. Beside it and
+    its ancestors stay parts that reach the threshold or aren't mostly links, unless it is an article or they are.
+    """
+    path = [body.best]
     while path[-1] is not body:
         path.append(path[-1].parent)
-    articles = [x for x in path if x.tag == "article"] or [x for x in path if x.tag == "main"]
-    if articles:
-        return [articles[-1]]
     threshold = min(x.density for x in path)
-    chosen: list = [core]
-    for below, up in zip(path, path[1:], strict=False):
+    top = 0
+    for i, node in enumerate(path[:-1]):
+        new, links = node.chars - path[top].chars, node.link_chars - path[top].link_chars
+        marked = node.tag in ("article", "main")
+        if 2 * links <= new and (node.density > threshold or marked):
+            top = i
+        if marked:
+            break
+    main = path[top]
+    if main.tag in ("article", "main"):
+        return [main]
+    chosen: list = [main]
+    for below, up in zip(path[top:], path[top + 1 :], strict=False):
         at = next(i for i, k in enumerate(up.kids) if k is below)
-        joins = lambda k: isinstance(k, str) or k.density >= threshold or 2 * k.link_chars <= k.chars
-        before, after = [k for k in up.kids[:at] if joins(k)], [k for k in up.kids[at + 1 :] if joins(k)]
-        chosen = [*before, *chosen, *after]
+        joins = lambda k: isinstance(k, str) or k.tag not in ("article", "main") and (k.density >= threshold or 2 * k.link_chars <= k.chars)
+        chosen = [*filter(joins, up.kids[:at]), *chosen, *filter(joins, up.kids[at + 1 :])]
     return chosen
 
 

@@ -368,6 +368,28 @@ def test_main_text_by_density(body, want):
     assert htmltext.extract(f"<html><body>{body}</body></html>") == want
 
 
+@pytest.mark.parametrize("inside", ['<h2 id="related-work">T</h2>', '<div class="follow-up">T</div>', '<div class="share-price">T</div>', '<p class="social-history">T</p>', '<div class="feedback-loop">T</div>', '<section id="search-results">T</section>', "<p hidden>T</p>", '<div style="display:none">T</div>', '<h3 class="comments">T</h3>'])
+def test_names_of_content_stay(inside):
+    assert htmltext.extract(f"<html><body><main><p>First paragraph.</p>{inside}<p>Last one.</p></main></body></html>") == "First paragraph.\nT\nLast one."
+    assert htmltext.extract(f"<html><body><main>{inside}{inside}{inside}</main></body></html>") == "T\nT\nT"
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot", "site-sidebar", "cookie-notice", "shareButtons", "comment-list", "post-comments", "related", "newsletter_signup"])
+def test_names_of_furniture_go(name):
+    assert htmltext.extract(f'<html><body><article><p>First paragraph.</p><div class="x {name}">A dense advert or notice.</div></article></body></html>') == "First paragraph."
+
+
+def test_densities_choose_the_subtree():
+    """Without a marked article the text is that of the dense subtree; the same page with the densities swapped gives the other one."""
+    long, links = "<p>" + "Some words of real text. " * 8 + "</p>", '<p><a href="1">Link</a> <a href="2">to more</a> <a href="3">pages</a></p>' * 6
+    for first, second in ((long * 3, links), (links, long * 3)):
+        got = htmltext.extract(f"<html><body><div>{first}</div><div>{second}</div></body></html>")
+        assert got == "\n".join([("Some words of real text. " * 8).strip()] * 3)
+    # a paragraph of much markup has the largest sum by itself, but the threshold widens it to all around it that is denser than the page
+    page = "<html><body><ul>" + "<li><a href=1>Home page</a></li>" * 9 + "</ul><div><p>" + "<b>bold words here</b> " * 12 + "</p><p>Plain words of the same text, quite a few of them.</p></div></body></html>"
+    assert htmltext.extract(page).endswith("Plain words of the same text, quite a few of them.")
+
+
 def test_densities_brute_force():
     import math
     import random

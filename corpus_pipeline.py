@@ -10,13 +10,18 @@ empty one; very long texts are worked on whole, in spans of bounded memory.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm import decontam, jaccard, langid, linededup, mixing
 from lexforge.llm.common import WORD, broadcast_if_small, materialize
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    """All columns by quoted name, whatever the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no learned language go: null, empty or letterless texts, and noise in all of them.
 
@@ -31,7 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text stays null; n_chars is set anew where a text changed. A line exactly at the ratio stays.
     """
-    return linededup.drop_boilerplate(docs).select(*docs.columns)
+    return linededup.drop_boilerplate(docs).select(*_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeats = not twice.isEmpty()
     once = docs.where("doc_id is not null") if nulls else docs
     once = once.join(again, "doc_id", "left_anti") if repeats else once
-    out = once.join(broadcast_if_small(gone, jaccard.SMALL_ROWS), "doc_id", "left_anti").select(*docs.columns)
+    out = once.join(broadcast_if_small(gone, jaccard.SMALL_ROWS), "doc_id", "left_anti").select(*_columns(docs))
     if not (repeats or nulls):
         return out
     # rows whose id alone doesn't name them: the group's row is chosen among those of its smallest id
@@ -56,11 +61,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = first.where("doc_id is null").unionByName(first.join(again, "doc_id", "left_semi").select(*first.columns))
     stay = first.groupBy("group").agg(F.min("doc_id").alias("id"), F.min("text_key").alias("key"))
     stay = broadcast_if_small(materialize(stay.select("id", "key")), jaccard.SMALL_ROWS).alias("k")
-    rows = docs.where("doc_id is null").unionByName(docs.join(again, "doc_id", "left_semi").select(*docs.columns))
+    rows = docs.where("doc_id is null").unionByName(docs.join(again, "doc_id", "left_semi").select(*_columns(docs)))
     has_word = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     same = F.col("r.doc_id").eqNullSafe(F.col("k.id")) & (jaccard.text_key(F.col("r.text")) == F.col("k.key"))
-    kept = rows.where(has_word).alias("r").join(stay, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return out.unionByName(rows.where(~has_word)).unionByName(kept.select(*docs.columns))
+    kept = rows.where(has_word).alias("r").join(stay, same, "left_semi").select("r.*")
+    # of rows alike in id and text the first by all their columns, so that reruns agree
+    whole = F.struct(*_columns(docs))
+    kept = kept.groupBy(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    return out.unionByName(rows.where(~has_word)).unionByName(kept)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
 from lexforge.functions.lexicons import CONSTRAINT_CUES, KNOWN_SKILLS, SENTENCE_CUES
+from lexforge.sources.shared import settle
 
 
 def _lits(values) -> Column:
@@ -89,6 +92,40 @@ def running_context(turns: DataFrame, run: str, order: str, text: str, most: int
     return turns.withColumn("context", F.array_join(F.collect_list(F.substring(text, 1, most)).over(w), "\n"))
 
 
+def context_spans(turns: DataFrame, run: str, order: Sequence[str], tokens: str, budget: int) -> DataFrame:
+    """turns with place, first and context_tokens: the context of a turn is the latest earlier turns that fit the budget.
+
+    place counts a run's turns from 1 by the columns of order, nulls first; the context is the turns first .. place - 1
+    (none where first = place), whose tokens sum to context_tokens <= budget. Running sums say where each turn starts,
+    and a range frame over them finds the first turn that starts no more than budget before; no text moves. A null or
+    negative count of tokens is 0; turns alike in order are told apart by their tokens only, so order should be
+    unique in a run. A null run is a run. A run is one sorted sequence in one task.
+    """
+    w = Window.partitionBy(run).orderBy(*[F.asc_nulls_first(c) for c in order], "_n")
+    t = turns.withColumn("_n", F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0)).cast("long"))
+    t = t.withColumns({"place": F.row_number().over(w), "_at": F.sum("_n").over(w) - F.col("_n")})
+    back = Window.partitionBy(run).orderBy("_at").rangeBetween(-budget, Window.currentRow)
+    t = t.withColumns({"first": F.min("place").over(back), "context_tokens": F.col("_at") - F.min("_at").over(back)})
+    return t.drop("_n", "_at")
+
+
+def budget_context(turns: DataFrame, run: str, order: Sequence[str], text: str, tokens: str, budget: int) -> DataFrame:
+    """turns with place, first, context_tokens and context: the texts of context_spans, in order, joined by newlines.
+
+    Each span names its turns by place, and texts are joined to them once at the end: what is shuffled is the turns and
+    the contexts themselves, at most budget tokens a turn (turns without tokens come on top). Null texts are left out.
+    """
+    names = [f"`{c}`" for c in turns.columns]
+    spans = settle(context_spans(turns, run, order, tokens, budget))
+    asked = spans.where("first < place").select(F.col(run).alias("_r"), F.col("place").alias("_p"), F.explode(F.sequence("first", F.col("place") - 1)).alias("_q"))
+    texts = spans.select(F.col(run).alias("_s"), F.col("place").alias("_t"), F.col(text).alias("_text"))
+    got = asked.join(texts, F.col("_r").eqNullSafe(F.col("_s")) & (F.col("_q") == F.col("_t")))
+    got = got.groupBy("_r", "_p").agg(F.sort_array(F.collect_list(F.struct("_q", "_text"))).alias("_c"))
+    got = got.select("_r", "_p", F.array_join(F.transform("_c", lambda x: x["_text"]), "\n").alias("context"))
+    out = spans.join(got, F.col(run).eqNullSafe(F.col("_r")) & (F.col("place") == F.col("_p")), "left")
+    return out.select(*names, "place", "first", "context_tokens", F.coalesce("context", F.lit("")).alias("context"))
+
+
 def last_outputs(turns: DataFrame, run: str, order: str, text: str, k: int = 2) -> DataFrame:
     """turns with previous: the k outputs before each."""
     w = Window.partitionBy(run).orderBy(order).rowsBetween(-k, -1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexforge.functions import lexicons as L
 from lexforge.functions import text as T
 from lexforge.operators import evidence as E
-from lexforge.operators import governed, memory, quality, relevance, reports, selection
+from lexforge.operators import governed, memory, ontology, quality, relevance, reports, selection
 from lexforge.plans import compress
 from lexforge.plans import optimize as O
 from lexforge.plans.catalog import _EVIDENCE_SQL, CANON, COUNT, _similar, docs, evidence_text, f, joined, phrases, quoted, sql, table
@@ -105,6 +105,16 @@ def evidence_ledger(spark, d):
     return _ledgers(spark, d).select("o_orderkey", *[joined(F.col(f"ledger.{x}")).alias(x) for x in ("entities", "concerns", "reasons")])
 
 
+@query("ontology_ledger", f"WITH {_LEDGER} SELECT o_orderkey, array_to_string(entities, '|') AS entities, array_to_string(concerns, '|') AS concerns, array_to_string(reasons, '|') AS reasons FROM ledger")
+def ontology_ledger(spark, d):
+    """The ledgers again, from the ontology as a table."""
+    texts = spread(table(spark, d, "orders").select("o_orderkey")).select("o_orderkey", evidence_text().alias("text"))
+    names = ontology.ontology(spark, {"entities": L.ENTITIES, "concerns": L.CONCERNS, "reasons": L.REASONS})
+    brought = spark.createDataFrame(list(L.CONCERN_ENTITY.items()), "concern string, entity string")
+    out = ontology.ledgers(texts, "o_orderkey", "text", names, brought)
+    return out.select("o_orderkey", *[joined(F.col(x)).alias(x) for x in ("entities", "concerns", "reasons")])
+
+
 @query("protected_terms")
 def protected_terms(spark, d):
     return _ledgers(spark, d).select("o_orderkey", joined(E.protected_terms(F.col("ledger"))).alias("terms"), E.ledger_text(F.col("ledger")).alias("rendered"))
@@ -352,6 +362,23 @@ def running_context(spark, d):
     return memory.running_context(table(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", F.md5("context").alias("context_md5"))
 
 
+CONTEXT_BUDGET = 120
+
+_COUNTED = sql("t AS (SELECT conv_id, turn, text, CAST({{c}} AS BIGINT) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place FROM conversations)", c=f(COUNT))
+
+
+@query(
+    "budget_context",
+    f"""WITH {_COUNTED}, a AS (SELECT *, CAST(sum(n) OVER (PARTITION BY conv_id ORDER BY place) - n AS BIGINT) AS begun FROM t),
+s AS (SELECT *, min(place) OVER w AS first, begun - min(begun) OVER w AS context_tokens FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY begun RANGE BETWEEN {CONTEXT_BUDGET} PRECEDING AND CURRENT ROW))
+SELECT conv_id, turn, CAST(place - first AS BIGINT) AS turns, context_tokens, md5(coalesce((SELECT string_agg(b.text, chr(10) ORDER BY b.place) FROM t b WHERE b.conv_id = s.conv_id AND b.place >= s.first AND b.place < s.place), '')) AS context_md5 FROM s""",
+)
+def budget_context(spark, d):
+    c = table(spark, d, "conversations").withColumn("tokens", T.count_tokens(F.col("text")))
+    out = memory.budget_context(c, "conv_id", ["turn"], "text", "tokens", CONTEXT_BUDGET)
+    return out.select("conv_id", "turn", (F.col("place") - F.col("first")).cast("long").alias("turns"), "context_tokens", F.md5("context").alias("context_md5"))
+
+
 @query("last_k_outputs", "SELECT conv_id, turn, md5(coalesce(string_agg(text, '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '')) AS previous_md5 FROM conversations")
 def last_k_outputs(spark, d):
     return memory.last_outputs(table(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", F.md5(joined(F.col("previous"))).alias("previous_md5"))
@@ -427,6 +454,33 @@ def run_totals(spark, d):
     return reports.run_totals(calls)
 
 
+_GRAIN_KEYS = ("run_id", "agent", "mode", "status")
+_GRAIN_NAME = "coalesce(nullif(concat_ws('+', " + ", ".join(f"CASE WHEN grouping({k}) = 0 THEN '{k}' END" for k in _GRAIN_KEYS) + "), ''), 'all')"
+
+
+@query(
+    "run_grains",
+    f"""WITH c AS (SELECT l_suppkey AS run_id, CASE WHEN l_orderkey % 13 <> 0 THEN 'stage' || l_linenumber END AS agent, l_linestatus AS mode, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'rolled_back' END AS status, l_returnflag = 'A' AS ok,
+ CAST(l_quantity AS BIGINT) AS tokens, l_quantity / 1e6 * 0.59 AS cost, CASE WHEN l_orderkey % 4 <> 0 THEN l_discount END AS retention, l_orderkey % 50 AS saved FROM lineitem)
+SELECT {_GRAIN_NAME} AS grain, {", ".join(_GRAIN_KEYS)}, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 8) AS cost, round(100.0 * count(*) FILTER (WHERE ok) / count(*), 4) AS accepted_pct,
+ round(100.0 * sum(saved) / (sum(tokens) + sum(saved)), 4) AS saved_pct, round(1000.0 * sum(cost) / sum(tokens), 8) AS cost_per_1k, round(coalesce(sum(retention) / nullif(count(retention), 0), 0), 4) AS avg_retention, CAST(coalesce(min(retention), 0) AS DOUBLE) AS worst_retention
+FROM c GROUP BY GROUPING SETS ({", ".join("(" + ", ".join(g) + ")" for g in reports.GRAINS)})""",
+)
+def run_grains(spark, d):
+    k = F.col("l_orderkey")
+    calls = table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("run_id"),
+        F.when(k % 13 != 0, F.concat(F.lit("stage"), F.col("l_linenumber").cast("string"))).alias("agent"),
+        F.col("l_linestatus").alias("mode"),
+        F.when(F.col("l_returnflag") == "A", "accepted").when(F.col("l_returnflag") == "R", "rolled_back").alias("status"),
+        F.col("l_quantity").cast("long").alias("tokens"),
+        (F.col("l_quantity") / 1e6 * 0.59).alias("cost"),
+        F.when(k % 4 != 0, F.col("l_discount")).alias("retention"),
+        (k % 50).alias("saved"),
+    )
+    return reports.run_grains(calls)
+
+
 @query("schema_critical", f"{_GOV_SQL} SELECT 'RecruiterDecisionAgent' AS agent, true AS critical, count(*) AS outputs, count(*) FILTER (WHERE prose OR gap) AS invalid FROM g")
 def schema_critical(spark, d):
     """Outputs by agent, whether its contract has fields that may not be empty, and how many fail."""

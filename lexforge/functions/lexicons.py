@@ -285,3 +285,19 @@ POLICIES = {
     "InterviewQuestionAgent": ("aggressive", 0.82, 2400, 520),
     "RecruiterDecisionAgent": ("conservative", 0.90, 2800, 420),
 }
+
+# -- fixed values: columns of a call record, in the order of its report ------------------------------
+
+CALL_COLUMNS = (
+    ("agent_name", "string"), ("status", "string"), ("agent_mode", "string"), ("risk_label", "string"), ("pacer_sleep_seconds", "double"),
+    ("estimated_total_tokens_for_pacing", "bigint"), ("estimated_prompt_tokens_sent", "bigint"), ("actual_prompt_tokens", "bigint"),
+    ("actual_completion_tokens", "bigint"), ("actual_total_tokens", "bigint"), ("prompt_token_estimation_error_pct", "double"),
+    ("actual_cost_usd", "double"), ("reconciled_savings_usd", "double"), ("original_tokens", "bigint"), ("optimized_tokens", "bigint"),
+    ("tokens_saved", "bigint"), ("reduction_percentage", "double"), ("retention_score", "double"), ("entity_retention", "double"),
+    ("numeric_retention", "double"), ("constraint_retention", "double"), ("semantic_similarity", "double"), ("keyword_coverage", "double"),
+    ("optimizer_status", "string"), ("optimizer_reason", "string"), ("schema_valid", "boolean"), ("schema_repaired", "boolean"),
+    ("schema_errors", "array<string>"), ("schema_warnings", "array<string>"), ("schema_repair_actions", "array<string>"),
+    ("schema_quality_score", "double"), ("schema_retry_attempted", "boolean"), ("schema_retry_success", "boolean"),
+    ("schema_retry_tokens", "bigint"), ("schema_retry_cost_usd", "double"), ("evidence_consistent", "boolean"),
+    ("evidence_consistency_score", "double"), ("evidence_warnings", "array<string>"), ("error", "string"),
+)

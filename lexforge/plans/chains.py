@@ -460,7 +460,7 @@ _GRAIN_NAME = "coalesce(nullif(concat_ws('+', " + ", ".join(f"CASE WHEN grouping
 
 @query(
     "run_grains",
-    f"""WITH c AS (SELECT l_suppkey AS run_id, CASE WHEN l_orderkey % 13 <> 0 THEN 'stage' || l_linenumber END AS agent, l_linestatus AS mode, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'rolled_back' END AS status, l_returnflag = 'A' AS ok,
+    f"""WITH c AS (SELECT CAST(l_suppkey AS VARCHAR) AS run_id, CASE WHEN l_orderkey % 13 <> 0 THEN 'stage' || l_linenumber END AS agent, l_linestatus AS mode, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'rolled_back' END AS status, l_returnflag = 'A' AS ok,
  CAST(l_quantity AS BIGINT) AS tokens, l_quantity / 1e6 * 0.59 AS cost, CASE WHEN l_orderkey % 4 <> 0 THEN l_discount END AS retention, l_orderkey % 50 AS saved FROM lineitem)
 SELECT {_GRAIN_NAME} AS grain, {", ".join(_GRAIN_KEYS)}, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 8) AS cost, round(100.0 * count(*) FILTER (WHERE ok) / count(*), 4) AS accepted_pct,
  round(100.0 * sum(saved) / (sum(tokens) + sum(saved)), 4) AS saved_pct, round(1000.0 * sum(cost) / sum(tokens), 8) AS cost_per_1k, round(coalesce(sum(retention) / nullif(count(retention), 0), 0), 4) AS avg_retention, CAST(coalesce(min(retention), 0) AS DOUBLE) AS worst_retention
@@ -469,7 +469,7 @@ FROM c GROUP BY GROUPING SETS ({", ".join("(" + ", ".join(g) + ")" for g in repo
 def run_grains(spark, d):
     k = F.col("l_orderkey")
     calls = table(spark, d, "lineitem").select(
-        F.col("l_suppkey").alias("run_id"),
+        F.col("l_suppkey").cast("string").alias("run_id"),
         F.when(k % 13 != 0, F.concat(F.lit("stage"), F.col("l_linenumber").cast("string"))).alias("agent"),
         F.col("l_linestatus").alias("mode"),
         F.when(F.col("l_returnflag") == "A", "accepted").when(F.col("l_returnflag") == "R", "rolled_back").alias("status"),

@@ -18,13 +18,23 @@ def pattern(aliases) -> str:
     return "(^|[^a-z0-9])(" + "|".join(re.escape(a) for a in sorted({plain(x) for x in aliases})) + ")($|[^a-z0-9])"
 
 
+def met(canonical_text: Column, aliases) -> Column:
+    """Whether an alias occurs between edges; the pattern is run only where the text holds one of them at all."""
+    all_of = {plain(x) for x in aliases}
+    least = sorted(a for a in all_of if not any(b != a and b in a for b in all_of))
+    held = F.contains(canonical_text, F.lit(least[0]))
+    for a in least[1:]:
+        held = held | F.contains(canonical_text, F.lit(a))
+    return held & canonical_text.rlike(pattern(aliases))
+
+
 def hits(canonical_text: Column, ontology: dict) -> Column:
     """Sorted names of the ontology whose aliases occur. The ontology is a constant, so this is one projection and no join."""
     return bind(canonical_text, lambda t: _hits(t, ontology))
 
 
 def _hits(canonical_text: Column, ontology: dict) -> Column:
-    found = F.array(*[F.when(canonical_text.rlike(pattern(aliases)), F.lit(name)) for name, aliases in sorted(ontology.items())])
+    found = F.array(*[F.when(met(canonical_text, aliases), F.lit(name)) for name, aliases in sorted(ontology.items())])
     return F.array_compact(found)
 
 
@@ -64,7 +74,7 @@ def retained(base: Column, text: Column, ontology: dict, share: float = 0.67) ->
     def names(x: Column) -> Column:
         kept = []
         for name, aliases in sorted(ontology.items()):
-            ok, own = x.t.rlike(pattern((*aliases, name))), _tokens_of(name)
+            ok, own = met(x.t, (*aliases, name)), _tokens_of(name)
             if own:
                 ok = ok | (F.size(F.array_intersect(F.array(*[F.lit(y) for y in own]), x.toks)) / len(own) >= share)
             kept.append(F.when(F.array_contains(base, name) & ok, F.lit(name)))

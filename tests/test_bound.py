@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
+from lexforge.operators import evidence as E
 from lexforge.operators import governed
 from lexforge.operators import quality as Q
 
@@ -30,3 +31,11 @@ def test_governance_parses_once(spark):
 def test_decision_reads_its_keys_once(spark):
     plan = _optimized(spark.createDataFrame([("a",)], "t string").select(Q.extracted_decision(F.col("t"))))
     assert plan.count("$.shortlist_decision") <= 2
+
+
+def test_aliases_are_searched_before_their_pattern(spark):
+    aliases = ("api integration", "apis", "api")
+    texts = ["the api.", "rapid", "apis", "no", "an api integration", "xapi api", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(E.met(F.col("t"), aliases).alias("a"), F.col("t").rlike(E.pattern(aliases)).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] == [True, False, True, False, True, True, False]

@@ -18,7 +18,7 @@ def relevant_context(spark: SparkSession, sf_dir: str, budget: int = BUDGET, thr
     items, docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), catalog.docs(spark, sf_dir)
     sim = relevance.relevance(items, docs, "item_id", "doc_id").withColumn("similarity", F.round("similarity", 9)).where(F.col("similarity") >= threshold)
     best = relevance.top_k(sim, "item_id", "similarity", "doc_id", most)
-    sized = best.join(docs.select("doc_id", T.count_tokens(F.col("text")).alias("cost")), "doc_id")
+    sized = relevance.with_texts(best, docs.select("doc_id", "text"), "doc_id").select("item_id", "rank", T.count_tokens(F.col("text")).alias("cost"))
     packs = sized.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rank", "cost"))).alias("c"))
     packs = packs.withColumn("took", selection.first_fit(F.transform("c", lambda x: F.struct(x.rank.alias("idx"), x.cost.alias("cost"))), F.lit(budget)))
     used = F.aggregate(F.filter("c", lambda x: F.array_contains(F.col("took"), x.rank)), F.lit(0).cast("long"), lambda a, x: a + x.cost)

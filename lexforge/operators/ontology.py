@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
 from lexforge.functions.similarity import bind
+from lexforge.sources.shared import settle
 
 #: bytes of aliases and names that may be broadcast
 SMALL_BYTES = 16 << 20
@@ -99,10 +100,14 @@ def ledgers(texts: DataFrame, id_col: str, text: str, table: DataFrame, brought:
 
     brought has rows (concern, entity): a concern met brings its entity along. A text without any match keeps its row.
     """
-    met = matches(texts, id_col, text, table, longest)
+    # each distinct text is searched once, however many rows hold it
+    parts = texts.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    met = matches(parts.select("_text").distinct(), "_text", "_text", table, longest).withColumnRenamed("_text", id_col)
     more = met.where("category = 'concerns'").join(brought, F.col("name") == F.col("concern")).select(id_col, F.lit("entities").alias("category"), F.col("entity").alias("name"))
     names = lambda c: F.sort_array(F.collect_set(F.when(F.col("category") == c, F.col("name")))).alias(c)
-    found = met.unionByName(more).groupBy(F.col(id_col).alias("_id")).agg(*[names(c) for c in ("entities", "concerns", "reasons")])
-    rows = texts.select(id_col).distinct().join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    none = F.array().cast("array<string>")
-    return rows.select(id_col, *[F.coalesce(c, none).alias(c) for c in ("entities", "concerns", "reasons")])
+    kinds = ("entities", "concerns", "reasons")
+    found = settle(met.unionByName(more).groupBy(F.col(id_col).alias("_text")).agg(*[names(c) for c in kinds]))
+    size = found.agg(F.coalesce(F.sum(F.octet_length("_text") + sum(F.octet_length(F.array_join(c, " ")) + F.size(c) * 16 for c in kinds)), F.lit(0))).first()[0]
+    rows = parts.join(F.broadcast(found) if size <= SMALL_BYTES else found, "_text", "left")
+    rows = rows.groupBy("_id").agg(*[F.collect_set(c).alias(c) for c in kinds])
+    return rows.select(F.col("_id").alias(id_col), *[F.sort_array(F.array_distinct(F.flatten(c))).alias(c) for c in kinds])

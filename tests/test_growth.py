@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexforge.functions import kernels
 from lexforge.functions import lexicons as L
 from lexforge.functions import text as T
-from lexforge.operators import dedup
+from lexforge.operators import dedup, ontology
 from lexforge.plans import compress
 
 
@@ -45,3 +45,29 @@ def test_phrases_are_searched_before_their_pattern(spark):
         return re.sub(r"[ \t]+", " ", re.sub(r"\s+([,.!?;:])", r"\1", t)).strip(), n
 
     assert [(r.text, r.removed) for r in df.select(T.drop_filler(F.col("t")).alias("r")).select("r.*").collect()] == [plain(t) for t in texts]
+
+
+def test_equal_texts_are_searched_once(spark):
+    table = ontology.ontology(spark, {"entities": {"PY": ("python",), "K8": ("kubernetes",)}, "concerns": {"GAP": ("gap",)}, "reasons": {}})
+    brought = spark.createDataFrame([("GAP", "ZZ")], "concern string, entity string")
+    texts = spark.createDataFrame([(1, "python"), (2, "python"), (2, "a gap"), (3, None), (None, "kubernetes"), (4, "")], "i long, t string")
+    out = ontology.ledgers(texts, "i", "t", table, brought)
+    got = {r.i: (r.entities, r.concerns, r.reasons) for r in out.collect()}
+    assert got == {1: (["PY"], [], []), 2: (["PY", "ZZ"], ["GAP"], []), 3: ([], [], []), None: (["K8"], [], []), 4: ([], [], [])}
+    searched = []
+    spied = lambda t, *more: searched.append(t.count()) or found(t, *more)
+    found, ontology.matches = ontology.matches, spied
+    try:
+        ontology.ledgers(texts, "i", "t", table, brought)
+    finally:
+        ontology.matches = found
+    assert searched == [4]
+
+
+def test_similarity_of_equal_texts_is_worked_out_once():
+    kernels._kept_similarity.cache_clear()
+    rows = [kernels.semantic_similarity("Python and k8s " + str(i % 3), "docker " + str(i % 3)) for i in range(30)]
+    assert kernels._kept_similarity.cache_info().misses == 3 and rows[:3] * 10 == rows
+    assert kernels.semantic_similarity("Python", "python") == (1.0, 1.0, 1.0, 1.0)
+    long = "word " * 1000
+    assert kernels.semantic_similarity(long, long)[0] == 1.0 and kernels._kept_similarity.cache_info().misses == 4

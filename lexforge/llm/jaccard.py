@@ -127,7 +127,7 @@ def _scan(id_columns: list[str], k: int, salt: int):
 
 
 def _hot_bits(scan: DataFrame, hot_at: int) -> np.ndarray:
-    """Fixed-size bitmap of the shingles seen most often (2**HOT_BITS bits; at most 2**(HOT_BITS - 6) rows reach the driver).
+    """Fixed-size bitmap of the shingles seen most often (2**HOT_BITS bits, which reach the driver as blocks of BLOCK_WORDS words).
 
     hot_at is doubled until at most 2**HOT_BITS / HOT_FILL shingles reach it, so that the bitmap tells them from others.
     """
@@ -271,13 +271,30 @@ def _arrays(wanted, k: int, salt: int):
     return run
 
 
+#: words of a bitmap in a block; a bitmap reaches the driver as blocks, since a row for each word takes 30 times its bytes there
+BLOCK_WORDS = 1 << 12
+
+
+def _pack_words(table: pa.Table) -> pa.Table:
+    """The words (w, v) of one block as bytes."""
+    at = table.column("w").to_numpy()
+    words = np.zeros(BLOCK_WORDS, np.uint64)
+    words[at % BLOCK_WORDS] = table.column("v").to_numpy().view(np.uint64)
+    return pa.table({"block": pa.array([int(at[0]) // BLOCK_WORDS], pa.int64()), "words": pa.array([words.tobytes()], pa.binary())})
+
+
+def _bitmap_blocks(df: DataFrame, column: str, bits: int = HOT_BITS) -> DataFrame:
+    """(block, words) of a bitmap over the low bits of a long column: the blocks in which a bit is set, BLOCK_WORDS words each."""
+    low = df.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("b"))
+    words = low.where("b is not null").groupBy(F.shiftrightunsigned("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
+    return words.groupBy(F.floor(F.col("w") / BLOCK_WORDS).alias("block")).applyInArrow(_pack_words, "block long, words binary")
+
+
 def _bitmap_of(df: DataFrame, column: str, bits: int = HOT_BITS) -> np.ndarray:
     """Bitmap of fixed size over the low bits of a long column."""
-    low = df.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("b"))
-    rows = low.groupBy(F.shiftrightunsigned("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    for w, v in rows.collect():
-        out[w] = _U(v & 0xFFFFFFFFFFFFFFFF)
+    out = np.zeros(max(1 << (bits - 6), BLOCK_WORDS), np.uint64)
+    for block, words in _bitmap_blocks(df, column, bits).collect():
+        out[block * BLOCK_WORDS : (block + 1) * BLOCK_WORDS] = np.frombuffer(words, np.uint64)
     return out
 
 
